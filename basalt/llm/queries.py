@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import packing, sharding, simhash, token_files, topk
+from basalt.llm import factorization, neighbours, packing, sharding, simhash, token_files, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_file_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+    return token_files.token_file_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,15 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search_table(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op2_simhash_near_dedup": op2_simhash_near_dedup, "op9_exact_top_k": op9_exact_top_k, "op3_sharding": op3_sharding, "op5_token_files": op5_token_files, "op8_best_fit_packing": op8_best_fit_packing}
+def op1_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorization.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_quality_machine": op1_quality_machine, "op7_toxicity_neighbours": op7_toxicity_neighbours, "op2_simhash_near_dedup": op2_simhash_near_dedup, "op9_exact_top_k": op9_exact_top_k, "op3_sharding": op3_sharding, "op5_token_files": op5_token_files, "op8_best_fit_packing": op8_best_fit_packing}
 ORACLES: dict[str, str] = {
     "op9_exact_top_k": """
         WITH v AS (
