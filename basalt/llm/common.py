@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step holds in numpy form at once.
 SLICE_BYTES = 2_000_000
+#: Rows of an Arrow batch.
+ARROW_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,7 +44,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers once per context."""
+    """Sends this package to the Python workers once per context, and keeps their batches small."""
+    # Small Arrow batches: a worker holds one, and texts may be long.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_basalt_shipped", False):
         return

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from basalt.llm.common import block_bounds, block_of, ship, slices, text_bytes, work_path
 
 #: Text bytes in a block, documents and bytes that the dictionary is trained on, and its size.
-BLOCK_BYTES, SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 16_000_000, 2_000, 8_000_000, 65_536
+BLOCK_BYTES, SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 8_000_000, 2_000, 8_000_000, 65_536
 LEVEL = 3
 
 
@@ -31,7 +31,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs:
 
     from basalt.llm.encoding import Encoder
 
-    rows = docs.where("text is not null").select(F.substring("text", 1, 20_000).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample_docs).collect()
+    keyed = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h"))
+    last = keyed.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    rows = [] if last is None else keyed.where(F.col("h") <= last).select(F.substring("text", 1, 20_000).alias("text"), "h").limit(sample_docs).collect()
+    rows.sort(key=lambda r: (r["h"], r["text"]))
     encoder = Encoder.of(tokenizer)
     held, ids = 0, []
     for x in encoder.encode(pa.array([r["text"] for r in rows], pa.string())):
@@ -108,8 +111,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("block", "e.*", (F.coalesce("base", F.lit(0)) + F.col("e.before")).alias("start")).drop("before")
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit integers) of every document, from the files alone."""
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit integers) of every document, from the files alone. Without with_ids, ids is left out."""
     ship(spark)
     stored = spark.read.parquet(f"{path}/dictionary").first()
     shared = spark.sparkContext.broadcast((stored["sha256"], bytes(stored["dictionary"])))
@@ -122,16 +125,23 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         assert hashlib.sha256(dictionary).hexdigest() == name, "another dictionary than the files were written with"
         _, expand = _codec(dictionary)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
                 assert row["sha256"] == name, "another dictionary than the block was written with"
-                got = [expand.decompress(row["payload"][e["offset"] : e["offset"] + e["length"]]) for e in row["index"]]
-                yield pa.record_batch([pa.array([e["doc_id"] for e in row["index"]], batch.schema.field("index").type.value_type.field("doc_id").type), pa.array([(row["base"] or 0) + e["before"] for e in row["index"]], pa.int64()), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([zlib.crc32(x) for x in got], pa.int64()), pa.array(got, pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                for at in range(0, len(row["index"]), 256):
+                    some = row["index"][at : at + 256]
+                    got = [expand.decompress(row["payload"][e["offset"] : e["offset"] + e["length"]]) for e in some]
+                    ids = pa.array([e["doc_id"] for e in some], batch.schema.field("index").type.value_type.field("doc_id").type)
+                    starts = pa.array([e["before"] for e in some], pa.int64())
+                    yield pa.record_batch([pa.array([row["block"]] * len(some), pa.int32()), ids, starts, pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([zlib.crc32(x) for x in got], pa.int64()), pa.array(got if with_ids else [None] * len(got), pa.binary())], ["block", "doc_id", "before", "n_tokens", "ids_crc32", "ids"])
 
-    rows = blocks.select("block", "sha256", "payload", "index").join(sums, "block")
-    return rows.mapInArrow(decode, T.StructType([id_field, *T.StructType.fromDDL("start long, n_tokens long, ids_crc32 long, ids binary")]))
+    schema = T.StructType([T.StructField("block", T.IntegerType()), id_field, *T.StructType.fromDDL("before long, n_tokens long, ids_crc32 long, ids binary")])
+    rows = blocks.select("block", "sha256", "payload", "index").mapInArrow(decode, schema)
+    if not with_ids:
+        rows = rows.drop("ids")
+    return rows.join(sums, "block").withColumn("start", F.coalesce("base", F.lit(0)) + F.col("before")).drop("block", "before", "base")
 
 
 def token_file_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes the files in the shared folder and returns what they hold."""
     path = write_token_files(docs, work_path(docs.sparkSession, "tokens"), tokenizer)
-    return read_token_files(docs.sparkSession, path)
+    return read_token_files(docs.sparkSession, path, with_ids=False)
