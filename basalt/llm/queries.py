@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import factorization, neighbours, packing, sharding, simhash, token_files, topk
+from basalt.llm import factorization, lattice, neighbours, packing, sharding, simhash, token_files, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +41,20 @@ def op7_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_quality_machine": op1_quality_machine, "op7_toxicity_neighbours": op7_toxicity_neighbours, "op2_simhash_near_dedup": op2_simhash_near_dedup, "op9_exact_top_k": op9_exact_top_k, "op3_sharding": op3_sharding, "op5_token_files": op5_token_files, "op8_best_fit_packing": op8_best_fit_packing}
+def op10_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    "op1_quality_machine": op1_quality_machine,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_sharding": op3_sharding,
+    "op5_token_files": op5_token_files,
+    "op7_toxicity_neighbours": op7_toxicity_neighbours,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_exact_top_k": op9_exact_top_k,
+    "op10_subword_lattice": op10_subword_lattice,
+}
 ORACLES: dict[str, str] = {
     "op9_exact_top_k": """
         WITH v AS (
