@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import factorization, lattice, neighbours, packing, sharding, simhash, token_files, topk
+from basalt.llm import factorization, lattice, mixing, neighbours, packing, sharding, simhash, spotsigs, token_files, topk
+
+#: Shares of all tokens that op6 aims at.
+MIX_TARGETS = {"high": 0.80, "low": 0.15, "toxic": 0.05}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,11 +48,23 @@ def op10_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_and_edit(_table(spark, sf_dir, "documents"))
+
+
+def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = _table(spark, sf_dir, "labels").select("doc_id", mixing.label_domain().alias("domain"))
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), labelled, MIX_TARGETS)
+    return mixed.select("doc_id", "n_tokens", *[mixed.posterior[k].alias(f"p_{k}") for k in sorted(MIX_TARGETS)], "rate", "copies")
+
+
 QUERIES = {
     "op1_quality_machine": op1_quality_machine,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_sharding": op3_sharding,
+    "op4_spotsigs": op4_spotsigs,
     "op5_token_files": op5_token_files,
+    "op6_soft_mixing": op6_soft_mixing,
     "op7_toxicity_neighbours": op7_toxicity_neighbours,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_top_k": op9_exact_top_k,
