@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.common import materialize
 
 #: Labelled rows and marking words of the classifier; gradient steps, their damping, and the share of error to stop at.
-SAMPLE_ROWS, WORDS, STEPS, DAMPING, CLOSE = 8_000, 400, 40, 1e-3, 1e-3
+SAMPLE_ROWS, WORDS, STEPS, DAMPING, CLOSE = 8_000, 400, 24, 1e-3, 5e-3
+#: After so many steps the rates are written and the next steps start from them.
+RESTART = 8
 SEED = 11
 _BINS = 8
 
@@ -20,27 +23,25 @@ def label_domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "high")
 
 
-def _with_statistics(docs: DataFrame) -> DataFrame:
-    """Adds the words and six binned statistics of whole texts; a null text is empty."""
-    text = F.coalesce("text", F.lit(""))
-    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
-    size = F.greatest(F.length(text), F.lit(1))
+#: Limits between the bins of each statistic: shares of capitals, of signs and of exclamation marks among the characters, distinct among all words, and the words' decimal logarithm.
+_LIMITS = ((0.005, 0.02, 0.05, 0.1, 0.3, 0.6), (0.002, 0.01, 0.03, 0.06, 0.12), (0.001, 0.01, 0.04, 0.1), (0.2, 0.35, 0.5, 0.65, 0.8, 0.95), (1.0, 1.5, 2.0, 2.5, 3.0, 3.5))
+_SIGNS = ("[^A-Z]", r"[^#$%&*+=<>^~|\\]", "[^!]")
 
-    def share(pattern: str) -> Column:
-        return F.regexp_count(text, F.lit(pattern)) / size
 
-    def cut(x: Column, *limits: float) -> Column:
-        return sum((F.when(x >= v, 1).otherwise(0) for v in limits), F.lit(0))
+def _at_most(x: Column):
+    return lambda v: v <= x
 
-    out = docs.withColumn("_words", words).withColumn("_own", F.array_distinct("_words"))
-    return (
-        out.withColumn("n_tokens", (F.size("_words") + 1).cast("long"))
-        .withColumn("_f0", cut(share("[A-Z]"), 0.005, 0.02, 0.05, 0.1, 0.3, 0.6))
-        .withColumn("_f1", cut(share(r"[#$%&*+=<>^~|\\]"), 0.002, 0.01, 0.03, 0.06, 0.12))
-        .withColumn("_f2", cut(share("!"), 0.001, 0.01, 0.04, 0.1))
-        .withColumn("_f3", cut(F.size("_own") / F.greatest(F.size("_words"), F.lit(1)), 0.2, 0.35, 0.5, 0.65, 0.8, 0.95))
-        .withColumn("_f4", cut(F.log10(F.size("_words") + F.lit(1.0)), 1, 1.5, 2, 2.5, 3, 3.5))
-    )
+
+def _with_statistics(docs: DataFrame) -> DataFrame:
+    """Adds the distinct words, n_tokens and five binned statistics of whole texts; a null text is empty."""
+    text = F.coalesce("text", F.lit(""))
+    out = docs.withColumn("_words", F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""))
+    size = F.greatest(F.length(text), F.lit(1))
+    raw = [F.length(F.regexp_replace(text, keep, "")) / size for keep in _SIGNS]
+    out = out.select("*", F.array_distinct("_words").alias("_own"), F.size("_words").alias("_n"), *[x.alias(f"_x{i}") for i, x in enumerate(raw)])
+    out = out.select("*", (F.size("_own") / F.greatest(F.col("_n"), F.lit(1))).alias("_x3"), F.log10(F.col("_n") + F.lit(1.0)).alias("_x4"), (F.col("_n") + 1).cast("long").alias("n_tokens"))
+    bins = [F.size(F.filter(F.array(*map(F.lit, limits)), _at_most(F.col(f"_x{i}")))).alias(f"_f{i}") for i, limits in enumerate(_LIMITS)]
+    return out.select(*docs.columns, "_own", "n_tokens", *bins)
 
 
 def train(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
@@ -94,23 +95,28 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     marked = marked.withColumn("_e", F.transform("_logs", lambda x: F.exp(x - top)))
     whole = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
     made = marked.withColumn("posterior", F.map_from_arrays(F.array(*map(F.lit, domains)), F.transform("_e", lambda x: x / whole)))
-    return made.drop("_words", "_own", "_logs", "_e", *[f"_f{i}" for i in range(model["features"])])
+    return made.drop("_own", "_logs", "_e", *[f"_f{i}" for i in range(model["features"])])
 
 
-def _rate(shares: list[Column], steps: list[list[float]], rate: float) -> Column:
+def _rate(shares: list[Column], steps: list[list[float]], rate: float, start: Column | None = None) -> Column:
     """A document's rate after the given steps, each a gradient for every domain, from a rate of 1, never below 0."""
-    r: Column = F.lit(1.0)
-    for g in steps:
-        slope = sum((p * F.lit(x) for p, x in zip(shares, g, strict=True)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), r - F.lit(rate) * (slope + F.lit(DAMPING) * (r - 1)))
-    return r
+    start = F.lit(1.0) if start is None else start
+    if not steps:
+        return start
+
+    def step(r: Column, g: Column) -> Column:
+        slope = sum((p * F.get(g, F.lit(i)) for i, p in enumerate(shares)), F.lit(0.0))
+        return F.greatest(F.lit(0.0), r - F.lit(rate) * (slope + F.lit(DAMPING) * (r - 1)))
+
+    return F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in steps]), start, step)
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tuple[Column, dict]:
-    """members: n_tokens and posterior. Rates r >= 0 that minimize sum_k (sum_i r_i n_i p_ik - T_k)^2 / mass_k + damping.
+    """members: n_tokens and posterior. Rates r >= 0 that minimize e' G^-1 e and a damping, e the totals' errors and G = sum_i n_i p_i p_i'.
 
-    Projected gradient in the token metric. A rate follows from a document's own posteriors and the steps so far,
-    so each step is one aggregation to as many numbers as there are domains; no rate is stored between steps.
+    Projected gradient in the token metric, where this least-squares objective has curvature 1 at most: domains that
+    overlap take no more steps than others. A rate follows from a document's own posteriors and the steps so far,
+    so each step is one aggregation to as many numbers as there are domains.
     Domains without mass are left out and the other targets made to sum to one. Returns the rate's expression and the totals.
     """
     names = sorted(targets)
@@ -122,16 +128,25 @@ def fit_rates(members: DataFrame, targets: dict[str, float], steps: int = STEPS)
     share = sum(targets[k] for k, _ in held)
     goal = [targets[k] / share * whole for k, _ in held]
     shares = [F.coalesce(F.col("posterior")[k], F.lit(0.0)) for k, _ in held]
+    speed = 1 / (1 + DAMPING)
+    columns = [F.col(f"p{i}") for i in range(len(held))]
+    state = materialize(members.select("n_tokens", *[p.alias(f"p{i}") for i, p in enumerate(shares)], F.lit(1.0).alias("r")), "rates")
+    sums = [F.sum(F.col("n_tokens") * columns[i] * columns[j]) for i in range(len(held)) for j in range(len(held))]
+    gram = np.array(state.agg(*sums).first(), np.float64).reshape(len(held), -1)
+    weights = np.linalg.pinv(gram + np.diag(np.diag(gram)) * 1e-6)
     path: list[list[float]] = []
+    since: list[list[float]] = []
     now = [m for _, m in held]
     for _ in range(steps):
         if max(abs(a - b) / b for a, b in zip(now, goal, strict=True)) < CLOSE:
             break
-        path.append([(a - b) / m for a, b, (_, m) in zip(now, goal, held, strict=True)])
-        r = _rate(shares, path, 1 / (1 + DAMPING))
-        got = members.select((F.col("n_tokens") * r).alias("t"), *[p.alias(f"p{i}") for i, p in enumerate(shares)]).agg(*[F.sum(F.col("t") * F.col(f"p{i}")) for i in range(len(shares))]).first()
-        now = list(got)
-    return _rate(shares, path, 1 / (1 + DAMPING)), {k: (g, a) for (k, _), g, a in zip(held, goal, now, strict=True)}
+        since.append((weights @ (np.array(now) - np.array(goal))).tolist())
+        path.append(since[-1])
+        tokens = state.select((F.col("n_tokens") * _rate(columns, since, speed, F.col("r"))).alias("t"), *columns)
+        now = list(tokens.agg(*[F.sum(F.col("t") * p) for p in columns]).first())
+        if len(since) == RESTART:
+            state, since = materialize(state.withColumn("r", _rate(columns, since, speed, F.col("r"))), "rates"), []
+    return _rate(shares, path, speed), {k: (g, a) for (k, _), g, a in zip(held, goal, now, strict=True)}
 
 
 def copies(rate: Column, seed: int = SEED) -> Column:
@@ -150,5 +165,6 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Data
 
 def sample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
     """The columns of docs, each row as often as its copies say."""
-    mixed = mix(docs, labelled, targets)
-    return mixed.where("copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    # Written first: a filter on copies would be pushed below the classifier and compute it many times a row.
+    mixed = materialize(mix(docs, labelled, targets).select(*docs.columns, F.col("copies").alias("_copies")), "mixed")
+    return mixed.where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

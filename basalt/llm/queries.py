@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from basalt.llm import factorization, lattice, mixing, neighbours, packing, sharding, simhash, spotsigs, token_files, topk
 
 #: Shares of all tokens that op6 aims at.
-MIX_TARGETS = {"high": 0.80, "low": 0.15, "toxic": 0.05}
+MIX_TARGETS = {"high": 0.90, "low": 0.08, "toxic": 0.02}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", *[mixed.posterior[k].alias(f"p_{k}") for k in sorted(MIX_TARGETS)], "rate", "copies")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_quality_machine": op1_quality_machine,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -69,6 +75,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_subword_lattice": op10_subword_lattice,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
     "op9_exact_top_k": """
