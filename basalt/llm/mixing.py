@@ -25,7 +25,8 @@ def label_domain() -> Column:
 
 #: Limits between the bins of each statistic: shares of capitals, of signs and of exclamation marks among the characters, distinct among all words, and the words' decimal logarithm.
 _LIMITS = ((0.005, 0.02, 0.05, 0.1, 0.3, 0.6), (0.002, 0.01, 0.03, 0.06, 0.12), (0.001, 0.01, 0.04, 0.1), (0.2, 0.35, 0.5, 0.65, 0.8, 0.95), (1.0, 1.5, 2.0, 2.5, 3.0, 3.5))
-_SIGNS = ("[^A-Z]", r"[^#$%&*+=<>^~|\\]", "[^!]")
+#: What is taken out of a text to leave the signs that are counted.
+_SIGNS = ("[^A-Z]+", r"[^#$%&*+=<>^~|\\]+", "[^!]+")
 
 
 def _at_most(x: Column):
@@ -149,22 +150,28 @@ def fit_rates(members: DataFrame, targets: dict[str, float], steps: int = STEPS)
     return _rate(shares, path, speed), {k: (g, a) for (k, _), g, a in zip(held, goal, now, strict=True)}
 
 
-def copies(rate: Column, seed: int = SEED) -> Column:
-    """How often a document is taken: the rate rounded up or down by a seeded hash of the document, so the expectation is the rate."""
-    u = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+def copies(rate: Column, u: Column) -> Column:
+    """How often a document is taken: the rate rounded up or down by u, uniform in [0, 1), so the expectation is the rate."""
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """docs, all columns, with n_tokens, posterior, rate and copies. Repeated rows are rated each; null texts are empty."""
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str] | None = None, seed: int = SEED) -> DataFrame:
+    """docs (all columns, or those in keep) with n_tokens, posterior, rate and copies.
+
+    Texts are read once: what the classifier says is written with the columns kept, and rates are fitted on it. A seeded
+    hash of doc_id and text rounds the rate. Repeated rows are rated each; null texts are empty. No rows, no result.
+    """
     model = train(docs, labelled)
-    members = materialize(posteriors(docs.select("doc_id", "text"), model).select("n_tokens", "posterior"), "members")
-    rate, _ = fit_rates(members, targets)
-    return posteriors(docs, model).withColumn("rate", rate).withColumn("copies", copies(F.col("rate")))
+    u = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    kept = docs.columns if keep is None else keep
+    members = materialize(posteriors(docs, model).select(*kept, "n_tokens", "posterior", u.alias("_u")), "members")
+    rate, _ = fit_rates(members.select("n_tokens", "posterior"), targets)
+    return members.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"), F.col("_u"))).drop("_u")
 
 
 def sample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
     """The columns of docs, each row as often as its copies say."""
-    # Written first: a filter on copies would be pushed below the classifier and compute it many times a row.
-    mixed = materialize(mix(docs, labelled, targets).select(*docs.columns, F.col("copies").alias("_copies")), "mixed")
-    return mixed.where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    mixed = mix(docs.withColumnsRenamed({c: f"_d_{c}" for c in docs.columns if c not in ("doc_id", "text")}), labelled, targets)
+    # The rows as often as they are taken, none for none: no filter, which would be pushed below the rate and repeat it.
+    taken = mixed.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    return taken.select(*[F.col(c if c in ("doc_id", "text") else f"_d_{c}").alias(c) for c in docs.columns])
