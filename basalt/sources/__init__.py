@@ -1 +1 @@
-
+"""Sources: files, tables and manifests."""
