@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.llm.common import block_bounds, block_of, text_bytes
+from basalt.llm.common import block_bounds, block_of, materialize, text_bytes
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -74,8 +74,10 @@ def similar_sets(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     one of its n - ceil(similarity * n) + 1 rarest signatures, then sizes prune and Jaccard decides. Rarest-first
     keeps a signature that a third of the sets share out of the prefixes, unless sets have little else.
     """
-    sets = with_signatures(docs.select("text"), {"text": "sig"}).select("sig").distinct().where(F.size("sig") > 0).withColumn("id", text_form(F.col("sig")))
-    sets = sets.withColumn("part", length_partition(F.col("sig"), similarity))
+    # Written before it is filtered: a filter would be pushed below the signatures and compute them again.
+    made = materialize(with_signatures(docs.select("text"), {"text": "sig"}).select("sig").distinct(), "signatures")
+    sets = made.where(F.size("sig") > 0).withColumn("id", text_form(F.col("sig")))
+    sets = materialize(sets.withColumn("part", length_partition(F.col("sig"), similarity)), "sets")
     spread = sets.select("id", "part", F.size("sig").alias("n"), F.explode("sig").alias("s"))
     counts = spread.groupBy("s").agg(F.count("*").alias("df"))
     ranked = spread.join(counts, "s").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "s")))
