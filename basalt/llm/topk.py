@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from basalt.llm.common import materialize, ship
 
 #: Rows that the pivots are drawn from and the pivots; rows of an index chunk and of a block of queries.
-PIVOT_SAMPLE, PIVOTS, CHUNK, QUERY_BLOCK = 4_096, 32, 2_048, 512
+PIVOT_SAMPLE, PIVOTS, CHUNK, QUERY_BLOCK = 4_096, 32, 2_048, 1_024
 #: Chunks whose rings are held in one list.
 RING_LIST = 4_096
 K = 20
@@ -47,6 +47,16 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return among[np.lexsort((ids[among], -scores[among]))][:k]
 
 
+def packed(v: np.ndarray) -> bytes:
+    """A matrix of whole numbers, in 2 bytes each where they fit, and a byte that tells which."""
+    small = not len(v) or np.abs(v).max() < 1 << 15
+    return (b"2" if small else b"8") + v.astype("<i2" if small else "<f8").tobytes()
+
+
+def unpacked(data: bytes, dims: int) -> np.ndarray:
+    return np.frombuffer(data, "<i2" if data[:1] == b"2" else "<f8", offset=1).astype(np.float64).reshape(-1, dims)
+
+
 def pivots(vectors: DataFrame, m2: float, count: int = PIVOTS) -> np.ndarray:
     """Farthest-first pivots from PIVOT_SAMPLE rows of smallest hash. Any pivots give exact results; these part the data."""
     rows = vectors.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect()
@@ -92,7 +102,7 @@ def build_index(vectors: DataFrame, m2: float, points: np.ndarray, chunk: int =
         out = []
         for at in range(0, len(frame), 4 * chunk):
             some = frame.iloc[at : at + 4 * chunk]
-            out.append((some["pivot"].iloc[0], some.distance.iloc[0], some.distance.iloc[-1], some.vec_id.to_numpy("<i8").tobytes(), np.stack(some.v.to_list()).astype("<f8").tobytes(), some.distance.to_numpy("<f8").tobytes()))
+            out.append((some["pivot"].iloc[0], some.distance.iloc[0], some.distance.iloc[-1], some.vec_id.to_numpy("<i8").tobytes(), packed(np.stack(some.v.to_list())), some.distance.to_numpy("<f8").tobytes()))
         import pandas as pd
 
         return pd.DataFrame(out, columns=["pivot", "near", "far", "ids", "vectors", "distances"])
@@ -143,7 +153,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, count: int = PIVOT
                     q = np.frombuffer(r["q_vectors"], "<f8").reshape(-1, dims)
                     qid = np.frombuffer(r["q_ids"], "<i8")
                     away = np.frombuffer(r["q_distances"], "<f8").reshape(len(q), -1)[:, r["pivot"]]
-                    v = np.frombuffer(r["vectors"], "<f8").reshape(-1, dims)
+                    v = unpacked(r["vectors"], dims)
                     ids = np.frombuffer(r["ids"], "<i8")
                     ring = np.frombuffer(r["distances"], "<f8")
                     if first_round:
