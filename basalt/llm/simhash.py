@@ -131,7 +131,10 @@ def links(prints: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(doc_id, h, fp, component_id): component_id is the smallest doc_id reachable over links of 3 or fewer differing bits.
+    """(doc_id, h, fp, root, component_id): component_id is the smallest doc_id reachable over links of 3 or fewer differing bits.
+
+    root is the component's smallest fingerprint and alone tells components apart: all components of null ids have the
+    component_id null, and one doc_id with different texts can be the smallest of several.
 
     Equal fingerprints are compared once. Null and empty texts have fingerprint 0 and are linked like
     any other; repeated rows are in one component; a null doc_id is never the smallest (a component of
@@ -141,22 +144,26 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, cell_rows: int = CELL
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     found = components(links(nodes.select("fp"), cell_rows))
     rooted = nodes.join(found, nodes.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(materialize(named, "components"), "fp").select("doc_id", "h", "fp", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
+    return prints.join(materialize(named, "components"), "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
 def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """The rows of docs, all columns, of which each component keeps one: that of the smallest doc_id, then the smallest text hash."""
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, of which each root in found (doc_id, h, root) keeps one: that of the smallest doc_id, then the smallest text hash."""
     from pyspark.sql import Window
 
-    found = near_duplicates(docs, words)
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("k"))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("k"))
     best = best.select(F.col("k.doc_id").alias("_id"), F.col("k.h").alias("_h"))
     rows = docs.withColumn("_th", F.xxhash64("text"))
     kept = rows.join(best, rows.doc_id.eqNullSafe(best._id) & (rows._th == best._h), "left_semi")
     once = Window.partitionBy("doc_id", "_th").orderBy(F.lit(1))
     return kept.withColumn("_row", F.row_number().over(once)).where("_row = 1").select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """One row of docs, all columns, of each component of near_duplicates."""
+    return first_of_each(docs, near_duplicates(docs, words))

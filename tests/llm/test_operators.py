@@ -133,6 +133,15 @@ def test_simhash(docs, empty):
     assert set(kept[0].asDict()) == set(docs.columns)
 
 
+def test_keep_one_tells_components_apart(spark):
+    """Components of null ids, and one doc_id with unrelated texts, are components of their own."""
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (7, c), (7, d), (9, d)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, a), (None, b), (7, c), (7, d)])
+
+
 def test_dense_grid_cells():
     rng = np.random.default_rng(2)
     import pyarrow as pa
