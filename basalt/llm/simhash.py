@@ -25,14 +25,14 @@ _SIDE = 16
 _STEP = 3 ** np.arange(_SIDE, dtype=np.int64)
 
 
-def fingerprint(text: str | bytes | None, words: int = SHINGLE) -> int:
-    """Bits set in over half of the hashes of the word shingles; 0 without words. Null is empty."""
+def shingle_hashes(text: str | bytes | None, words: int) -> np.ndarray:
+    """Hashes of the word shingles in their order, repeats too; a shorter text is one shingle. Null is empty."""
     import xxhash
 
     data = text.encode() if isinstance(text, str) else text or b""
     tokens = data.lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     size = list(map(len, tokens))
     joined = b" ".join(tokens)
     ends = np.cumsum(np.array(size) + 1) - 1
@@ -42,7 +42,14 @@ def fingerprint(text: str | bytes | None, words: int = SHINGLE) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(text: str | bytes | None, words: int = SHINGLE) -> int:
+    """Bits set in over half of the hashes of the word shingles; 0 without words. Null is empty."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0
     counts = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
