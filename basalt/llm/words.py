@@ -7,8 +7,9 @@ import functools
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Two primes below 2**31 and a base for each. No sums modulo a power of two: there texts of two signs collide for every base.
+_PRIMES = (2_147_483_629, 2_147_483_587)
+_BASES = (1_180_591_620, 1_917_512_473)
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 #: ASCII letters and digits and all non-ASCII bytes belong to a term; the rest parts terms.
@@ -17,13 +18,20 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up = np.full(n, _BASE, np.uint64)
-        down = np.full(n, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+@functools.lru_cache(maxsize=2)
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The first n powers, a power of two, of each base and of its inverse."""
+    out = []
+    for prime, base in zip(_PRIMES, _BASES, strict=True):
+        pair = []
+        for b in (base, pow(base, -1, prime)):
+            table, step = np.ones(1, np.uint64), b
+            while len(table) < n:
+                table = np.concatenate([table, table * np.uint64(step) % np.uint64(prime)])
+                step = step * step % prime
+            pair.append(table)
+        out.append((pair[0], pair[1]))
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -43,18 +51,39 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... for size[i] places, one run after the other."""
+    stop = np.cumsum(size)
+    return np.repeat(start - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether spans of equal sizes hold the same bytes."""
+    unlike = a[runs(a_start, size)] != b[runs(b_start, size)]
+    total = np.zeros(len(unlike) + 1, np.int64)
+    np.cumsum(unlike, out=total[1:])
+    stop = np.cumsum(size)
+    return total[stop] == total[stop - size]
+
+
 class Spans:
-    """Hashes of any byte spans of data: equal bytes, equal hash."""
+    """Hashes of any byte spans of data: equal bytes, equal hash. Unequal bytes rarely meet, and callers that must be exact compare them."""
 
     def __init__(self, data: np.ndarray):
-        self._up, self._down = _powers(1 << max(16, int(len(data) + 1).bit_length()))
+        self._tables = _powers(1 << max(16, int(len(data) + 1).bit_length()))
+        values = data.astype(np.uint64) + np.uint64(1)
+        self._sums = []
         with np.errstate(over="ignore"):
-            self._sum = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._up[: len(data)], out=self._sum[1:])
+            for up, _ in self._tables:
+                total = np.zeros(len(data) + 1, np.uint64)
+                # Differences are exact for spans up to 2**25 bytes; equal longer ones may get two hashes and count as two kinds.
+                np.cumsum(values * up[: len(data)], out=total[1:])
+                self._sums.append(total)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix((self._sum[end] - self._sum[start]) * self._down[start] + (end - start).astype(np.uint64))
+            got = [(total[end] - total[start]) % np.uint64(p) * down[start] % np.uint64(p) for p, total, (_, down) in zip(_PRIMES, self._sums, self._tables, strict=True)]
+            return mix((got[0] << np.uint64(32) | got[1]) + np.uint64(0x9E3779B97F4A7C15) * (end - start).astype(np.uint64))
 
 
 def lower(data: np.ndarray) -> np.ndarray:
@@ -90,3 +119,19 @@ class Words(Spans):
 
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(one, place): a word of each kind and each word's kind. Exact: words that share a hash are compared."""
+        _, one, place = np.unique(self.hashes(), return_index=True, return_inverse=True)
+        size = self.end - self.start
+        other = one[place]
+        alike = size[other] == size
+        some = np.flatnonzero(alike & (other != np.arange(len(other))))
+        alike[some] = same_bytes(self.data, self.start[some], self.data, self.start[other[some]], size[some])
+        apart: dict[bytes, int] = {}
+        for i in np.flatnonzero(~alike).tolist():
+            kind = apart.setdefault(self.text(i), len(one))
+            if kind == len(one):
+                one = np.append(one, i)
+            place[i] = kind
+        return one, place
