@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basalt.llm.common import materialize, ship, slices
 
 CAPACITY = 4096
-#: Ranks within a length are counted in so many parts, so no length meets in one task.
-PARTS = 64
+#: Pieces of one length whose ranks one task counts.
+PART_ROWS = 250_000
 
 
 class _Lengths:
@@ -37,10 +39,10 @@ class _Lengths:
         i = bisect.bisect_right(self.order, limit)
         return self.order[i - 1] if i else None
 
-    def smallest_sum(self, n: int) -> int:
-        """The sum of the n shortest pieces; past any capacity if there are fewer."""
+    def smallest_sum(self, n: int, longer: int = 0) -> int:
+        """The sum of the n shortest pieces longer than `longer`; past any capacity if there are fewer."""
         total = 0
-        for length in self.order:
+        for length in self.order[bisect.bisect_right(self.order, longer) :]:
             k = min(n, self.left[length])
             total, n = total + k * length, n - k
             if not n:
@@ -61,22 +63,50 @@ class _Lengths:
                 i += 1
         return best
 
+    def without(self, length: int) -> _Lengths:
+        """The same but for one piece of that length."""
+        rest = dict(self.left)
+        rest[length] -= 1
+        return _Lengths({k: v for k, v in rest.items() if v})
+
+    def dominating(self, top: int, capacity: int) -> list[int] | None:
+        """The pieces beside one of length top that dominate every other set beside it, or None where no rule holds.
+
+        A set dominates another if the other's pieces fit in the places of its own. Beside top, with room r:
+        nothing, if no piece fits; one piece of just r; the longest piece a that fits, if no two fit, or if no three
+        fit and no two make more than a; a and the longest b that fits beside it, if no three fit and no two
+        longer than b fit (each pair's longer piece then has a's place and the shorter one b's).
+        """
+        room, rest = capacity - top, self if self.left[top] > 1 else self.without(top)
+        a = rest.largest_up_to(room)
+        if a is None:
+            return []
+        if self.left[top] > 1 and a >= top:
+            rest = self.without(top)
+            a = rest.largest_up_to(room)
+        if a == room or rest.smallest_sum(2) > room:
+            return [a]
+        if rest.smallest_sum(3) <= room:
+            return None
+        if a >= rest.best_pair(room):
+            return [a]
+        less = rest.without(a)
+        b = less.largest_up_to(room - a)
+        return [a, b] if b is not None and rest.smallest_sum(2, b) > room else None
+
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int, int, int]], int, int]:
     """Where the pieces of each length go: (length, first rank, last rank + 1, first sequence, pieces a sequence, offset, reduced).
 
     The counts are at most `capacity` numbers, however many documents there are, and the
-    plan has a few rows for each. Reduction (Martello and Toth, sets of up to three): the longest piece left
-    is fixed alone if nothing fits beside it; with a piece that fills the sequence exactly; with the longest
-    piece that fits, if no two fit or if it is at least as long as any two that fit. Each such set dominates
-    every other set with that piece, so fixing it loses no sequence. The longest piece for which none holds
-    stays in the remainder, and the reduction goes on with the next. The remainder goes by best fit, longest first,
-    into the fullest sequence that has room. Returns the rows, the number of sequences, and how many the reduction fixed.
+    plan has a few rows for each. Reduction (Martello and Toth): from the longest piece down, where some set of at most
+    three pieces with it dominates every other, it is fixed, which loses no sequence; passes repeat until one fixes nothing.
+    The remainder goes by best fit, longest first, into the fullest sequence that has room.
+    Returns the rows, the number of sequences, and how many the reduction fixed.
     """
     pieces = _Lengths({k: v for k, v in counts.items() if k > 0 and v > 0})
     rows: list[tuple[int, int, int, int, int, int, int]] = []
     sequences = 0
-    rest: list[int] = []
 
     def fix(lengths: list[int], n: int) -> None:
         nonlocal sequences
@@ -87,24 +117,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
             offset += length
         sequences += n
 
-    held: dict[int, int] = {}
-    while pieces.order:
-        top = pieces.order[-1]
-        room, n = capacity - top, pieces.left[top]
-        other = pieces.largest_up_to(room)
-        if other is None:
-            fix([top], n)
-        elif other == top:
-            # The longest pieces fit in pairs: what is left is for best fit.
-            break
-        elif other == room or pieces.smallest_sum(2) > room or other >= pieces.best_pair(room):
-            fix([top, other], min(n, pieces.left[other]))
-        else:
-            # Undecided: set aside for best fit; shorter pieces may still be fixed against the rest.
-            held[top] = n
-            pieces.order.pop()
+    before = -1
+    while before != sequences:
+        before = sequences
+        for top in sorted(pieces.order, reverse=True):
+            while pieces.left[top]:
+                beside = pieces.dominating(top, capacity)
+                if beside is None:
+                    break
+                together = Counter([top, *beside])
+                # As often as the same pieces are there: with fewer pieces left the rule holds all the more.
+                fix([top, *beside], min(pieces.left[k] // v for k, v in together.items()))
     fixed = sequences
-    rest = sorted({*held, *pieces.order}, reverse=True)
+    rest = sorted(pieces.order, reverse=True)
     # Open sequences by the room they have: room -> runs of (first sequence, how many).
     rooms: list[int] = []
     runs: dict[int, list[tuple[int, int]]] = {}
@@ -168,44 +193,50 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY, salt: str | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """Adds sequence_id, offset and reduced to rows with a length from 1 to capacity.
 
-    Ranks within a length come from counts by (length, part); a part is a hash of the row, so a
-    length that a third of all pieces share is still spread over tasks. Rows equal in every ranked column
-    are interchangeable. The plan has a few rows for each of at most `capacity` lengths: it is sent to all tasks.
+    Ranks within a length come from counts by (length, part). A length has a part for each part_rows pieces, so one that a
+    third of all pieces share is spread over tasks. salt names a column that deals the pieces to parts (a stored number that
+    differs in equal rows too); it is left out of the result. Without it a hash of the row does, and equal rows share a part.
+    The plan and the parts are a few rows for each of at most `capacity` lengths and each part_rows pieces: they go to all tasks.
     """
     spark = pieces.sparkSession
     ship(spark)
-    parted = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
-    counts = parted.groupBy("length", "_part").agg(F.count("*").alias("n"))
-    got = counts.collect()  # capacity * PARTS rows at most
-    by_length: dict[int, int] = {}
-    bases = np.zeros((capacity + 1) * PARTS, np.int64)
-    for r in sorted(got, key=lambda r: (r["length"], r["_part"])):
-        bases[r["length"] * PARTS + r["_part"]] = by_length.get(r["length"], 0)
-        by_length[r["length"]] = by_length.get(r["length"], 0) + r["n"]
+    names = [c for c in pieces.columns if c != salt]
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    dealt = F.col(f"`{salt}`") if salt else F.xxhash64("doc_id", "piece", "ids_crc32")
+    keyed = pieces.select(*columns, F.col("length").alias("l"), dealt.cast("long").alias("s"))
+    by_length = {r["l"]: r["n"] for r in keyed.groupBy("l").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    many = {k: -(-n // part_rows) for k, n in by_length.items() if n > part_rows}
+    parts = F.coalesce(F.create_map(*[F.lit(int(x)) for pair in many.items() for x in pair])[F.col("l").cast("int")], F.lit(1)) if many else F.lit(1)
+    parted = keyed.withColumn("p", F.pmod(F.xxhash64("s"), parts).cast("int"))
+    got = parted.groupBy("l", "p").agg(F.count("*").alias("n")).collect()  # a row for each length and each part_rows pieces
+    bases: dict[tuple[int, int], int] = {}
+    seen: dict[int, int] = {}
+    for r in sorted(got, key=lambda r: (r["l"], r["p"])):
+        bases[r["l"], r["p"]] = seen.get(r["l"], 0)
+        seen[r["l"]] = seen.get(r["l"], 0) + r["n"]
     rows, _, _ = plan(by_length, capacity)
     table = np.array(sorted(rows), np.int64).reshape(-1, 7)
-    shared = spark.sparkContext.broadcast((bases, table))
-    names = pieces.columns
+    first = np.array(sorted((k * (1 << 32) + p, v) for (k, p), v in bases.items()), np.int64).reshape(-1, 2)
+    shared = spark.sparkContext.broadcast((first, table))
 
     def locate(batches):
-        bases, table = shared.value
+        first, table = shared.value
         keys = table[:, 0] * (1 << 44) + table[:, 1]
         for batch in batches:
-            length = batch.column(names.index("length")).to_numpy(zero_copy_only=False)
-            part = batch.column(len(names)).to_numpy(zero_copy_only=False)
-            rank = bases[length * PARTS + part] + batch.column(len(names) + 1).to_numpy(zero_copy_only=False) - 1
+            length, part, rank = (batch.column(len(names) + i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            rank = first[np.searchsorted(first[:, 0], length * (1 << 32) + part), 1] + rank - 1
             row = table[np.searchsorted(keys, length * (1 << 44) + rank, side="right") - 1]
             i = rank - row[:, 1]
             out = [pa.array(row[:, 3] + i // row[:, 4]), pa.array(row[:, 5] + i % row[:, 4] * length), pa.array(row[:, 6] == 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *out], [*names, "sequence_id", "offset", "reduced"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *out], [*[f"c{i}" for i in range(len(names))], "sequence_id", "offset", "reduced"])
 
-    within = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = parted.withColumn("_rank", F.row_number().over(within))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, reduced boolean"
-    return ranked.mapInArrow(locate, schema)
+    within = Window.partitionBy("l", "p").orderBy("s", *[f"c{names.index(c)}" for c in ("doc_id", "piece", "ids_crc32")])
+    ranked = parted.withColumn("r", F.row_number().over(within)).select(*[f"c{i}" for i in range(len(names))], "l", "p", "r")
+    kept = T.StructType([T.StructField(f"c{i}", pieces.schema[c].dataType) for i, c in enumerate(names)] + T.StructType.fromDDL("sequence_id long, offset long, reduced boolean").fields)
+    return ranked.mapInArrow(locate, kept).toDF(*names, "sequence_id", "offset", "reduced")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
@@ -214,5 +245,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
     The ids are encoded once and written, without their texts, to the shared folder; placing reads
     the narrow columns only. A null doc_id is kept; repeated rows are packed each.
     """
-    pieces = materialize(encode_pieces(docs, tokenizer, end_id, capacity).drop("ids"), "pieces")
-    return place(pieces, capacity)
+    pieces = encode_pieces(docs, tokenizer, end_id, capacity).drop("ids")
+    # Stored, so a task that runs again reads the same number.
+    return place(materialize(pieces.withColumn("salt", F.xxhash64("doc_id", "piece", F.monotonically_increasing_id())), "pieces"), capacity, "salt")

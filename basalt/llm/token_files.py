@@ -2,9 +2,10 @@
 
 Layout under one path:
   dictionary  sha256, dictionary (one row)
-  blocks      block, sha256, documents, tokens, payload (the frames of a block on end)
-  index       block, doc_id, place, offset, length, n_tokens, before (tokens of the block's earlier documents)
-A reader of one document needs its index row, its block's payload and the dictionary.
+  blocks      part, block, sha256, documents, tokens, payload (the frames of a block on end), index
+              (an array of doc_id, place, offset, length, n_tokens, before: the tokens of the block's earlier documents)
+Parts are ranges of (doc_id, text hash) in order, blocks follow each other within a part. A reader of one document
+needs its index entry, its block's payload and the dictionary.
 """
 
 from __future__ import annotations
@@ -18,32 +19,36 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basalt.llm.common import block_bounds, block_of, ship, slices, text_bytes, work_path
+from basalt.llm.common import ship, slices, text_bytes, work_path
 
-#: Text bytes in a block, documents and bytes that the dictionary is trained on, and its size.
-BLOCK_BYTES, SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 8_000_000, 2_000, 8_000_000, 65_536
+#: Text bytes of a part, frame bytes of a block.
+PART_BYTES, BLOCK_BYTES = 16_000_000, 4_000_000
+#: The dictionary's sample: documents, the UTF-8 bytes of their texts together, and the dictionary's size.
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2_000, 8_000_000, 65_536
 LEVEL = 3
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs: int = SAMPLE_DOCS) -> bytes:
-    """A dictionary from the id arrays of at most sample_docs documents, those of smallest hash. Empty where there are too few."""
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> bytes:
+    """A dictionary from the id arrays of whole documents: of the sample_docs texts of smallest hash those that fit in sample_bytes together, in that order.
+
+    The sample only bears on how small the frames get. Empty where there are too few documents.
+    """
     import zstandard
 
     from basalt.llm.encoding import Encoder
 
-    keyed = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h"))
-    last = keyed.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    rows = [] if last is None else keyed.where(F.col("h") <= last).select(F.substring("text", 1, 20_000).alias("text"), "h").limit(sample_docs).collect()
-    rows.sort(key=lambda r: (r["h"], r["text"]))
-    encoder = Encoder.of(tokenizer)
-    held, ids = 0, []
-    for x in encoder.encode(pa.array([r["text"] for r in rows], pa.string())):
-        ids.append(np.append(x, end_id).astype("<u4").tobytes())
-        held += len(ids[-1])
-        if held > SAMPLE_BYTES:
-            break
+    keyed = docs.where("text is not null").select("text", F.xxhash64("text").alias("h"))
+    sizes = keyed.groupBy("h").agg(F.max(F.octet_length("text").cast("long")).alias("n")).orderBy("h").limit(sample_docs).collect()
+    wanted, held = [], 0
+    for r in sizes:
+        if held + r["n"] <= sample_bytes:
+            wanted.append(r["h"])
+            held += r["n"]
+    some = docs.sparkSession.createDataFrame([(h,) for h in wanted], "h long")
+    rows = keyed.join(F.broadcast(some), "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect() if wanted else []
+    found = Encoder.of(tokenizer).encode(pa.array([r["text"] for r in rows], pa.string()))
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, ids).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [np.append(x, end_id).astype("<u4").tobytes() for x in found]).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -55,60 +60,73 @@ def _codec(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True), zstandard.ZstdDecompressor(dict_data=shared)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block_bytes: int = BLOCK_BYTES) -> str:
-    """Encodes every whole text (null: empty), appends end_id, and writes the files in ascending doc_id order (nulls first; rows of one doc_id by text).
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, part_bytes: int = PART_BYTES, block_bytes: int = BLOCK_BYTES) -> str:
+    """Encodes every whole text (null: empty), appends end_id, and writes the files in ascending doc_id order (nulls first; rows of one doc_id by their text's hash).
 
-    Extra columns are left out. An empty table gives empty blocks and index.
+    One shuffle by ranges of (doc_id, text hash), so one id, or null, in many rows is many tasks' work. A task encodes its
+    sorted part and lays out a block whenever block_bytes of frames are ready; it holds no more than that. Extra columns are
+    left out. An empty table gives empty blocks.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     dictionary = train_dictionary(docs, tokenizer, end_id)
     name = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(name, bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
+    entry = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("place int, offset long, length long, n_tokens long, before long")])
+    schema = T.StructType([*T.StructType.fromDDL("part int, block int, sha256 string, documents int, tokens long, payload binary"), T.StructField("index", T.ArrayType(entry))])
 
-    def encode(batches):
+    def lay_out(batches):
         from basalt.llm.encoding import Encoder
 
         encoder, (compress, _) = Encoder.of(tokenizer), _codec(shared.value)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids = [np.append(x, end_id).astype("<u4") for x in encoder.encode(part.column(1))]
-                yield pa.record_batch([part.column(0), part.column(2), pa.array([len(x) for x in ids], pa.int64()), pa.array([compress.compress(x.tobytes()) for x in ids], pa.binary())], ["doc_id", "block", "n_tokens", "frame"])
+        part, block, frames, index, offset, tokens = None, 0, [], [], 0, 0
 
-    bounds = block_bounds(docs, "doc_id", -(-text_bytes(docs) // block_bytes))
-    frames = docs.withColumn("block", block_of(F.col("doc_id"), bounds).cast("int")).mapInArrow(encode, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("block int, n_tokens long, frame binary")]))
-    # A block is a range of doc_id; its frames, a few MB, are gathered in order by one task.
-    ordered = F.array_sort(F.collect_list(F.struct("doc_id", "frame", "n_tokens")))
-    blocks = frames.groupBy("block").agg(ordered.alias("d")).select("block", F.lit(name).alias("sha256"), "d")
+        def done():
+            row = {"part": part, "block": block, "sha256": name, "documents": len(index), "tokens": tokens, "payload": b"".join(frames), "index": index}
+            return pa.RecordBatch.from_pylist([row], arrow_schema)
 
-    def lay_out(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                sizes = np.array([len(x["frame"]) for x in row["d"]], np.int64)
-                tokens = np.array([x["n_tokens"] for x in row["d"]], np.int64)
-                index = [(x["doc_id"], i, int(o), int(n), int(t), int(b)) for i, (x, o, n, t, b) in enumerate(zip(row["d"], np.cumsum(sizes) - sizes, sizes, tokens, np.cumsum(tokens) - tokens, strict=True))]
-                index = [dict(zip(("doc_id", "place", "offset", "length", "n_tokens", "before"), x, strict=True)) for x in index]
-                yield pa.RecordBatch.from_pylist([{"block": row["block"], "sha256": row["sha256"], "documents": len(sizes), "tokens": int(tokens.sum()), "payload": b"".join(x["frame"] for x in row["d"]), "index": index}], pa.schema(_layout(batch.schema.field("d").type.value_type.field("doc_id").type)))
-
-    entry = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("place int, offset long, length long, n_tokens long, before long")])
-    laid = blocks.mapInArrow(lay_out, T.StructType([*T.StructType.fromDDL("block int, sha256 string, documents int, tokens long, payload binary"), T.StructField("index", T.ArrayType(entry))]))
-    laid.write.parquet(f"{path}/blocks")
+            arrow_schema = _layout(batch.schema.field(0).type)
+            for some in slices(batch, "text"):
+                part = some.column(2)[0].as_py()
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1)), strict=True):
+                    frame = compress.compress(np.append(ids, end_id).astype("<u4").tobytes())
+                    index.append({"doc_id": doc_id, "place": len(index), "offset": offset, "length": len(frame), "n_tokens": len(ids) + 1, "before": tokens})
+                    frames.append(frame)
+                    offset, tokens = offset + len(frame), tokens + len(ids) + 1
+                    if offset >= block_bytes:
+                        yield done()
+                        block, frames, index, offset, tokens = block + 1, [], [], 0, 0
+        if index:
+            yield done()
+
+    parts = max(1, -(-text_bytes(docs) // part_bytes))
+    keyed = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    keyed.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(lay_out, schema).write.parquet(f"{path}/blocks")
     return path
 
 
-def _layout(id_type: pa.DataType) -> list:
+def _layout(id_type: pa.DataType) -> pa.Schema:
     entry = pa.struct([("doc_id", id_type), ("place", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("n_tokens", pa.int64()), ("before", pa.int64())])
-    return [("block", pa.int32()), ("sha256", pa.string()), ("documents", pa.int32()), ("tokens", pa.int64()), ("payload", pa.binary()), ("index", pa.list_(entry))]
+    return pa.schema([("part", pa.int32()), ("block", pa.int32()), ("sha256", pa.string()), ("documents", pa.int32()), ("tokens", pa.int64()), ("payload", pa.binary()), ("index", pa.list_(entry))])
+
+
+def _bases(blocks: DataFrame) -> DataFrame:
+    """(part, block, base): the tokens of all blocks before. The one window over everything has a row a part."""
+    rows = blocks.select("part", "block", "tokens")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("part").agg(F.sum("tokens").alias("t")).select("part", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("p"))
+    within = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("w", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(parts, "part").select("part", "block", (F.col("p") + F.col("w")).alias("base"))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """block, doc_id, place, offset, length, n_tokens, start (ids of all documents before it)."""
+    """part, block, doc_id, place, offset, length, n_tokens, start (ids of all documents before it)."""
     blocks = spark.read.parquet(f"{path}/blocks")
-    sums = blocks.select("block", F.sum("tokens").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("base"))  # one row a block
-    rows = blocks.select("block", F.explode("index").alias("e")).join(sums, "block")
-    return rows.select("block", "e.*", (F.coalesce("base", F.lit(0)) + F.col("e.before")).alias("start")).drop("before")
+    rows = blocks.select("part", "block", F.explode("index").alias("e")).join(_bases(blocks), ["part", "block"])
+    return rows.select("part", "block", "e.*", (F.col("base") + F.col("e.before")).alias("start")).drop("before")
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -117,7 +135,6 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     stored = spark.read.parquet(f"{path}/dictionary").first()
     shared = spark.sparkContext.broadcast((stored["sha256"], bytes(stored["dictionary"])))
     blocks = spark.read.parquet(f"{path}/blocks")
-    sums = blocks.select("block", F.sum("tokens").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("base"))
     id_field = blocks.schema["index"].dataType.elementType["doc_id"]
 
     def decode(batches):
@@ -131,14 +148,15 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                     some = row["index"][at : at + 256]
                     got = [expand.decompress(row["payload"][e["offset"] : e["offset"] + e["length"]]) for e in some]
                     ids = pa.array([e["doc_id"] for e in some], batch.schema.field("index").type.value_type.field("doc_id").type)
+                    columns = [pa.array([row[k]] * len(some), pa.int32()) for k in ("part", "block")]
                     starts = pa.array([e["before"] for e in some], pa.int64())
-                    yield pa.record_batch([pa.array([row["block"]] * len(some), pa.int32()), ids, starts, pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([zlib.crc32(x) for x in got], pa.int64()), pa.array(got if with_ids else [None] * len(got), pa.binary())], ["block", "doc_id", "before", "n_tokens", "ids_crc32", "ids"])
+                    yield pa.record_batch([*columns, ids, starts, pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([zlib.crc32(x) for x in got], pa.int64()), pa.array(got if with_ids else [None] * len(got), pa.binary())], ["part", "block", "doc_id", "before", "n_tokens", "ids_crc32", "ids"])
 
-    schema = T.StructType([T.StructField("block", T.IntegerType()), id_field, *T.StructType.fromDDL("before long, n_tokens long, ids_crc32 long, ids binary")])
-    rows = blocks.select("block", "sha256", "payload", "index").mapInArrow(decode, schema)
+    schema = T.StructType([*T.StructType.fromDDL("part int, block int"), id_field, *T.StructType.fromDDL("before long, n_tokens long, ids_crc32 long, ids binary")])
+    rows = blocks.select("part", "block", "sha256", "payload", "index").mapInArrow(decode, schema)
     if not with_ids:
         rows = rows.drop("ids")
-    return rows.join(sums, "block").withColumn("start", F.coalesce("base", F.lit(0)) + F.col("before")).drop("block", "before", "base")
+    return rows.join(_bases(blocks), ["part", "block"]).withColumn("start", F.col("base") + F.col("before")).drop("part", "block", "before", "base")
 
 
 def token_file_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
