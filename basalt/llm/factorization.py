@@ -8,9 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from basalt.llm.common import crc_mod, ship, slices
+from basalt.llm.common import crc_mod, kept_where, ship, slices, with_read_texts
 from basalt.llm.labelled import labelled_sample
 from basalt.llm.words import Words, per_row
 
@@ -148,22 +147,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs with a column `score` (0 to 1) from the whole text alone; other columns pass through unread. Null and empty texts have a score too."""
+    """docs with a last column `score` (0 to 1) from the whole text alone; other columns pass through unread, one named score too. Null and empty texts have a score too."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(machine)  # BUCKETS * (FACTORS + 1) numbers
-    names = docs.columns
+    return with_read_texts(docs, "score double", lambda texts: [pa.array(shared.value.score(*features(texts)), pa.float64())])
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                got = shared.value.score(*features(part.column(names.index("text"))))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], [*names, "_score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("_score", T.DoubleType())]))
+def keep_from(docs: DataFrame, machine: Machine, threshold: float) -> DataFrame:
+    """The rows of docs, all columns, that score at least the threshold. Repeated rows are scored each; no rows, no result."""
+    return kept_where(score(docs, machine), len(docs.columns), lambda x: x >= threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs."""
+    """doc_id, held_out, score, predicted for every row of docs; repeated rows are scored each."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
-    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= threshold, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

@@ -1,4 +1,8 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+
+Every word of every sampled example, toxic or not, is a term. A term weighs (1 + log count) * idf * relevance: idf from all
+documents, relevance (Lan, Tan and Lu's tf.rf, raised to a power) from the labels of the sample, 1 at least.
+"""
 
 from __future__ import annotations
 
@@ -8,99 +12,136 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from basalt.llm.common import crc_mod, ship, slices
+from basalt.llm.common import crc_mod, kept_where, ship, slices, with_read_texts
 from basalt.llm.labelled import labelled_sample
-from basalt.llm.words import NOT_ALNUM, Words
-
-#: Labelled rows that examples and terms come from, terms, neighbours, examples of a block.
-SAMPLE_ROWS, TERMS, NEIGHBOURS, BLOCK = 12_000, 4_096, 15, 64
-#: A term is a word or the first bytes of a longer one, so inflected forms share terms.
-PREFIXES = (4, 5, 6, 7)
-#: How many times likelier a term is in toxic examples than in others.
-LIFT = 20.0
-
-
-def terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term hash) of all words and their prefixes."""
-    size = words.end - words.start
-    rows, keys = [words.doc], [words.hashes()]
-    for n in PREFIXES:
-        longer = size > n
-        start = words.start[longer]
-        rows.append(words.doc[longer])
-        keys.append(words.spans(start, start + n))
-    return np.concatenate(rows), np.concatenate(keys)
-
-
-def counted(column: pa.Array, vocabulary: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term number, count) of the vocabulary's terms in whole texts. table: which upper 20 bits the vocabulary has."""
-    rows, keys = terms(Words(column, NOT_ALNUM))
-    maybe = table[(keys >> np.uint64(44)).astype(np.int64)]
-    rows, keys = rows[maybe], keys[maybe]
-    if not len(vocabulary) or not len(keys):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = np.minimum(np.searchsorted(vocabulary, keys), len(vocabulary) - 1)
-    hit = vocabulary[place] == keys
-    pair, count = np.unique(rows[hit] * len(vocabulary) + place[hit], return_counts=True)
-    return pair // len(vocabulary), pair % len(vocabulary), count
+from basalt.llm.words import NOT_ALNUM, Spans, Words, flat, runs, same_bytes
+
+#: Labelled rows that examples come from, and of these the examples whose votes the calibration is fitted on.
+SAMPLE_ROWS, CALIBRATED = 8_000, 3_000
+#: Neighbours, examples of a block, blocks searched before the others' bounds are looked at.
+NEIGHBOURS, BLOCK, FIRST = 15, 64, 8
+#: The power of the relevance.
+POWER = 3.0
+
+
+class Vocabulary:
+    """Terms as bytes with their numbers; looked up by hash, then compared byte by byte."""
+
+    def __init__(self, words: pa.Array):
+        self.data, first = flat(words)
+        self.start, self.size = first[:-1], np.diff(first)
+        keys = Spans(self.data).spans(first[:-1], first[1:]) if len(words) else np.zeros(0, np.uint64)
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, words: Words, one: np.ndarray) -> np.ndarray:
+        """The number of each of the words, -1 for those that aren't terms."""
+        out = np.full(len(one), -1, np.int64)
+        if not len(self) or not len(one):
+            return out
+        keys = words.spans(words.start[one], words.end[one])
+        size = words.end[one] - words.start[one]
+        at = np.searchsorted(self.keys, keys)
+        todo = np.arange(len(one))
+        # Terms that share a hash stand side by side.
+        while len(todo):
+            place = np.minimum(at[todo], len(self) - 1)
+            todo = todo[self.keys[place] == keys[todo]]
+            number = self.order[np.minimum(at[todo], len(self) - 1)]
+            same = self.size[number] == size[todo]
+            some = np.flatnonzero(same)
+            same[some] = same_bytes(self.data, self.start[number[some]], words.data, words.start[one[todo[some]]], size[todo[some]])
+            out[todo[same]] = number[same]
+            todo = todo[~same]
+            at[todo] += 1
+            todo = todo[at[todo] < len(self)]
+        return out
+
+
+def counted(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term number, count) of the vocabulary's terms in whole texts."""
+    words = Words(column, NOT_ALNUM)
+    one, place = words.distinct()
+    term = vocabulary.find(words, one)[place]
+    hit = term >= 0
+    wide = max(1, len(vocabulary))
+    pair, count = np.unique(words.doc[hit] * wide + term[hit], return_counts=True)
+    return pair // wide, pair % wide, count
 
 
 @dataclass
 class Index:
-    """Examples as unit TF-IDF vectors, postings by term and block with the largest weight of each block."""
+    """Examples as unit vectors. Postings by term and block of BLOCK examples, each with the block's largest weight."""
 
-    vocabulary: np.ndarray
-    idf: np.ndarray
+    vocabulary: Vocabulary
+    weight_of: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    postings: list = field(default_factory=list)
-    block_max: np.ndarray | None = None
     slope: float = 4.0
     shift: float = -2.0
-    without: float = 0.0
+    without: float = 0.5
+    #: Postings: example and weight. Entries: block, largest weight, first and last posting. Terms: first and last entry.
+    postings: tuple = field(default_factory=tuple)
+    entries: tuple = field(default_factory=tuple)
+    terms: np.ndarray | None = None
 
     def build(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> Index:
-        blocks = max(1, -(-len(self.ids) // BLOCK))
-        self.block_max = np.zeros((len(self.vocabulary), blocks))
-        np.maximum.at(self.block_max, (term, row // BLOCK), weight)
         order = np.lexsort((row, term))
         row, term, weight = row[order], term[order], weight[order]
-        limits = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
-        for t in range(len(self.vocabulary)):
-            r, w = row[limits[t] : limits[t + 1]], weight[limits[t] : limits[t + 1]]
-            self.postings.append((r, w, np.searchsorted(r, np.arange(blocks + 1) * BLOCK).tolist()))
+        block = row // BLOCK
+        start = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(row) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(row)))
+        largest = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
+        self.postings = (row.astype(np.int32), weight)
+        self.entries = (block[start].astype(np.int32), largest, start.astype(np.int32), size.astype(np.int32))
+        self.terms = np.searchsorted(term[start], np.arange(len(self.weight_of) + 1))
         return self
 
     def unit(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, rows: int) -> np.ndarray:
-        weight = (1 + np.log(np.maximum(count, 1))) * self.idf[term]
+        weight = (1 + np.log(np.maximum(count, 1))) * self.weight_of[term]
         return weight / np.sqrt(np.maximum(np.bincount(row, weight * weight, rows), 1e-30))[row]
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the NEIGHBOURS nearest, ties to the smaller number. Blocks go by their bound until none can matter."""
-        bound = weight @ self.block_max[term]
-        found, cosine, kth = np.zeros(0, np.int64), np.zeros(0), -1.0
-        query = list(zip(term.tolist(), weight.tolist(), strict=True))
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(found) == NEIGHBOURS and bound[b] < kth - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t, q in query:
-                r, w, at = self.postings[t]
-                lo, hi = at[b], at[b + 1]
-                if hi > lo:
-                    sums[r[lo:hi] - b * BLOCK] += q * w[lo:hi]
-            some = np.flatnonzero(sums > 0)
-            some = some[some + b * BLOCK != leave]
-            found, cosine = np.concatenate([found, some + b * BLOCK]), np.concatenate([cosine, sums[some]])
+        """(examples, cosines) of the NEIGHBOURS nearest that share a term, ties to the smaller number.
+
+        The blocks of the highest bounds go first; of the others those whose bound reaches the last neighbour's cosine.
+        """
+        blocks = -(-len(self.ids) // BLOCK)
+        held = self.terms[term + 1] - self.terms[term]
+        entry = runs(self.terms[term], held)
+        mine = np.repeat(weight, held)
+        block, largest, start, size = (x[entry] for x in self.entries)
+        bound = np.bincount(block, mine * largest, blocks)
+        cosine = np.zeros(blocks * BLOCK)
+
+        def search(wanted: np.ndarray) -> np.ndarray:
+            some = wanted[block]
+            posting = runs(start[some].astype(np.int64), size[some].astype(np.int64))
+            cosine[:] += np.bincount(self.postings[0][posting], np.repeat(mine[some], size[some]) * self.postings[1][posting], len(cosine))
+            if leave >= 0:
+                cosine[leave] = 0
+            found = np.flatnonzero(cosine > 0)
             if len(found) > NEIGHBOURS:
-                keep = np.lexsort((found, -cosine))[:NEIGHBOURS]
-                found, cosine = found[keep], cosine[keep]
-            if len(found) == NEIGHBOURS:
-                kth = cosine.min()
-        order = np.lexsort((found, -cosine))
-        return found[order], cosine[order]
+                cut = np.partition(cosine[found], len(found) - NEIGHBOURS)[len(found) - NEIGHBOURS]
+                found = found[cosine[found] >= cut]
+            return found[np.lexsort((found, -cosine[found]))][:NEIGHBOURS]
+
+        if blocks <= FIRST:
+            found = search(bound > 0)
+        else:
+            first = np.zeros(blocks, bool)
+            first[np.argpartition(-bound, FIRST)[:FIRST]] = True
+            first &= bound > 0
+            found = search(first)
+            least = cosine[found[-1]] if len(found) == NEIGHBOURS else 0.0
+            rest = (bound > 0) & ~first & (bound >= least - 1e-9)
+            if rest.any():
+                found = search(rest)
+        return found, cosine[found]
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         weight = 1 / (0.05 + np.maximum(1 - cosine, 0))
@@ -109,11 +150,11 @@ class Index:
     def score(self, vote: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * vote + self.shift, -30, 30))))
 
-    def calibrate(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
-        """Platt scaling of leave-one-out votes, targets smoothed."""
+    def calibrate(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, chosen: np.ndarray) -> None:
+        """Platt scaling of the chosen examples' leave-one-out votes, targets smoothed."""
         limits = np.searchsorted(row, np.arange(len(self.ids) + 1))
         votes, truth = [], []
-        for i in range(len(self.ids)):
+        for i in chosen.tolist():
             found, cosine = self.nearest(term[limits[i] : limits[i + 1]], weight[limits[i] : limits[i + 1]], i)
             if len(found):
                 votes.append(self.vote(found, cosine))
@@ -134,120 +175,109 @@ class Index:
             self.slope, self.shift = float(a[0]), float(a[1])
 
 
-def _select(sample: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """Terms that mark toxic examples. Each text counts once, however many copies the sample has."""
+def relevance(term: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
+    """log2(2 + toxic / other) of the examples that hold each term, to the POWER. A term seen once counts as common to both."""
+    toxic = np.bincount(term, label, size)
+    other = np.bincount(term, 1 - label, size)
+    return np.log2(2 + np.maximum(toxic - 1, 0) / np.maximum(other, 1)) ** POWER
 
-    def count(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                rows, keys = terms(Words(part.column(0), NOT_ALNUM))
-                label = part.column(1).to_numpy(zero_copy_only=False)
-                pair = np.unique(np.stack([rows.astype(np.uint64), keys], 1), axis=0) if len(rows) else np.zeros((0, 2), np.uint64)
-                toxic = label[pair[:, 0].astype(np.int64)] if len(pair) else np.zeros(0, np.int64)
-                key, place = np.unique(pair[:, 1], return_inverse=True)
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.bincount(place, toxic, len(key)).astype(np.int64)), pa.array(np.bincount(place, minlength=len(key)).astype(np.int64))], ["term", "toxic", "n"])
-
-    texts = sample.groupBy("text").agg(F.max("label").cast("long").alias("label"))
-    totals = texts.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
-    ones, n = totals["toxic"] or 0, totals["n"]
-    if not ones or ones == n:
-        return np.zeros(0, np.uint64), n
-    least = min(6, max(4, round(ones * 0.005)))
-    lift = (F.col("toxic") + 0.5) / (ones + 1) / ((F.col("n") - F.col("toxic") + 0.5) / (n - ones + 1))
-    counts = texts.mapInArrow(count, "term long, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    found = counts.where((F.col("toxic") >= least) & (lift >= LIFT)).orderBy(F.desc("toxic"), F.asc("n"), "term").limit(size).collect()
-    return np.sort(np.array([r["term"] for r in found], np.int64).view(np.uint64)), n
-
-
-def _table(vocabulary: np.ndarray) -> np.ndarray:
-    table = np.zeros(1 << 20, bool)
-    table[(vocabulary >> np.uint64(44)).astype(np.int64)] = True
-    return table
-
-
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, size: int = TERMS) -> Index:
-    """Examples and terms from at most sample_rows labelled documents whose crc32(doc_id) mod 3 isn't 1; document frequencies from all of docs."""
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Index:
+    """Examples and terms from at most sample_rows labelled documents whose crc32(doc_id) mod 3 isn't 1; document frequencies from all of docs.
+
+    The sample bounds all that reaches the driver and is sent to the tasks: the examples' words. Each text is one example, however many copies the sample has.
+    """
     spark = docs.sparkSession
     ship(spark)
-    sample = labelled_sample(docs, labels, "toxic", 3, 1, sample_rows)
-    vocabulary, _ = _select(sample, size)
-    table = _table(vocabulary)
-    shared = spark.sparkContext.broadcast((vocabulary, table))
+    sample = labelled_sample(docs, labels, "toxic", 3, 1, sample_rows).groupBy("text").agg(F.min(F.col("doc_id").cast("string")).alias("id"), F.max("label").cast("int").alias("label"))
+
+    def examples(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(part.column(2), NOT_ALNUM)
+                one, place = words.distinct()
+                wide = max(1, len(one))
+                pair, count = np.unique(words.doc * wide + place, return_counts=True)
+                row, kind = pair // wide, pair % wide
+                offsets = pa.array(np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32))
+                text = pa.array([words.text(i) for i in one.tolist()], pa.binary()).take(pa.array(kind))
+                yield pa.record_batch([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, text), pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32)))], ["id", "label", "words", "counts"])
+
+    got = sample.select("id", "label", "text").mapInArrow(examples, "id string, label int, words array<binary>, counts array<int>").toArrow().combine_chunks()
+    ids = np.array(got["id"].to_pylist(), object)
+    label = got["label"].to_numpy().astype(np.float64)
+    words = got["words"].combine_chunks()
+    size = np.diff(words.offsets.to_numpy()) if len(ids) else np.zeros(0, np.int64)
+    coded = words.flatten().dictionary_encode() if len(ids) else pa.array([], pa.binary()).dictionary_encode()
+    term = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    count = got["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(ids) else np.zeros(0, np.int32)
+    vocabulary = Vocabulary(coded.dictionary)
+    shared = spark.sparkContext.broadcast(vocabulary)
 
     def frequency(batches):
-        vocabulary, table = shared.value
+        vocabulary = shared.value
         held = np.zeros(len(vocabulary) + 1, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                _, term, _ = counted(part.column(0), vocabulary, table)
-                held[: len(vocabulary)] += np.bincount(term, minlength=len(vocabulary))[: len(vocabulary)]
+                _, found, _ = counted(part.column(0), vocabulary)
+                held[: len(vocabulary)] += np.bincount(found, minlength=len(vocabulary))[: len(vocabulary)]
                 held[-1] += len(part)
         some = np.flatnonzero(held)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(held[some])], ["term", "n"])
 
-    def examples(batches):
-        vocabulary, table = shared.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                row, term, count = counted(part.column(1), vocabulary, table)
-                limits = np.searchsorted(row, np.arange(len(part) + 1)).tolist()
-                cut = list(zip(limits, limits[1:], strict=False))
-                yield pa.record_batch([part.column(0).cast(pa.string()), part.column(2), pa.array([term[a:b].astype("<i4").tobytes() for a, b in cut], pa.binary()), pa.array([count[a:b].astype("<i4").tobytes() for a, b in cut], pa.binary())], ["id", "label", "terms", "counts"])
-
-    df = docs.select("text").mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # TERMS + 1 rows
     seen = np.zeros(len(vocabulary) + 1)
-    for r in df:
-        seen[r["term"]] = r["n"]
+    rows = docs.select("text").mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # the sample's terms and one row
+    seen[rows["term"].to_numpy()] = rows["n"].to_numpy()
     idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
-    got = sorted(sample.selectExpr("doc_id", "text", "cast(label as int) label").mapInArrow(examples, "id string, label int, terms binary, counts binary").collect(), key=lambda r: (r["terms"], r["counts"], r["id"]))
-    empty = [r["label"] for r in got if not r["terms"]]
-    some = [r for r in got if r["terms"]]
-    index = Index(vocabulary, idf, np.array([r["id"] for r in some], object), np.array([r["label"] for r in some], np.float64))
-    index.without = (sum(empty) + 0.5) / (len(empty) + 1)
-    term = np.concatenate([np.frombuffer(r["terms"], "<i4") for r in some]).astype(np.int64) if some else np.zeros(0, np.int64)
-    count = np.concatenate([np.frombuffer(r["counts"], "<i4") for r in some]) if some else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(some)), [len(r["terms"]) // 4 for r in some])
-    weight = index.unit(row, term, count, len(some))
-    index.build(row, term, weight).calibrate(row, term, weight)
+    row = np.repeat(np.arange(len(ids)), size)
+    weight_of = idf * relevance(term, label[row], len(vocabulary))
+    # Blocks of like examples have closer bounds: by label, then by the heaviest term.
+    heaviest = np.full(len(ids), -1, np.int64)
+    by = np.lexsort((term, weight_of[term], row))
+    last = np.flatnonzero(np.append(row[by][1:] != row[by][:-1], len(row) > 0)) if len(row) else np.zeros(0, np.int64)
+    heaviest[row[by][last]] = term[by][last]
+    order = np.lexsort((ids.astype(str), heaviest, label))
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    index = Index(vocabulary, weight_of, ids[order], label[order])
+    row = place[row]
+    by = np.lexsort((term, row))
+    row, term, count = row[by], term[by], count[by]
+    weight = index.unit(row, term, count, len(ids))
+    index.without = (label.sum() + 0.5) / (len(label) + 1) if len(label) else 0.5
+    index.build(row, term, weight)
+    if len(ids):
+        index.calibrate(row, term, weight, np.unique(np.linspace(0, len(ids) - 1, min(len(ids), CALIBRATED)).astype(int)))
     return index
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
-    """docs with _score, and the nearest example's id and cosine as evidence (null where no example shares a term)."""
+    """docs with score, nearest_example and nearest_cosine as last columns (evidence is null where no example shares a term). Columns of those names, and repeated rows, do no harm."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast((index, _table(index.vocabulary)))  # SAMPLE_ROWS examples at most
-    names = docs.columns
+    shared = spark.sparkContext.broadcast(index)  # SAMPLE_ROWS examples at most
 
-    def run(batches):
-        index, table = shared.value
-        known: dict[bytes, tuple] = {}
-        for batch in batches:
-            for part in slices(batch, "text"):
-                row, term, count = counted(part.column(names.index("text")), index.vocabulary, table)
-                weight = index.unit(row, term, count, len(part)) if len(row) else np.zeros(0)
-                limits = np.searchsorted(row, np.arange(len(part) + 1)).tolist()
-                out = []
-                for a, b in zip(limits, limits[1:], strict=False):
-                    if a == b:
-                        out.append((index.without, None, None))
-                        continue
-                    key = term[a:b].tobytes() + count[a:b].tobytes()
-                    if key not in known:
-                        found, cosine = index.nearest(term[a:b], weight[a:b])
-                        got = (index.score(index.vote(found, cosine)), str(index.ids[found[0]]), float(cosine[0])) if len(found) else (index.without, None, None)
-                        if len(known) < 100_000:
-                            known[key] = got
-                    else:
-                        got = known[key]
-                    out.append(got)
-                score, near, cosine = zip(*out, strict=True) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64()), pa.array(near, pa.string()), pa.array(cosine, pa.float64())], [*names, "_score", "_near", "_cosine"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema, *T.StructType.fromDDL("_score double, _near string, _cosine double")]))
+    def read(texts):
+        index = shared.value
+        row, term, count = counted(texts, index.vocabulary)
+        weight = index.unit(row, term, count, len(texts)) if len(row) else np.zeros(0)
+        limits = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+        out = []
+        for a, b in zip(limits, limits[1:], strict=False):
+            found, cosine = index.nearest(term[a:b], weight[a:b]) if b > a else ((), ())
+            out.append((index.score(index.vote(found, cosine)), str(index.ids[found[0]]), float(cosine[0])) if len(found) else (index.without, None, None))
+        columns = zip(*out, strict=True) if out else ((), (), ())
+        return [pa.array(x, t) for x, t in zip(columns, (pa.float64(), pa.string(), pa.float64()), strict=True)]
+
+    return with_read_texts(docs, "score double, nearest_example string, nearest_cosine double", read)
+
+
+def keep_below(docs: DataFrame, index: Index, threshold: float) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold. Repeated rows are scored each; no rows, no result."""
+    return kept_where(score(docs, index), len(docs.columns), lambda x, *_: x < threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the nearest example as evidence, for every row of docs."""
+    """doc_id, held_out, score, predicted, and the nearest example as evidence, for every row of docs. Null texts are empty; repeated rows are scored each."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
-    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= threshold, 1).otherwise(0).alias("predicted"), F.col("_near").alias("nearest_example"), F.col("_cosine").alias("nearest_cosine"))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "nearest_example", "nearest_cosine")

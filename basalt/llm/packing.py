@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from basalt.llm.common import materialize, ship, slices
 
 CAPACITY = 4096
-#: Pieces of one length whose ranks one task counts.
-PART_ROWS = 250_000
+#: Pieces of one length whose ranks one task counts, and such parts of all lengths together: beyond them parts grow.
+PART_ROWS, PARTS = 1_000, 50_000
 
 
 class _Lengths:
@@ -199,7 +199,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, salt: str | None = None,
     Ranks within a length come from counts by (length, part). A length has a part for each part_rows pieces, so one that a
     third of all pieces share is spread over tasks. salt names a column that deals the pieces to parts (a stored number that
     differs in equal rows too); it is left out of the result. Without it a hash of the row does, and equal rows share a part.
-    The plan and the parts are a few rows for each of at most `capacity` lengths and each part_rows pieces: they go to all tasks.
+    The plan and the parts are a few rows for each of at most `capacity` lengths and PARTS rows: they go to all tasks.
     """
     spark = pieces.sparkSession
     ship(spark)
@@ -208,10 +208,11 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, salt: str | None = None,
     dealt = F.col(f"`{salt}`") if salt else F.xxhash64("doc_id", "piece", "ids_crc32")
     keyed = pieces.select(*columns, F.col("length").alias("l"), dealt.cast("long").alias("s"))
     by_length = {r["l"]: r["n"] for r in keyed.groupBy("l").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    part_rows = max(part_rows, sum(by_length.values()) // PARTS)
     many = {k: -(-n // part_rows) for k, n in by_length.items() if n > part_rows}
     parts = F.coalesce(F.create_map(*[F.lit(int(x)) for pair in many.items() for x in pair])[F.col("l").cast("int")], F.lit(1)) if many else F.lit(1)
     parted = keyed.withColumn("p", F.pmod(F.xxhash64("s"), parts).cast("int"))
-    got = parted.groupBy("l", "p").agg(F.count("*").alias("n")).collect()  # a row for each length and each part_rows pieces
+    got = parted.groupBy("l", "p").agg(F.count("*").alias("n")).collect()  # capacity and PARTS rows at most
     bases: dict[tuple[int, int], int] = {}
     seen: dict[int, int] = {}
     for r in sorted(got, key=lambda r: (r["l"], r["p"])):

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basalt.llm.common import materialize, ship
+from basalt.llm.common import join_hot, materialize, numbered, ship, sorted_keys
 from basalt.llm.components import components, stars
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints of one grid cell that one task compares with each other; a larger cell is dealt out.
 CELL_ROWS = 20_000
-#: Pairs verified at once, in numpy.
-PAIRS = 2_000_000
+#: Pairs verified at once, in numpy; cells whose list is sent to all tasks.
+PAIRS, LISTED = 2_000_000, 500_000
 _SIDE = 16
 _STEP = 3 ** np.arange(_SIDE, dtype=np.int64)
 
@@ -45,13 +45,20 @@ def shingle_hashes(text: str | bytes | None, words: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
 
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits set in over half of the rows (n, words) of unsigned 64-bit numbers; none set without rows."""
+    counts = np.zeros(64 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 16_320):
+        bits = np.unpackbits(np.ascontiguousarray(hashes[at : at + 16_320]).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255
+        # Up to 255 bits fit in a byte.
+        counts += bits[:whole].reshape(-1, 255, bits.shape[1]).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
+
+
 def fingerprint(text: str | bytes | None, words: int = SHINGLE) -> int:
     """Bits set in over half of the hashes of the word shingles; 0 without words. Null is empty."""
-    hashes = shingle_hashes(text, words)
-    if not len(hashes):
-        return 0
-    counts = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return int(majority(shingle_hashes(text, words)[:, None])[0])
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -90,36 +97,48 @@ def _grid(batches):
 
 
 def _verify(batches):
-    """Links of all cells in one partition, as stars. Compares PAIRS at a time."""
-    held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)) for b in batches]
-    if not held:
-        return
-    key, own, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-    del held
-    order = np.lexsort((~own, key))
-    key, own, fp = key[order], own[order], fp[order].view(np.uint64)
-    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(begin, len(key)))
-    owns = np.add.reduceat(own.astype(np.int64), begin)
-    group = np.repeat(np.arange(len(begin)), size)
-    place = np.arange(len(key)) - begin[group]
-    first = np.where(own, place + 1, 0)
-    count = np.maximum(owns[group] - first, 0)
-    first += begin[group]
+    """Links of the cells in one partition, sorted by cell, as stars. Holds a run of cells at a time and compares PAIRS at once."""
+    for columns in sorted_keys(batches):
+        key, own, fp = (c.to_numpy(zero_copy_only=False) for c in columns)
+        order = np.lexsort((~own, key))
+        key, own, fp = key[order], own[order], fp[order].view(np.uint64)
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(begin, len(key)))
+        owns = np.add.reduceat(own.astype(np.int64), begin)
+        group = np.repeat(np.arange(len(begin)), size)
+        place = np.arange(len(key)) - begin[group]
+        first = np.where(own, place + 1, 0)
+        count = np.maximum(owns[group] - first, 0)
+        first += begin[group]
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for left, right in pair_runs(first, count):
+            near = np.bitwise_count(fp[left] ^ fp[right]) <= RADIUS
+            if near.any():
+                a, b = stars(np.concatenate([a, fp[left[near]].view(np.int64)]), np.concatenate([b, fp[right[near]].view(np.int64)]))
+        yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def pair_runs(first: np.ndarray, count: np.ndarray, pairs: int = PAIRS):
+    """(left, right) for rows i and first[i], first[i] + 1, ... of count[i] each, about `pairs` at a time."""
     rows = np.flatnonzero(count)
     total = np.cumsum(count[rows])
-    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = 0
     while at < len(rows):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + pairs, side="right")))
         r, n = rows[at:to], count[rows[at:to]]
         left = np.repeat(r, n)
-        right = np.repeat(first[r] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        near = np.bitwise_count(fp[left] ^ fp[right]) <= RADIUS
-        if near.any():
-            a, b = stars(np.concatenate([a, fp[left[near]].view(np.int64)]), np.concatenate([b, fp[right[near]].view(np.int64)]))
+        yield left, np.repeat(first[r] - (np.cumsum(n) - n), n) + np.arange(len(left))
         at = to
-    yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def dealt(rows: DataFrame, own: str, deal: str, cell_rows: int) -> DataFrame:
+    """rows of column `key` with part and home: a key with more than cell_rows own rows is dealt into parts; every row visits all, one of them its home."""
+    large = materialize(rows.where(own).groupBy("key").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("parts")).where("parts > 1"), "large-cells")
+    few = large.count() <= LISTED
+    joined = rows.join(F.broadcast(large) if few else large, "key", "left")
+    home = F.col("parts").isNull() | (F.col("part") == F.pmod(F.xxhash64(deal), F.col("parts")).cast("int"))
+    parts = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    return joined.withColumn("part", F.explode(parts)).withColumn("home", home).drop("parts")
 
 
 def links(prints: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -127,14 +146,10 @@ def links(prints: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
 
     A cell with more than cell_rows fingerprints is dealt into parts; every row of it visits all the parts.
     """
-    rows = prints.mapInArrow(_grid, "key long, own boolean, fp long")
-    large = rows.where("own").groupBy("key").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("parts")).where("parts > 1")
-    home = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    dealt = rows.join(large, "key", "left").withColumn("part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
-    at_home = F.col("own") & (F.col("parts").isNull() | (F.col("part") == home))
+    rows = dealt(prints.mapInArrow(_grid, "key long, own boolean, fp long"), "own", "fp", cell_rows)
     # The part goes into the key's upper bits, so cells are told apart by one number.
-    spread = dealt.select((F.col("key") + F.col("part") * F.lit(1 << 28)).alias("key"), at_home.alias("own"), "fp")
-    return spread.repartition("key").mapInArrow(_verify, "a long, b long")
+    spread = rows.select((F.col("key") + F.col("part") * F.lit(1 << 28)).alias("key"), (F.col("own") & F.col("home")).alias("own"), "fp")
+    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -148,11 +163,11 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, cell_rows: int = CELL
     null ids only has a null id). An empty table gives no rows.
     """
     prints = materialize(fingerprints(docs, words), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "prints")
     found = components(links(nodes.select("fp"), cell_rows))
-    rooted = nodes.join(found, nodes.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
-    return prints.join(materialize(named, "components"), "fp").select("doc_id", "h", "fp", "root", "component_id")
+    rooted = materialize(nodes.join(found, nodes.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"), "rooted")
+    named = join_hot(rooted, rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
+    return join_hot(prints, materialize(named, "components"), "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
 def hex_fingerprint(fp):
@@ -160,15 +175,19 @@ def hex_fingerprint(fp):
 
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of which each root in found (doc_id, h, root) keeps one: that of the smallest doc_id, then the smallest text hash."""
-    from pyspark.sql import Window
+    """The rows of docs, all columns, of which each root in found (doc_id, h, root) keeps one: that of the smallest doc_id (nulls last), then the smallest text hash.
 
+    Rows equal in doc_id and text count as one document; of them the first by all columns' hash stays. Any column names will do.
+    """
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")).alias("k"))
-    best = best.select(F.col("k.doc_id").alias("_id"), F.col("k.h").alias("_h"))
-    rows = docs.withColumn("_th", F.xxhash64("text"))
-    kept = rows.join(best, rows.doc_id.eqNullSafe(best._id) & (rows._th == best._h), "left_semi")
-    once = Window.partitionBy("doc_id", "_th").orderBy(F.lit(1))
-    return kept.withColumn("_row", F.row_number().over(once)).where("_row = 1").select(*docs.columns)
+    best = best.select(F.col("k.doc_id").alias("id"), F.col("k.h").alias("h"))
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    id_, text = (columns[docs.columns.index(c)] for c in ("doc_id", "text"))
+    hashable = [c for c, f in zip(columns, docs.schema, strict=True) if "map<" not in f.dataType.simpleString()]
+    # Repeated rows become one before the shuffle.
+    rows = numbered(docs).groupBy(F.col(id_).alias("id"), F.xxhash64(text).alias("h")).agg(F.min_by(F.struct(*columns), F.xxhash64(*hashable)).alias("row"))
+    kept = rows.join(best, rows.id.eqNullSafe(best.id) & (rows.h == best.h), "left_semi")
+    return kept.select("row.*").toDF(*docs.columns)
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE) -> DataFrame:

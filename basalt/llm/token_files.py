@@ -46,9 +46,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs:
             held += r["n"]
     some = docs.sparkSession.createDataFrame([(h,) for h in wanted], "h long")
     rows = keyed.join(F.broadcast(some), "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect() if wanted else []
-    found = Encoder.of(tokenizer).encode(pa.array([r["text"] for r in rows], pa.string()))
+    texts = pa.record_batch([pa.array([r["text"] for r in rows], pa.string())], ["text"])
+    ids = [np.append(x, end_id).astype("<u4").tobytes() for part in slices(texts, "text", 250_000) for x in Encoder.of(tokenizer).encode(part.column(0))]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [np.append(x, end_id).astype("<u4").tobytes() for x in found]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, ids).as_bytes()
     except zstandard.ZstdError:
         return b""
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 pytest.importorskip("basalt.llm")
@@ -329,19 +330,26 @@ def test_top_k(spark):
     m = (base[rng.integers(0, 8, 400)] + 0.2 * rng.normal(size=(400, 16))).astype(np.float32) / 4
     m[10] = m[20] = m[30]
     rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(m)]
+    # One id in several rows: each is a query, and a candidate, of its own.
+    rows += [rows[0], rows[0], rows[40], rows[7], (None, [0.0] * 16, 0), (480, [], 0)]
     rows += [(400, None, 0), (420, [float("nan")] * 16, 0), (440, [None] + [0.0] * 15, 0), (460, [float("inf")] * 16, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, distance int")
     vectors = topk.quantized(df)
-    got = topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20, count=6, chunk=16, query_block=4).collect()
+    got = topk.top_k(vectors, F.col("vec_id") % 20 == 0, 20, 6, 16, 4).collect()
     q = np.floor(64 * m.astype(np.float64)).astype(np.int64)
-    want = set()
-    for i in range(0, 400, 20):
-        s = q @ q[i]
-        order = sorted((j for j in range(400) if j != i), key=lambda j: (-s[j], j))[:20]
-        want |= {(i, r + 1, j, int(s[j])) for r, j in enumerate(order)}
-    assert {tuple(r) for r in got} == want
+    ids = [r[0] for r in rows if r[0] is not None and r[0] < 400]
+    want = Counter()
+    for a, i in enumerate(ids):
+        if i % 20 == 0:
+            s = q @ q[i]
+            order = sorted((b for b in range(len(ids)) if b != a), key=lambda b: (-s[ids[b]], ids[b]))[:20]
+            want.update((i, r + 1, ids[b], int(s[ids[b]])) for r, b in enumerate(order))
+    assert Counter(tuple(r) for r in got) == want
+    assert Counter(tuple(r) for r in topk.search_table(df).collect()) == want
+    with pytest.raises(ValueError, match="unequal"):
+        topk.search_table(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<float>"))
     assert topk.search_table(df.where("false")).count() == 0
-    few = topk.search_table(df.where("vec_id < 3")).collect()
+    few = topk.search_table(df.where("vec_id < 3").dropDuplicates(["vec_id"])).collect()
     assert [(r.query_id, r["rank"]) for r in few] == [(0, 1), (0, 2)]
 
 
