@@ -18,7 +18,7 @@ from basalt.llm.labelled import labelled_sample
 from basalt.llm.words import NOT_ALNUM, Spans, Words, flat, runs, same_bytes
 
 #: Labelled rows that examples come from, and of these the examples whose votes the calibration is fitted on.
-SAMPLE_ROWS, CALIBRATED = 8_000, 3_000
+SAMPLE_ROWS, CALIBRATED = 4_000, 2_000
 #: Neighbours, examples of a block, blocks searched before the others' bounds are looked at.
 NEIGHBOURS, BLOCK, FIRST = 15, 64, 8
 #: The power of the relevance.
