@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basalt.llm.common import crc_mod, materialize, ship, slices
-from basalt.llm.words import Spans, Words
+from basalt.llm.words import Spans, Words, flat, runs, same_bytes
 
-#: Passes of expectation maximization, the smoothing count of a piece, and words taken through the lattice at once.
-ROUNDS, SMOOTH, WORDS_AT_ONCE = 3, 0.01, 60_000
+#: Passes of expectation maximization, and the smoothing count of a piece.
+ROUNDS, SMOOTH = 3, 0.01
+#: Words, and their bytes, taken through the lattice at once; a word of more than LONG bytes goes alone, in stretches of STRETCH.
+WORDS_AT_ONCE, BYTES_AT_ONCE, LONG, STRETCH = 60_000, 1_000_000, 256, 1 << 16
 #: A word with at least this share of all tokens is a head word: by definition there are at most 1 / HEAD_SHARE.
 HEAD_SHARE = 1e-6
 _LN10 = math.log(10)
@@ -41,6 +43,9 @@ class Lattice:
         end = np.cumsum([len(p) for p in pieces])
         keys = Spans(data).spans(end - np.array([len(p) for p in pieces]), end)
         self.none = len(pieces)
+        self.size = np.array([len(p) for p in pieces])
+        self.bytes = np.zeros((len(pieces), self.longest), np.uint8)
+        self.bytes[np.repeat(np.arange(len(pieces)), self.size), runs(np.zeros(len(pieces), np.int64), self.size)] = data
         # Two direct tables on other bits of the hash; the few pieces that meet in both are searched.
         self.keys = np.append(keys, np.uint64(0))
         self.first, self.second = np.full(1 << 18, self.none, np.int32), np.full(1 << 18, self.none, np.int32)
@@ -65,15 +70,26 @@ class Lattice:
             out[missing] = found
         return out
 
+    def pieces_at(self, data: np.ndarray, spans: Spans, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(which, piece): the starts at which a piece of that length stands. A hash finds it, its bytes decide."""
+        piece = self.find(spans.spans(start, start + length))
+        some = np.flatnonzero(piece != self.none)
+        piece = piece[some]
+        same = (self.size[piece] == length) & (self.bytes[piece, :length] == data[start[some][:, None] + np.arange(length)]).all(1)
+        return some[same], piece[same]
+
     def run(self, words: list[bytes], weights: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
         """The natural log of each word's marginal. With weights, adds their expected piece counts to `expected`."""
         out = np.zeros(len(words))
         size = np.array([len(w) + 1 for w in words], np.int64)
-        data = np.frombuffer(b"".join(b" " + w for w in words), np.uint8)
+        for k in np.flatnonzero(size > LONG).tolist():
+            out[k] = self._long(words[k], None if weights is None else weights[k], expected)
+        data = np.frombuffer(b"".join(b" " + w for w in words if len(w) < LONG), np.uint8)
         spans = Spans(data)
-        begin = np.cumsum(size) - size
+        held = np.where(size > LONG, 0, size)
+        begin = np.cumsum(held) - held
         with np.errstate(divide="ignore", invalid="ignore"):
-            for n in np.unique(size).tolist():
+            for n in np.unique(held[held > 0]).tolist():
                 rows = np.flatnonzero(size == n)
                 start = begin[rows]
                 alpha = np.full((n + 1, len(rows)), -np.inf)
@@ -81,11 +97,9 @@ class Lattice:
                 used: list[tuple[int, int, np.ndarray, np.ndarray]] = []
                 for j in range(1, n + 1):
                     for i in range(max(0, j - self.longest), j):
-                        piece = self.find(spans.spans(start + i, start + j))
-                        some = np.flatnonzero(piece != self.none)
+                        some, p = self.pieces_at(data, spans, start + i, j - i)
                         if not len(some):
                             continue
-                        p = piece[some]
                         alpha[j, some] = np.logaddexp(alpha[j, some], alpha[i, some] + self.logp[p])
                         if weights is not None:
                             used.append((i, j, some, p))
@@ -101,6 +115,46 @@ class Lattice:
                     expected += np.bincount(p, share, len(expected))
         return out
 
+    def _long(self, word: bytes, weight: float | None, expected: np.ndarray | None) -> float:
+        """The same for one long word. Pieces are found for a stretch of ends at a time, so memory doesn't grow with their number."""
+        data = np.frombuffer(b" " + word, np.uint8)
+        n = len(data)
+
+        def edges(low: int):
+            """(begin, end, piece) of the pieces that end in (low, low + STRETCH], by end."""
+            high, first = min(n, low + STRETCH), max(0, low - self.longest)
+            part = data[first:high]
+            spans = Spans(part)
+            found = []
+            for length in range(1, min(self.longest, len(part)) + 1):
+                start = np.arange(max(0, low + 1 - length - first), len(part) - length + 1)
+                some, p = self.pieces_at(part, spans, start, length)
+                found.append((start[some] + first, start[some] + first + length, p))
+            begin, end, p = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(end, kind="stable")
+            return begin[order], end[order], p[order]
+
+        def add(a: float, b: float) -> float:
+            return max(a, b) + math.log1p(math.exp(-abs(a - b))) if a > -math.inf else b
+
+        alpha = [0.0] + [-math.inf] * n
+        for low in range(0, n, STRETCH):
+            begin, end, p = edges(low)
+            for i, j, x in zip(begin.tolist(), end.tolist(), self.logp[p].tolist(), strict=True):
+                alpha[j] = add(alpha[j], alpha[i] + x)
+        if weight is None:
+            return alpha[n]
+        beta = [-math.inf] * n + [0.0]
+        forward = np.array(alpha)
+        for low in reversed(range(0, n, STRETCH)):
+            begin, end, p = edges(low)
+            for i, j, x in zip(begin[::-1].tolist(), end[::-1].tolist(), self.logp[p][::-1].tolist(), strict=True):
+                beta[i] = add(beta[i], beta[j] + x)
+            # All ends of this stretch are final by now.
+            share = np.exp(forward[begin] + self.logp[p] + np.array([beta[j] for j in end.tolist()]) - forward[n]) * weight
+            expected += np.bincount(p, share, len(expected))
+        return alpha[n]
+
 
 def _binary(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     size = end - start
@@ -121,7 +175,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column(0))
-                _, one, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
+                one, place = words.distinct()
                 train = part.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
                 yield pa.record_batch([_binary(words.data, words.start[one], words.end[one]), pa.array(np.bincount(place, minlength=len(one)).astype(np.int64)), pa.array(np.bincount(place, train[words.doc], len(one)).astype(np.int64))], ["word", "n", "c"])
 
@@ -129,15 +183,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return pairs.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
-def _gathered(batches, columns: int):
-    """Record batches put together to WORDS_AT_ONCE rows."""
-    held, rows = [], 0
+def _gathered(batches):
+    """Record batches whose first column is words, put together and cut to about WORDS_AT_ONCE rows and BYTES_AT_ONCE bytes (one row at least)."""
+    held, rows, size = [], 0, 0
     for batch in batches:
-        held.append(batch)
-        rows += len(batch)
-        if rows >= WORDS_AT_ONCE:
-            yield pa.Table.from_batches(held)
-            held, rows = [], 0
+        for part in slices(batch, "word", BYTES_AT_ONCE):
+            held.append(part)
+            rows += len(part)
+            size += int(np.diff(flat(part.column(0))[1][[0, -1]])[0])
+            if rows >= WORDS_AT_ONCE or size >= BYTES_AT_ONCE:
+                yield pa.Table.from_batches(held)
+                held, rows, size = [], 0, 0
     if rows:
         yield pa.Table.from_batches(held)
 
@@ -156,7 +212,7 @@ def fit(counts: DataFrame, pieces: list[bytes], train_docs: int, rounds: int = R
         def expect(batches, shared=shared):
             lattice = Lattice(*shared.value)
             expected = np.zeros(lattice.none)
-            for table in _gathered(batches, 2):
+            for table in _gathered(batches):
                 lattice.run(table.column(0).to_pylist(), table.column(1).to_numpy().astype(np.float64), expected)
             some = np.flatnonzero(expected)
             yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(expected[some])], ["piece", "e"])
@@ -194,7 +250,7 @@ def score_documents(docs: DataFrame, model_file: str, rounds: int = ROUNDS, head
 
     def marginal(batches):
         lattice = Lattice(*shared.value)
-        for table in _gathered(batches, 3):
+        for table in _gathered(batches):
             got = lattice.run(table.column(0).to_pylist()) / _LN10
             yield pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in table.columns], pa.array(got)], ["word", "n", "c", "lp"])
 
@@ -209,31 +265,32 @@ def score_documents(docs: DataFrame, model_file: str, rounds: int = ROUNDS, head
     data = np.frombuffer(b"".join(r["word"] for r in head), np.uint8)
     stop = np.cumsum([len(r["word"]) for r in head]).astype(np.int64)
     start = stop - np.array([len(r["word"]) for r in head], np.int64)
-    keys = Spans(data).spans(start, stop)
-    order = np.argsort(keys)
+    # Of head words that share a hash one stays; the others are looked up with the rest.
+    keys, order = np.unique(Spans(data).spans(start, stop), return_index=True)
     c = np.array([r["c"] for r in head], np.int64)[order]
-    look = spark.sparkContext.broadcast((keys[order], base(c), np.array([r["lp"] for r in head])[order], c > 0))
+    look = spark.sparkContext.broadcast((keys, data, start[order], stop[order] - start[order], base(c), np.array([r["lp"] for r in head])[order], c > 0))
     end_base, end_score = float(base(train_docs)), end / _LN10
 
     def read(batches):
-        keys, bases, lps, seen = look.value
+        keys, data, start, size, bases, lps, seen = look.value
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column(1))
-                h = words.hashes()
                 n = words.rows
+                kinds, kind = words.distinct()
+                h = words.spans(words.start[kinds], words.end[kinds])
                 place = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-                hit = keys[place] == h if len(keys) else np.zeros(len(h), bool)
-                doc, at = words.doc[hit], place[hit]
-                rest = np.flatnonzero(~hit)
+                known_kind = keys[place] == h if len(keys) else np.zeros(len(h), bool)
+                known_kind[known_kind] = size[place[known_kind]] == (words.end - words.start)[kinds[known_kind]]
+                some = np.flatnonzero(known_kind)
+                known_kind[some] = same_bytes(words.data, words.start[kinds[some]], data, start[place[some]], size[place[some]])
+                hit = known_kind[kind]
+                doc, at = words.doc[hit], place[kind[hit]]
                 # Distinct other words of each text.
-                by = np.lexsort((h[rest], words.doc[rest]))
-                rest = rest[by]
-                new = np.ones(len(rest), bool)
-                new[1:] = (h[rest][1:] != h[rest][:-1]) | (words.doc[rest][1:] != words.doc[rest][:-1])
-                one = rest[new]
-                k = np.diff(np.append(np.flatnonzero(new), len(rest)))
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(words.doc[one], minlength=n))]).astype(np.int32)
+                wide = max(1, len(kinds))
+                pair, k = np.unique(words.doc[~hit] * wide + kind[~hit], return_counts=True)
+                one_doc, one = pair // wide, kinds[pair % wide]
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(one_doc, minlength=n))]).astype(np.int32)
                 tail = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([_binary(words.data, words.start[one], words.end[one]), pa.array(k.astype(np.int64))], ["word", "k"]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(words.counts + 1), pa.array(np.bincount(doc, seen[at], n).astype(np.int64) + (train_docs > 0)), pa.array(np.bincount(doc, bases[at], n) + end_base), pa.array(np.bincount(doc, lps[at], n) + end_score), tail],
@@ -243,7 +300,7 @@ def score_documents(docs: DataFrame, model_file: str, rounds: int = ROUNDS, head
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_tokens long, n_known long, base_score double, score double, tail array<struct<word: binary, k: long>>")])
     rows = materialize(docs.mapInArrow(read, schema).withColumn("row", F.monotonically_increasing_id()), "texts")
     pairs = rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.k")
-    counted = pairs.join(known.where(F.col("n") < least), "word")
+    counted = pairs.join(known, "word")
     per_word = F.log10((F.col("c") + 0.5) / F.lit(below or 1.0))
     more = counted.groupBy("row").agg(F.sum(F.col("k") * per_word).alias("b"), F.sum(F.col("k") * F.col("lp")).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"))
     nil = F.lit(0.0)

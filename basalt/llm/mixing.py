@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.llm.common import materialize
+from basalt.llm.common import materialize, numbered
 
-#: Labelled rows and marking words of the classifier; gradient steps, their damping, and the share of error to stop at.
-SAMPLE_ROWS, WORDS, STEPS, DAMPING, CLOSE = 8_000, 400, 24, 1e-3, 5e-3
-#: After so many steps the rates are written and the next steps start from them.
-RESTART = 8
+#: Labelled rows of the classifier; for each domain its marking words at most, and how many also where they mark it less.
+SAMPLE_ROWS, WORDS, WEAK = 8_000, 200, 20
+#: Times that a word is likelier in a domain than in the others to mark it, and to mark it less.
+LIFT, WEAK_LIFT = 20, 4
+#: Damping of the rates, and the share of error to stop at.
+DAMPING, CLOSE = 1e-3, 5e-3
+#: After so many steps the rates are written and the next steps start from them; if the error shrank by less than this share meanwhile, it shrinks no further.
+RESTART, PROGRESS = 8, 0.02
 SEED = 11
 _BINS = 8
 
@@ -61,7 +66,10 @@ def train(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS)
         every = by_word.groupBy("w").agg(F.max(F.struct("n", "domain")).alias("m"), F.sum("n").alias("all")).where("all >= 5")
         size = F.create_map(*[F.lit(x) for d, n in totals.items() for x in (d, n)])[F.col("m.domain")]
         lift = (F.col("m.n") / size) / ((F.col("all") - F.col("m.n") + 0.5) / (F.lit(all_rows) - size + 1))
-        found = every.withColumn("lift", lift).where("lift >= 20").orderBy(F.desc("m.n"), "w").limit(WORDS).collect()
+        # Each domain has its own bound, so a large one doesn't crowd out the words of a small one.
+        place = F.row_number().over(Window.partitionBy("m.domain").orderBy(F.col("lift") < LIFT, F.desc("m.n"), "w"))
+        ranked = every.withColumn("lift", lift).where(F.col("lift") >= WEAK_LIFT).withColumn("place", place)
+        found = ranked.where(F.col("place") <= F.when(F.col("lift") >= LIFT, WORDS).otherwise(WEAK)).collect()
         for r in found:
             marks.setdefault(r["m"]["domain"], []).append(r["w"])
     marked = _marked(stats, marks)
@@ -112,13 +120,15 @@ def _rate(shares: list[Column], steps: list[list[float]], rate: float, start: Co
     return F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in steps]), start, step)
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tuple[Column, dict]:
+def fit_rates(members: DataFrame, targets: dict[str, float]) -> tuple[Column, dict]:
     """members: n_tokens and posterior. Rates r >= 0 that minimize e' G^-1 e and a damping, e the totals' errors and G = sum_i n_i p_i p_i'.
 
     Projected gradient in the token metric, where this least-squares objective has curvature 1 at most: domains that
     overlap take no more steps than others. A rate follows from a document's own posteriors and the steps so far,
     so each step is one aggregation to as many numbers as there are domains.
-    Domains without mass are left out and the other targets made to sum to one. Returns the rate's expression and the totals.
+    Domains without mass are left out and the other targets made to sum to one. It steps until every total is within CLOSE of its
+    target, or the error no longer shrinks (a target beyond what rates of 0 and more can reach). Returns the rate's
+    expression and, for each domain, the target and the total reached.
     """
     names = sorted(targets)
     mass = members.agg(*[F.sum(F.col("n_tokens") * F.coalesce(F.col("posterior")[k], F.lit(0.0))).alias(f"m{i}") for i, k in enumerate(names)]).first()
@@ -138,9 +148,12 @@ def fit_rates(members: DataFrame, targets: dict[str, float], steps: int = STEPS)
     path: list[list[float]] = []
     since: list[list[float]] = []
     now = [m for _, m in held]
-    for _ in range(steps):
-        if max(abs(a - b) / b for a, b in zip(now, goal, strict=True)) < CLOSE:
+    last = math.inf
+    while True:
+        error = max(abs(a - b) / b for a, b in zip(now, goal, strict=True))
+        if error < CLOSE or len(path) and not since and error > last * (1 - PROGRESS):
             break
+        last = error if not since else last
         since.append((weights @ (np.array(now) - np.array(goal))).tolist())
         path.append(since[-1])
         tokens = state.select((F.col("n_tokens") * _rate(columns, since, speed, F.col("r"))).alias("t"), *columns)
@@ -155,23 +168,31 @@ def copies(rate: Column, u: Column) -> Column:
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str] | None = None, seed: int = SEED) -> DataFrame:
-    """docs (all columns, or those in keep) with n_tokens, posterior, rate and copies.
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str] | None = None, seed: int = SEED) -> tuple[DataFrame, dict]:
+    """docs (all columns, or those in keep) with n_tokens, posterior, rate and copies; and each domain's target and total reached.
 
     Texts are read once: what the classifier says is written with the columns kept, and rates are fitted on it. A seeded
-    hash of doc_id and text rounds the rate. Repeated rows are rated each; null texts are empty. No rows, no result.
+    hash of doc_id and text rounds the rate. Tokens are words and one end for each document. A total more than 2 % off its
+    target is warned of. Repeated rows are rated each; null texts are empty; columns of any names do no harm. No rows, no result.
     """
     model = train(docs, labelled)
-    u = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     kept = docs.columns if keep is None else keep
-    members = materialize(posteriors(docs, model).select(*kept, "n_tokens", "posterior", u.alias("_u")), "members")
-    rate, _ = fit_rates(members.select("n_tokens", "posterior"), targets)
-    return members.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"), F.col("_u"))).drop("_u")
+    places = [docs.columns.index(c) for c in kept]
+    inner = numbered(docs).select("*", *[F.col(f"c{docs.columns.index(c)}").alias(c) for c in ("doc_id", "text")])
+    u = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    members = materialize(posteriors(inner, model).select(*[f"c{i}" for i in places], "n_tokens", "posterior", u.alias("u")), "members")
+    rate, reached = fit_rates(members.select("n_tokens", "posterior"), targets)
+    for domain, (goal, total) in reached.items():
+        if abs(total - goal) > 0.02 * goal:
+            warnings.warn(f"{domain}: {total:.0f} tokens expected, target {goal:.0f}", stacklevel=2)
+    mixed = members.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"), F.col("u"))).drop("u")
+    return mixed.toDF(*kept, "n_tokens", "posterior", "rate", "copies"), reached
 
 
 def sample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
     """The columns of docs, each row as often as its copies say."""
-    mixed = mix(docs.withColumnsRenamed({c: f"_d_{c}" for c in docs.columns if c not in ("doc_id", "text")}), labelled, targets)
+    mixed = numbered(mix(docs, labelled, targets)[0])
+    n = len(docs.columns)
     # The rows as often as they are taken, none for none: no filter, which would be pushed below the rate and repeat it.
-    taken = mixed.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
-    return taken.select(*[F.col(c if c in ("doc_id", "text") else f"_d_{c}").alias(c) for c in docs.columns])
+    taken = mixed.withColumn("n", F.explode(F.array_repeat(F.lit(1), F.col(f"c{n + 3}"))))
+    return taken.select(*[f"c{i}" for i in range(n)]).toDF(*docs.columns)

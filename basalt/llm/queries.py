@@ -54,7 +54,7 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = _table(spark, sf_dir, "labels").select("doc_id", mixing.label_domain().alias("domain"))
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"), labelled, MIX_TARGETS, ["doc_id"])
+    mixed, _ = mixing.mix(_table(spark, sf_dir, "documents"), labelled, MIX_TARGETS, ["doc_id"])
     return mixed.select("doc_id", "n_tokens", *[mixed.posterior[k].alias(f"p_{k}") for k in sorted(MIX_TARGETS)], "rate", "copies")
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basalt.llm.common import work_path
 
-#: Text bytes in a bucket: what one task shuffles in memory.
-BUCKET_BYTES = 8_000_000
+#: Text bytes in a bucket: what one task shuffles in memory. Tasks of a pass at most.
+BUCKET_BYTES, TASKS = 8_000_000, 100_000
 SEED = 20_260_101
 
 
@@ -18,32 +19,46 @@ def shard_of(doc_id: Column, shards: int, seed: int = SEED) -> Column:
 
 
 def shard_documents(docs: DataFrame, path: str, shards: int = 16, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
-    """Writes docs to `path` as `shards` shards in random order and returns what was written.
+    """Writes docs to `path` as `shards` shards in random order and returns what was written, see read_shards().
 
     Law `key`: doc_id and the shard count decide the shard. Pass one scatters the records
     into seeded-hash buckets that fit in memory, some for each shard; pass two shuffles each
-    bucket (shuffle() draws a Fisher-Yates permutation) and writes it. slot counts on from the
-    shard's earlier buckets, so it has no gap. A bucket's hash takes the text too, so rows with
-    one doc_id but different texts part; rows that are equal in both are interchangeable. A null
+    bucket (shuffle() draws a Fisher-Yates permutation) and writes it. A bucket's hash takes a row's number too, so equal
+    rows part as well. A task takes its buckets one after another and holds one. A null
     id or text counts as a value of its own; columns other than doc_id and text are left out.
     """
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"))
     total = docs.agg(F.sum("size")).first()[0] or 0
     each = max(1, -(-total // (shards * bucket_bytes)))
-    shard = shard_of(F.col("doc_id"), shards, seed)
-    keyed = docs.withColumn("shard", shard).withColumn("bucket", F.col("shard") * F.lit(each) + F.pmod(F.xxhash64("doc_id", "text", F.lit(seed + 1)), F.lit(each)).cast("int"))
-    counts = keyed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    scattered = F.xxhash64("doc_id", "text", F.monotonically_increasing_id(), F.lit(seed + 1))
+    keyed = docs.withColumn("shard", shard_of(F.col("doc_id"), shards, seed)).withColumn("h", scattered)
+    keyed = keyed.withColumn("bucket", F.col("shard") * F.lit(each) + F.pmod("h", F.lit(each)).cast("int"))
+    n = max(shards * each, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    record = F.struct(F.xxhash64("h", F.lit(seed + 2)).alias("h"), "doc_id", "size", "text")
+    # In a fixed order before the seeded draw, so a task that runs again writes the same rows.
+    ordered = keyed.repartition(min(n, TASKS), "bucket").sortWithinPartitions("bucket", "shard")
+    gathered = ordered.groupBy("bucket", "shard").agg(F.sort_array(F.collect_list(record)).alias("records"))
+    drawn = gathered.select("shard", "bucket", F.posexplode(F.shuffle("records", F.lit(seed))).alias("place", "r"))
+    rows = drawn.select("r.doc_id", "r.text", "r.size", "bucket", "place", "shard")
+    # Aggregation over sorted rows holds one bucket at a time; the default, by hash, would hold all of a task's.
+    name = "spark.sql.execution.useObjectHashAggregateExec"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        rows.write.partitionBy("shard").parquet(path)
+    finally:
+        spark.conf.set(name, before)
+    return read_shards(spark, path, rows.schema)
+
+
+def read_shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The written records with their slot: the place in the bucket after the rows of the shard's earlier buckets, so without a gap."""
+    written = spark.read.schema(schema).parquet(path)
+    counts = written.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    record = F.struct(F.xxhash64("doc_id", "text", F.lit(seed + 2)).alias("h"), "doc_id", "size", "text")
-    n = max(shards * each, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    gathered = keyed.repartition(min(n, 20_000), "bucket").groupBy("bucket", "shard").agg(F.sort_array(F.collect_list(record)).alias("records"))
-    # In a fixed order before the seeded draw, so a task that runs again writes the same rows.
-    drawn = gathered.join(bases, "bucket").sortWithinPartitions("bucket").select("shard", "bucket", "base", F.shuffle("records", F.lit(seed)).alias("records"))
-    rows = drawn.select("shard", "bucket", "base", F.posexplode("records").alias("place", "r"))
-    out = rows.select("r.doc_id", "r.text", "r.size", "bucket", (F.col("base") + F.col("place")).alias("slot"), "shard")
-    out.write.partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.schema(out.schema).parquet(path)
+    return written.join(bases, "bucket").withColumn("slot", (F.col("base") + F.col("place")).cast("long")).drop("base", "place")
 
 
 def shard_digest(docs: DataFrame, shards: int = 16) -> DataFrame:

@@ -42,9 +42,9 @@ def with_signatures(df: DataFrame, texts: dict[str, str], chain: int = CHAIN) ->
             ahead = F.slice(content, F.lit(step + 1), F.greatest(n, F.lit(1)))
             links = F.zip_with(links, ahead, lambda s, x: F.struct(s["lo"].alias("lo"), s["k"].alias("k"), F.concat(s["c"], F.array(x["t"])).alias("c")))
         whole = F.filter(links, lambda s: (s["k"] > 0) & s["c"].isNotNull() & ~F.exists(s["c"], lambda t: t.isNull()))
-        found = F.flatten(F.transform(whole, lambda s: F.transform(F.slice(F.col(f"_w_{new}"), s["lo"], s["k"]), lambda a: F.hash(a, s["c"]))))
+        found = F.flatten(F.transform(whole, lambda s: F.transform(F.slice(F.col(f"_w_{new}"), s["lo"], s["k"]), lambda a: F.xxhash64(a, s["c"]))))
         out = out.withColumn(f"_s_{new}", found)
-        plain = F.when(F.size(f"_s_{new}") > 0, F.col(f"_s_{new}")).otherwise(F.transform(f"_w_{new}", lambda t: F.hash(t)))
+        plain = F.when(F.size(f"_s_{new}") > 0, F.col(f"_s_{new}")).otherwise(F.transform(f"_w_{new}", lambda t: F.xxhash64(t)))
         out = out.withColumn(new, F.array_sort(F.array_distinct(plain))).drop(f"_w_{new}", f"_c_{new}", f"_s_{new}")
     return out
 
@@ -63,8 +63,8 @@ def length_partition(sig: Column, similarity: float = SIMILARITY) -> Column:
 
 
 def text_form(sig: Column) -> Column:
-    """The set as lowercase hex, eight digits a signature, ascending."""
-    return F.array_join(F.transform(sig, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
+    """The set as lowercase hex, sixteen digits a signature, ascending by signed value."""
+    return F.array_join(F.transform(sig, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
 def similar_sets(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

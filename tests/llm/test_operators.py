@@ -189,7 +189,7 @@ def test_spotsigs(docs, empty):
     for r in got:
         if r.doc_id is not None:
             assert prints.setdefault(text_of[r.doc_id], r.fingerprint) == r.fingerprint
-    cut = lambda s: {s[i : i + 8] for i in range(0, len(s), 8)}
+    cut = lambda s: {s[i : i + 16] for i in range(0, len(s), 16)}
     for r in got:
         a, b = cut(r.fingerprint), cut(r.edited_fingerprint)
         assert abs(r.near_edited - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-9
@@ -242,17 +242,41 @@ def test_token_files(spark, docs, empty, tmp_path):
 def test_mixing(docs, labels, empty):
     labelled = labels.select("doc_id", mixing.label_domain().alias("domain"))
     targets = {"high": 0.5, "low": 0.3, "toxic": 0.2}
-    mixed = mixing.mix(docs, labelled, targets)
+    mixed, reached = mixing.mix(docs, labelled, targets)
     got = mixed.collect()
     assert len(got) == len(corpus())
-    assert all(r.rate >= 0 and r["copies"] in (math.floor(r.rate), math.floor(r.rate) + 1) for r in got)
+    assert all(r.rate >= 0 and r[-1] in (math.floor(r.rate), math.floor(r.rate) + 1) for r in got)
     total = sum(r.n_tokens for r in got)
     for k, share in targets.items():
-        assert abs(sum(r.n_tokens * r.rate * r.posterior[k] for r in got) / total - share) < 0.03
+        mass = sum(r.n_tokens * r.rate * r.posterior[k] for r in got)
+        assert abs(mass / total - share) < 0.01
+        assert abs(reached[k][0] - share * total) < 1e-6 * total and abs(reached[k][1] - mass) < 1e-6 * total
     taken = mixing.sample(docs, labelled, targets)
     assert taken.columns == docs.columns
-    assert taken.count() == sum(r["copies"] for r in got)
-    assert mixing.mix(empty, labelled, targets).count() == 0
+    assert taken.count() == sum(r[-1] for r in got)
+    assert mixing.mix(empty, labelled, targets)[0].count() == 0
+    members = docs.sparkSession.createDataFrame([(10, {"high": 0.9, "low": 0.1})] * 5, "n_tokens long, posterior map<string, double>")
+    unreachable = mixing.fit_rates(members, {"high": 0.5, "low": 0.5})[1]
+    assert abs(unreachable["low"][1] - 25) > 1  # every document is mostly high, no rates change that
+
+
+def test_rates_against_projected_least_squares(spark):
+    """The fitted rates reach the objective that a long run of plain projected gradient reaches."""
+    rng = np.random.default_rng(6)
+    n = rng.integers(5, 50, 80).astype(float)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 80)
+    goal = np.array([0.6, 0.3, 0.1]) * n.sum()
+    members = spark.createDataFrame([(int(k), dict(zip("abc", map(float, x)))) for k, x in zip(n, p)], "n_tokens long, posterior map<string, double>")
+    rate, reached = mixing.fit_rates(members, dict(zip("abc", (0.6, 0.3, 0.1))))
+    r = np.array([x.r for x in members.select(rate.alias("r")).collect()])
+    totals = (n * r) @ p
+    assert (r >= 0).all() and np.allclose(totals, [reached[k][1] for k in "abc"], rtol=1e-6)
+    assert np.abs(totals / goal - 1).max() < 0.005
+    slow = np.ones(80)
+    step = 1 / np.linalg.norm(n[:, None] * p, 2) ** 2
+    for _ in range(20_000):
+        slow = np.maximum(0, slow - step * (n[:, None] * p) @ ((n * slow) @ p - goal))
+    assert np.abs((n * slow) @ p / goal - 1).max() < 0.005
 
 
 def test_packing(docs, empty):
@@ -372,6 +396,30 @@ def test_lattice_marginal_is_the_sum_over_segmentations():
     assert abs(sum(expected[i] * len(p) for i, p in enumerate(pieces)) - 6) < 1e-9
 
 
+def test_lattice_long_words(monkeypatch):
+    """A long word, in stretches, gets what the short way gives it."""
+    rng = np.random.default_rng(1)
+    pieces = [bytes([i]) for i in range(256)] + [b" a", b"ab", b"aba", b"bb"]
+    model = lattice.Lattice(pieces, np.log(rng.dirichlet(np.ones(len(pieces)))))
+    words = [bytes(rng.choice([97, 98], 60).astype(np.uint8)) for _ in range(5)]
+    want, short = np.zeros(len(pieces)), None
+    short = model.run(words, np.ones(5), want)
+    monkeypatch.setattr(lattice, "LONG", 8)
+    monkeypatch.setattr(lattice, "STRETCH", 7)
+    got = np.zeros(len(pieces))
+    assert np.allclose(model.run(words, np.ones(5), got), short) and np.allclose(got, want)
+    assert np.allclose(model.run(words), short)
+
+
+def test_words_that_share_polynomial_hashes(spark):
+    """Two words that collide modulo any power of two are two words."""
+    thue = "a"
+    while len(thue) < 4096:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(0, thue), (2, thue.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    assert sorted(r.n for r in lattice.word_counts(df).collect()) == [1, 1]
+
+
 def test_lattice_scores(docs, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = lattice.score_documents(docs, path, head_share=0.01).collect()
