@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,17 +24,19 @@ def estimate_tokens(c: Column) -> Column:
 
 
 def snippet(c: Column, query: str, most: int = 240) -> Column:
-    """Up to `most` signs around the query's first place (else its first word found), a third of them before it; cut ends are marked."""
+    """A text of up to `most` signs whole; of a longer one `most` signs around the query's first place (else that of its first word found), a third of them before it, or its last ones. Cut ends are marked."""
     text = compact(c)
     low = F.lower(text)
     found = F.lit(0)
-    for candidate in reversed([query.lower(), *[w for w in query.lower().split() if len(w) >= 2]]):
-        at = F.instr(low, candidate)
-        found = F.when(at > 0, at).otherwise(found)
-    start = F.greatest(F.lit(0), F.greatest(found - 1, F.lit(0)) - most // 3)
-    end = F.least(F.length(text), start + most)
+    for candidate in reversed([query.strip(), *re.findall(r"[\w-]+", query)]):
+        if len(candidate.strip()) >= 2:
+            at = F.instr(low, candidate.lower())
+            found = F.when(at > 0, at - 1).otherwise(found)
+    n = F.length(text)
+    start = F.greatest(F.lit(0), F.least(found - most // 3, n - most))
+    end = F.least(n, start + most)
     cut = F.trim(F.substring(text, start + 1, end - start))
-    return F.concat(F.when(start > 0, "…").otherwise(""), cut, F.when(end < F.length(text), "…").otherwise(""))
+    return F.when(n <= most, text).otherwise(F.concat(F.when(start > 0, "…").otherwise(""), cut, F.when(end < n, "…").otherwise("")))
 
 
 def years(c: Column) -> Column:
@@ -40,6 +44,57 @@ def years(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?<![\d-])((?:1|2)\d{3})(?![\d-])"), F.lit(1)))
 
 
+def filter_years(c: Column, most: int = 10) -> Column:
+    """years() of a query, which fails where there are more than `most`."""
+    return F.when(F.size(years(c)) > most, F.raise_error(F.lit(f"more than {most} years"))).otherwise(years(c))
+
+
+def cut_utf8(c: Column, most: int) -> Column:
+    """The longest beginning of at most `most` UTF-8 bytes that ends with a whole sign."""
+    raw = c.cast("binary")
+    cuts = [F.substring(raw, 1, most - back) for back in range(min(4, most))]
+    out = cuts[-1].cast("string")
+    for x in reversed(cuts[:-1]):
+        out = F.when(F.is_valid_utf8(x.cast("string")), x.cast("string")).otherwise(out)
+    return out
+
+
+def escape_xml(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def quote_xml(c: Column) -> Column:
+    """An attribute's value in quotes: double ones, or single ones where the value has double ones only."""
+    safe = F.replace(F.replace(F.replace(escape_xml(c), F.lit("\n"), F.lit("&#10;")), F.lit("\r"), F.lit("&#13;")), F.lit("\t"), F.lit("&#9;"))
+    double, single = F.contains(safe, F.lit('"')), F.contains(safe, F.lit("'"))
+    whole = F.when(double & single, F.replace(safe, F.lit('"'), F.lit("&quot;"))).otherwise(safe)
+    mark = F.when(double & ~single, F.lit("'")).otherwise(F.lit('"'))
+    return F.concat(mark, whole, mark)
+
+
+#: Sentences, characters in all of an extractive summary by style.
+STYLES = {"brief": (3, 700), "bullet_points": (6, 1_400), "detailed": (10, 2_400)}
+
+
+def extractive_summary(c: Column, style: str) -> Column:
+    """The first sentences within the style's bounds, each of 500 signs at most; a text of one sentence in slices of 320 signs."""
+    count, signs = STYLES[style]
+    text = compact(F.coalesce(c, F.lit("")))
+    parts = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")
+    starts = F.sequence(F.lit(1), F.greatest(F.least(F.length(text), F.lit(signs)), F.lit(1)), F.lit(320))
+    parts = F.when(F.size(parts) == 1, F.transform(starts, lambda i: F.trim(F.substring(text, i, F.lit(320))))).otherwise(parts)
+    bounded = F.filter(F.transform(F.slice(parts, 1, 64), lambda s: F.rtrim(F.substring(s, 1, 500))), lambda s: s != "")
+
+    def step(state: Column, s: Column) -> Column:
+        over = state["full"] | (F.size(state["kept"]) >= count) | ((F.size(state["kept"]) > 0) & (state["used"] + F.length(s) > signs))
+        return F.struct(F.when(over, state["kept"]).otherwise(F.array_append(state["kept"], s)).alias("kept"), F.when(over, state["used"]).otherwise(state["used"] + F.length(s)).alias("used"), over.alias("full"))
+
+    zero = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("used"), F.lit(False).alias("full"))
+    kept = F.aggregate(bounded, zero, step, lambda s: s["kept"])
+    shown = F.array_join(F.transform(kept, lambda s: F.concat(F.lit("• "), s)), "\n") if style == "bullet_points" else F.array_join(kept, " ")
+    return F.when(text == "", F.lit("This document does not contain extractable text.")).otherwise(shown)
+
+
 def summary(c: Column, most: int = 900) -> Column:
     """A beginning of at most `most` signs that ends with a whole word, and a mark where it was cut."""
     text = compact(c)
