@@ -5,53 +5,66 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
-import math
 import re
 import unicodedata
 import uuid
-from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The personal name of the hash, and weights of trigrams and word pairs.
-PERSON, TRIGRAM, PAIR = b"basalt-v1", 0.15, 0.5
-STOP = frozenset("a an and are as at be by for from in is it of on or that the this to was were with".split())
-_TOKEN = re.compile(r"[^\W_]+(?:['-][^\W_]+)*")
-
-
-def features(text: str) -> dict[str, float]:
-    """Words by 1 + ln of their count, three-letter parts of longer words, and pairs of neighbours. Stop words go unless nothing else is there."""
-    words = _TOKEN.findall(unicodedata.normalize("NFKC", text).casefold())
-    words = [w for w in words if w not in STOP] or words
-    out: dict[str, float] = {f"w:{w}": 1 + math.log(n) for w, n in Counter(words).items()}
-    for w in words:
-        if len(w) >= 4:
-            marked = f"^{w}$"
-            for i in range(len(marked) - 2):
-                out[g] = out.get(g := f"t:{marked[i : i + 3]}", 0.0) + TRIGRAM
-    for a, b in zip(words, words[1:], strict=False):
-        out[p] = out.get(p := f"b:{a} {b}", 0.0) + PAIR
-    return out
-
-
-def embed(text: str | None, size: int = 1536) -> np.ndarray:
-    """Each feature goes to one place with a sign, both from its hash; the vector has length one unless the text is empty."""
-    v = np.zeros(size)
-    for name, weight in features(text or "").items():
-        h = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8, person=PERSON).digest(), "big")
-        v[h % size] += weight if h >> 63 else -weight
-    return (v / (np.linalg.norm(v) or 1.0)).astype(np.float32)
-
-
-def lexical_embedding(c: Column, size: int = 1536) -> Column:
+#: The personal name of the hash, and weights of letter triples and word pairs.
+PERSON, TRIPLE, PAIR = b"basalt-v1", 0.15, 0.5
+#: Words that carry no feature unless a text has nothing else.
+STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
+
+
+def with_lexical_features(df: DataFrame, text: str, out: str = "features") -> DataFrame:
+    """Adds an array of (name, weight): a text's distinct words by 1 + ln of their count, the letter triples of its distinct longer words, and the neighbours among its words.
+
+    Steps are columns of their own, so each is computed once a row.
+    """
+
+    def feature(kind: str, name: Column, weight: Column) -> Column:
+        return F.struct(F.concat(F.lit(kind), name).alias("name"), weight.cast("double").alias("weight"))
+
+    every = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    rows = df.withColumn("_every", every).withColumn("_telling", F.filter("_every", lambda w: ~w.isin(*STOP)))
+    rows = rows.withColumn("_words", F.when(F.size("_telling") > 0, F.col("_telling")).otherwise(F.col("_every"))).withColumn("_sorted", F.array_sort("_words"))
+    # In sorted order a word's count is the distance from its first place to the next word's; the end closes the last one.
+    starts = F.filter(F.transform("_sorted", lambda w, i: F.when((i == 0) | (w != F.get(F.col("_sorted"), F.greatest(i - 1, F.lit(0)))), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_starts", starts).withColumn("_ends", F.array_append(F.slice("_starts", F.lit(2), F.greatest(F.size("_starts"), F.lit(1))), F.size("_sorted")))
+    counted = F.zip_with("_starts", "_ends", lambda i, j: feature("w ", F.get(F.col("_sorted"), i), 1 + F.log((j - i).cast("double"))))
+    long = F.transform(F.filter(F.array_distinct("_sorted"), lambda w: F.length(w) >= 4), lambda w: F.concat(F.lit("^"), w, F.lit("$")))
+    triples = F.flatten(F.transform(long, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: feature("t ", F.substring(w, i, F.lit(3)), F.lit(TRIPLE)))))
+    after = F.slice("_words", F.lit(2), F.greatest(F.size("_words"), F.lit(1)))
+    pairs = F.filter(F.zip_with("_words", after, lambda x, y: F.when(y.isNotNull(), feature("p ", F.concat(x, F.lit(" "), y), F.lit(PAIR)))), lambda p: p.isNotNull())
+    none = F.array().cast("array<struct<name: string, weight: double>>")
+    made = rows.withColumn("_c", counted).withColumn("_t", triples).withColumn("_p", pairs)
+    return made.withColumn(out, F.when(F.size("_words") == 0, none).otherwise(F.concat("_c", "_t", "_p"))).drop("_every", "_telling", "_words", "_sorted", "_starts", "_ends", "_c", "_t", "_p")
+
+
+def with_lexical_embedding(df: DataFrame, text: str, out: str, size: int = 1536) -> DataFrame:
+    """Adds a vector: each feature of a text goes to one of `size` places with a sign, both from its BLAKE2b hash. It has length one, or is zero for a text without words.
+
+    Features are made in Spark; Python hashes each distinct name of a batch once and adds up.
+    """
+
     @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: embed(t, size))
+    def hashed(names: pd.Series, weights: pd.Series) -> pd.Series:
+        counts = names.map(len).to_numpy()
+        place, kinds = pd.factorize(np.concatenate([np.asarray(x, object) for x in names]) if counts.sum() else np.zeros(0, object))
+        digest = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8, person=PERSON).digest(), "big") for x in kinds], np.uint64)
+        at, sign = (digest % np.uint64(size)).astype(np.int64), np.where(digest >> np.uint64(63), 1.0, -1.0)
+        out = np.zeros((len(names), size))
+        if len(kinds):
+            np.add.at(out, (np.repeat(np.arange(len(names)), counts), at[place]), sign[place] * np.concatenate(list(weights)))
+        length = np.linalg.norm(out, axis=1, keepdims=True)
+        return pd.Series(list((out / np.where(length == 0, 1, length)).astype(np.float32)))
 
-    return run(c)
+    made = with_lexical_features(df, text, "_f").withColumn("_names", F.transform("_f", lambda x: x["name"])).withColumn("_weights", F.transform("_f", lambda x: x["weight"]))
+    return made.withColumn(out, hashed(F.col("_names"), F.col("_weights"))).drop("_f", "_names", "_weights")
 
 
 def fold(c: Column) -> Column:
@@ -96,15 +109,17 @@ def signature(body: Column, timestamp: Column, secret: str) -> Column:
     return run(body, timestamp.cast("string"))
 
 
-SECRET = re.compile(r"(?i)(password|secret|token|api[_-]?key|authorization|credential)")
+#: Names of fields whose values are hidden, whole names in any case, and what stands in their place.
+SECRET = re.compile(r"(?:api[_-]?key|access[_-]?token|refresh[_-]?token|id[_-]?token|authorization|cookie|password|secret|credential)", re.IGNORECASE)
+HIDDEN = "[REDACTED]"
 
 
 def redact(c: Column) -> Column:
-    """A JSON text in which the values of secret-named fields, however deep, are replaced."""
+    """A JSON text in which the values of secret fields, however deep, are replaced."""
 
     def clean(x):
         if isinstance(x, dict):
-            return {k: "[redacted]" if SECRET.search(k) else clean(v) for k, v in x.items()}
+            return {k: HIDDEN if SECRET.fullmatch(k) else clean(v) for k, v in x.items()}
         return [clean(v) for v in x] if isinstance(x, list) else x
 
     @F.pandas_udf("string")

@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.session import small
+
 #: Words that are never searched for.
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 _PARTS = r"[^\p{L}\p{N}]+"
@@ -97,3 +99,20 @@ def hybrid(semantic: DataFrame | None, keyword: DataFrame, key: str, k: int) ->
 
     both = one(keyword, 1) if semantic is None else one(semantic, 0).unionByName(one(keyword, 1))
     return reciprocal_rank_fusion(both, "query", key).where(F.col("position") <= k).select(key, "score", "position", F.lit(semantic is None).alias("degraded"))
+
+
+def contained(rows: DataFrame, quotes: DataFrame) -> DataFrame:
+    """rows (with text) joined to those quotes (with quote) that they hold as they stand.
+
+    A quote's inner words are whole words of every text that holds it. So rows meet a quote over the longest of them, and only
+    texts with that word are searched. Quotes of less than three words have none: all texts are searched for them, and they must be few.
+    """
+    inner = F.slice(words(F.col("quote")), 2, F.greatest(F.size(words(F.col("quote"))) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = quotes.withColumn("_w", longest)
+    asked = keyed.where("_w IS NOT NULL")
+    wanted = asked.select("_w").distinct()
+    spread = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_w", F.explode(F.array_distinct(words(F.col("text"))))).join(wanted, "_w", "left_semi")
+    met = spread.join(asked, "_w").where(F.contains(F.col("text"), F.col("quote"))).drop("_w", "_id")
+    short = small(keyed.where("_w IS NULL").drop("_w"))
+    return met.unionByName(rows.join(F.broadcast(short), F.contains(F.col("text"), F.col("quote"))).select(*met.columns))

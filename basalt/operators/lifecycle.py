@@ -23,12 +23,6 @@ def changed_versions(rows: DataFrame, key: list[str], order: list[str], fields:
     return kept.withColumn("version_number", F.row_number().over(w)).drop("_first", "_same")
 
 
-def reserve_quota(requests: DataFrame, tenant: str, order: list[str], size: str, limit: Column) -> DataFrame:
-    """Requests in order with the running total and whether it still fits."""
-    w = Window.partitionBy(tenant).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return requests.withColumn("running", F.sum(size).over(w).cast("long")).withColumn("accepted", F.col("running") <= limit)
-
-
 def optimistic_update(rows: DataFrame, changes: DataFrame, key: str, value: str) -> DataFrame:
     """changes: (key, expected, value). Each change with its outcome and the version after it: updated, conflict or not_found."""
     held = rows.select(F.col(key), "version")

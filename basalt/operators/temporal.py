@@ -56,3 +56,8 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     both = a.unionByName(b, allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy("_t", "_side", F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     return both.withColumn(f"asof_{value}", F.last("_v", ignorenulls=True).over(w)).where("_side = 0").select(*names, f"asof_{value}")
+
+
+def scoped(df: DataFrame, column: str, identity: str | None) -> DataFrame:
+    """The rows of one identity; a session without one sees none."""
+    return df.where(F.col(column) == F.lit(identity) if identity else F.lit(False))

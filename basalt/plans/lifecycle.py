@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from basalt.operators import evaluation, grounding, lifecycle, paging
+from basalt.operators import evaluation, fulltext, grounding, lifecycle, paging, records
 from basalt.plans.registry import query
-from basalt.session import small
 
 
 @query("SELECT doc_id, existing FROM (SELECT doc_id, MIN(doc_id) OVER (PARTITION BY text) AS existing FROM documents) WHERE doc_id <> existing")
@@ -26,9 +25,10 @@ def ing10_idempotent_upload(t):
     return t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min("event_id").alias("request"), F.count("*").alias("attempts"), (F.countDistinct("event_type") == 1).alias("same_request")).drop("day")
 
 
-@query("""SELECT doc_id, CAST(SUM(n_chars) OVER w AS BIGINT) AS running, SUM(n_chars) OVER w <= 100000 AS accepted FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)""")
+@query("""WITH RECURSIVE q AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents), f AS (SELECT source, doc_id, r, n_chars <= 100000 AS accepted, CASE WHEN n_chars <= 100000 THEN n_chars ELSE 0 END AS running FROM q WHERE r = 1
+  UNION ALL SELECT q.source, q.doc_id, q.r, f.running + q.n_chars <= 100000, f.running + CASE WHEN f.running + q.n_chars <= 100000 THEN q.n_chars ELSE 0 END FROM f JOIN q ON q.source = f.source AND q.r = f.r + 1) SELECT doc_id, running, accepted FROM f""")
 def ing11_reserve_quota(t):
-    return lifecycle.reserve_quota(t.documents, "source", ["doc_id"], "n_chars", F.lit(100_000)).select("doc_id", "running", "accepted")
+    return records.reserve_quota(t.documents.select("source", "doc_id", "n_chars"), "source", ["doc_id"], "n_chars", 100_000).select("doc_id", "running", "accepted")
 
 
 @query("SELECT user_id, CAST(arg_max(event_id, ts) AS BIGINT) AS event_id, arg_max(event_type, {'t': ts, 'i': event_id}) AS event_type, COUNT(*) AS changes FROM events GROUP BY 1")
@@ -217,8 +217,7 @@ def gnd09_violations(t):
 
 @query("SELECT doc_id, item_id, sha256(b.text) AS quote_hash, CAST(strpos(d.text, b.text) AS INTEGER) AS start FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def gnd10_envelope(t):
-    items = small(t.benchmark.select("item_id", F.col("text").alias("quote")))
-    hit = t.documents.join(F.broadcast(items), F.contains(F.col("text"), F.col("quote")))
+    hit = fulltext.contained(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("quote")))
     return hit.select("doc_id", "item_id", F.sha2(F.col("quote").cast("binary"), 256).alias("quote_hash"), (F.position("quote", "text")).alias("start"))
 
 
@@ -252,10 +251,10 @@ def eval03_gates(t):
 
 
 @query("""WITH a AS (SELECT l_orderkey, list(DISTINCT l_partkey) AS x FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey, list(DISTINCT l_partkey) AS y FROM lineitem WHERE l_quantity > 10 GROUP BY 1)
-  SELECT l_orderkey, ROUND(COALESCE(len(list_intersect(x, y)), 0) / LEAST(len(x), 3), 6) AS recall FROM a LEFT JOIN b USING (l_orderkey)""")
+  SELECT l_orderkey, ROUND(COALESCE(len(list_intersect(x, y)), 0) / len(x), 6) AS recall FROM a LEFT JOIN b USING (l_orderkey)""")
 def eval04_ann_recall(t):
-    exact = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("x"), F.collect_set(F.when(F.col("l_quantity") > 10, F.col("l_partkey"))).alias("y"))
-    return exact.select("l_orderkey", F.round(F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.lit(3)), 6).alias("recall"))
+    exact = t.lineitem.select("l_orderkey", "l_partkey")
+    return evaluation.top_list_recall(exact, t.lineitem.where("l_quantity > 10"), "l_orderkey", "l_partkey").select("l_orderkey", "recall")
 
 
 @query("SELECT event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE event_type IN ('purchase', 'error') AND p IS DISTINCT FROM event_type")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from basalt.functions import text as X
+from basalt.operators import grounding
 from basalt.operators import records as R
 from basalt.plans.registry import query
 
@@ -49,12 +50,6 @@ def dml05_capped_insert(t):
     return R.insert_facts(active, new, "who", "fact", "confirmed", F.size(X.sensitive(F.col("fact"))) > 0, 40).select("place", "outcome")
 
 
-@query("""WITH RECURSIVE q AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents), f AS (SELECT source, doc_id, r, n_chars <= 30000 AS accepted, CASE WHEN n_chars <= 30000 THEN n_chars ELSE 0 END AS running FROM q WHERE r = 1
-  UNION ALL SELECT q.source, q.doc_id, q.r, f.running + q.n_chars <= 30000, f.running + CASE WHEN f.running + q.n_chars <= 30000 THEN q.n_chars ELSE 0 END FROM f JOIN q ON q.source = f.source AND q.r = f.r + 1) SELECT doc_id, running, accepted FROM f""")
-def ing11_quota_fold(t):
-    return R.reserve_quota(t.documents.select("source", "doc_id", "n_chars"), "source", ["doc_id"], "n_chars", 30_000).select("doc_id", "running", "accepted")
-
-
 INTENTS = "i AS (SELECT event_id AS id, user_id AS tenant, CAST(FLOOR(value) AS BIGINT) AS size, CASE event_type WHEN 'purchase' THEN 'stored' WHEN 'click' THEN 'uploading' WHEN 'view' THEN 'pending' ELSE 'abandoned' END AS status, CAST(user_id % 7 AS INTEGER) AS attempts, ts AS touched FROM events)"
 
 
@@ -146,3 +141,56 @@ def str06_snapshot_growth(t):
 def str05_notification_changes(t):
     log = t.events.select("event_id", F.col("user_id").alias("id"), "ts", (F.col("event_type") == "click").alias("read"), ((F.col("event_type") == "error") & (F.col("value") > 95)).alias("deleted"))
     return R.changes(log, "id", ["ts", "event_id"], "read", "deleted").select("event_id", "change")
+
+
+PACK = """p0 AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'document' WHEN 'assistant' THEN 'memory' ELSE 'tool' END AS kind, CASE WHEN turn = 3 THEN '' ELSE text END AS content, turn % 2 = 1 AS failed FROM conversations),
+  p1 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, kind ORDER BY turn) AS n FROM p0 WHERE NOT (failed AND kind = 'tool')),
+  pack AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY CASE kind WHEN 'document' THEN 1 WHEN 'memory' THEN 2 ELSE 4 END, turn) AS INTEGER) AS ordinal, CASE kind WHEN 'document' THEN 'D' WHEN 'memory' THEN 'M' ELSE 'T' END || n AS source_id, kind, content, sha256(content) AS content_sha256 FROM p1 WHERE content <> '')"""
+
+
+def _pack(t):
+    kind = F.when(F.col("role") == "user", "document").when(F.col("role") == "assistant", "memory").otherwise("tool")
+    rows = t.conversations.select("conv_id", "turn", kind.alias("kind"), F.when(F.col("turn") == 3, "").otherwise(F.col("text")).alias("content"))
+    return grounding.evidence_pack(rows, "conv_id", "turn", "kind", "content", F.col("turn") % 2 == 1)
+
+
+@query(f"WITH {PACK} SELECT conv_id, ordinal, source_id, kind, content_sha256 FROM pack")
+def gnd01_evidence_pack(t):
+    return _pack(t).drop("content")
+
+
+@query(f"""WITH {PACK} SELECT conv_id, COUNT(*) AS source_count, sha256(string_agg(ordinal || ':' || source_id || ':' || kind || ':' || content_sha256, chr(10) ORDER BY ordinal)) AS canonical_sha256,
+  CASE WHEN COUNT(*) > 64 THEN 'too many sources' WHEN bool_or(kind <> 'document' AND length(content) > 50000) THEN 'long snapshot' END AS fault FROM pack GROUP BY 1""")
+def gnd02_manifest(t):
+    return grounding.manifest(_pack(t), "conv_id")
+
+
+@query(f"""WITH {PACK}, m AS (SELECT conv_id, COUNT(*) AS source_count, sha256(string_agg(ordinal || ':' || source_id || ':' || kind || ':' || content_sha256, chr(10) ORDER BY ordinal)) AS canonical FROM pack GROUP BY 1),
+  f AS (SELECT conv_id, COUNT(*) AS n FROM conversations WHERE text <> '' AND turn <> 3 GROUP BY 1) SELECT conv_id, COALESCE(n = source_count, FALSE) AS equal, CASE WHEN n = source_count THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM m LEFT JOIN f USING (conv_id)""")
+def gnd08_11_replay(t):
+    """A frozen manifest against one rebuilt from the rows as they are now, failed tools with them: equal digests score 1."""
+    kind = F.when(F.col("role") == "user", "document").when(F.col("role") == "assistant", "memory").otherwise("tool")
+    now_rows = t.conversations.select("conv_id", "turn", kind.alias("kind"), F.when(F.col("turn") == 3, "").otherwise(F.col("text")).alias("content"))
+    rebuilt = grounding.manifest(grounding.evidence_pack(now_rows, "conv_id", "turn", "kind", "content"), "conv_id").select("conv_id", F.col("canonical_sha256").alias("again"))
+    same = F.coalesce(F.col("canonical_sha256") == F.col("again"), F.lit(False))
+    return grounding.manifest(_pack(t), "conv_id").join(rebuilt, "conv_id", "left").select("conv_id", same.alias("equal"), F.when(same, 1.0).otherwise(0.0).alias("score"))
+
+
+SIG = "list_distinct([w FOR w IN string_split_regex(lower({0}), '[^\\pL\\pN]+') IF length(w) > 2 AND w NOT IN (" + ", ".join(repr(w) for w in grounding.STOP) + ")])"
+
+
+@query(f"""WITH c AS (SELECT a.conv_id, a.turn, left(a.text, 200) AS claim, b.text AS content FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), k AS (SELECT *, {SIG.format('claim')} AS x, {SIG.format('content')} AS y FROM c)
+  SELECT conv_id, turn, ROUND(CASE WHEN len(x) = 0 THEN 1 ELSE len(list_intersect(x, y)) / len(x) END, 4) AS coverage, CASE WHEN trim(claim) = '' THEN 'claim size' WHEN len(x) > 0 AND len(list_intersect(x, y)) / len(x) < 0.25 THEN 'low coverage' ELSE 'passed' END AS verdict FROM k
+  WHERE NOT regexp_matches(claim, '[0-9"“]') AND NOT regexp_matches(lower(claim), 'no|never|without|can|isn|wasn|won')""")
+def gnd03_claim_validation(t):
+    a = t.conversations.select("conv_id", "turn", F.substring("text", 1, 200).alias("claim"))
+    b = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("content"))
+    claims = a.join(b, ["conv_id", "turn"]).where(~F.col("claim").rlike('[0-9"“]') & ~F.lower("claim").rlike("no|never|without|can|isn|wasn|won"))
+    return grounding.validate_claims(claims.withColumn("sources", F.array(F.lit("D1")))).select("conv_id", "turn", "coverage", "verdict")
+
+
+@query()
+def gnd04_fn09_aligned_quote(t):
+    a = t.conversations.select("conv_id", "turn", F.substring("text", 1, 200).alias("claim"))
+    b = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("content"))
+    return grounding.aligned_quote(a.join(b, ["conv_id", "turn"]), "claim", "content").select("conv_id", "turn", "start", "end")

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.functions import text as X
-from basalt.operators import graph, paging, retrieval, temporal
+from basalt.operators import fulltext, graph, paging, retrieval, temporal
 from basalt.plans.registry import query
-from basalt.session import small
 
 VERSIONS = """versions AS (SELECT doc_id AS version_id, source || '/' || lang AS document, CAST(row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS INTEGER) AS version_number,
   TIMESTAMP '2024-01-01' + to_hours(doc_id) AS recorded_at, CASE WHEN doc_id % 3 <> 0 THEN TIMESTAMP '2020-01-01' + to_days(CAST(doc_id * 2 AS INTEGER)) END AS source_time FROM documents)"""
@@ -28,10 +27,11 @@ def flt01_scope(t):
     return t.documents.where("source = 'src1' AND lang = 'en' AND n_chars > 100").select("doc_id", "n_chars")
 
 
-@query("SELECT doc_id FROM documents WHERE FALSE")
+@query("SELECT doc_id, 'src1' AS seen_by FROM documents WHERE source = 'src1'")
 def flt02_session_scope(t):
-    identity = None
-    return t.documents.where(F.col("source") == F.lit(identity) if identity else F.lit(False)).select("doc_id")
+    """What two sessions see: one of the identity src1, one without an identity, which sees nothing."""
+    seen = [temporal.scoped(t.documents, "source", who).select("doc_id", F.lit(who).cast("string").alias("seen_by")) for who in ("src1", None)]
+    return paging.union_all(*seen)
 
 
 @query("SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' AND c_mktsegment = 'BUILDING' AND c_acctbal > 0")
@@ -192,7 +192,7 @@ def join16_update_from(t):
 
 @query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)")
 def join17_containment(t):
-    return t.documents.join(F.broadcast(small(t.benchmark.select("item_id", F.col("text").alias("quote")))), F.contains(F.col("text"), F.col("quote"))).select("doc_id", "item_id")
+    return fulltext.contained(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("quote"))).select("doc_id", "item_id")
 
 
 @query("""SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber
@@ -236,9 +236,9 @@ def fn10_span(t):
     return t.documents.select("doc_id", F.substring("text", 11, 40).alias("span"), F.substring("text", 1, 10).alias("prefix"), F.substring("text", 51, 32).alias("suffix"))
 
 
-@query("SELECT doc_id, sha256(text) AS hash, CAST(strlen(text) AS INTEGER) AS bytes FROM documents WHERE strlen(text) <= 20000")
+@query("SELECT doc_id, sha256(text) AS hash, CAST(strlen(text) AS INTEGER) AS bytes FROM documents")
 def fn22_src07_hash(t):
-    return t.documents.where(F.octet_length("text") <= 20000).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), F.octet_length("text").alias("bytes"))
+    return t.documents.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), F.octet_length("text").alias("bytes"))
 
 
 @query("SELECT o_orderkey, CASE WHEN length(o_orderpriority) <= 6 THEN o_orderpriority ELSE regexp_replace(LEFT(o_orderpriority, 6), '\\s\\S*$', '') || '…' END AS summary FROM orders".replace("\\\\", "\\"))
@@ -293,7 +293,7 @@ def ret09_memory(t):
 
 
 RANKINGS = """rankings AS (SELECT user_id % 5 AS q, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS ranking_no, CAST(event_id % 40 AS VARCHAR) AS item,
-  CAST(row_number() OVER (PARTITION BY user_id % 5, CASE event_type WHEN 'click' THEN 0 ELSE 1 END ORDER BY event_id) AS INTEGER) AS rank FROM events WHERE event_type IN ('click', 'purchase') AND event_id < 2000)"""
+  CAST(row_number() OVER (PARTITION BY user_id % 5, CASE event_type WHEN 'click' THEN 0 ELSE 1 END ORDER BY event_id) AS INTEGER) AS rank FROM events WHERE event_type IN ('click', 'purchase'))"""
 
 
 @query(f"""WITH {RANKINGS}, s AS (SELECT q, ranking_no, item, MIN(rank) AS rank FROM rankings GROUP BY 1, 2, 3),
@@ -301,7 +301,7 @@ RANKINGS = """rankings AS (SELECT user_id % 5 AS q, CASE event_type WHEN 'click'
   SELECT q, item, ROUND(score, 9) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY ROUND(score, 12) DESC, first, item) AS INTEGER) AS position FROM f""")
 def ret07_win08_rank_fusion(t):
     no = F.when(F.col("event_type") == "click", 0).otherwise(1)
-    rows = t.events.where(F.col("event_type").isin("click", "purchase") & (F.col("event_id") < 2000)).select((F.col("user_id") % 5).alias("q"), no.alias("ranking_no"), (F.col("event_id") % 40).cast("string").alias("item"), "event_id")
+    rows = t.events.where(F.col("event_type").isin("click", "purchase")).select((F.col("user_id") % 5).alias("q"), no.alias("ranking_no"), (F.col("event_id") % 40).cast("string").alias("item"), "event_id")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("q", "ranking_no").orderBy("event_id")))
     return retrieval.reciprocal_rank_fusion(ranked, "q", "item")
 

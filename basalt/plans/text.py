@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basalt.functions import chunking, vectors
 from basalt.functions import text as X
-from basalt.operators import paging, retrieval
+from basalt.operators import fulltext, paging, retrieval
 from basalt.plans.registry import query
 from basalt.sources import parsers
 from basalt.streaming import outbox
@@ -34,9 +34,9 @@ def ing07_span_violations(t):
     return chunking.span_violations(chunks, t.documents, "doc_id", "text").select("doc_id", "chunk_index")
 
 
-@query("SELECT doc_id, TRUE AS unit, CAST(1536 AS INTEGER) AS size FROM documents WHERE n_chars <= 2000")
+@query(r"SELECT doc_id, length(regexp_replace(text, '[^\pL\pN]', '', 'g')) > 0 AS unit, CAST(1536 AS INTEGER) AS size FROM documents")
 def ing12_fn20_embedding_norm(t):
-    made = t.documents.where("n_chars <= 2000").select("doc_id", vectors.lexical_embedding(F.col("text")).alias("v"))
+    made = vectors.with_lexical_embedding(t.documents.select("doc_id", "text"), "text", "v")
     return made.select("doc_id", (F.abs(retrieval.norm(F.col("v")) - 1) < 1e-3).alias("unit"), F.size("v").alias("size"))
 
 
@@ -52,10 +52,9 @@ def src02_markdown_sections(t):
     return parsers.parse(marked).select("doc_id", F.explode("parsed.sections").alias("s")).select("doc_id", "s.title", "s.start_char", "s.end_char")
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS folded FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x20-\x7e\n]')")
+@query(r"SELECT doc_id, md5(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\s\x0b\x{85}\p{Z}\x1c-\x1f]+', ' ', 'g'))) AS folded FROM documents")
 def fn04_fold(t):
-    plain = t.documents.where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x20-\x7e\n]"))
-    return plain.select("doc_id", F.md5(vectors.fold(F.col("text")).cast("binary")).alias("folded"))
+    return t.documents.select("doc_id", F.md5(vectors.fold(F.col("text")).cast("binary")).alias("folded"))
 
 
 @query("SELECT event_id, sha256('{\"k\":' || CAST(json_extract_string(props, '$.k') AS VARCHAR) || '}') AS canonical FROM events")
@@ -73,9 +72,9 @@ def snk04_signature(t):
     return t.events.select("event_id", vectors.signature(F.col("props"), F.unix_timestamp(F.col("ts").cast("timestamp")), "test-only").alias("signature"))
 
 
-@query("SELECT event_id, CAST(CASE WHEN user_id % 2 = 0 THEN '{\"k\":' || json_extract_string(props, '$.k') || ',\"api_key\":\"[redacted]\"}' ELSE '{\"k\":' || json_extract_string(props, '$.k') || '}' END AS VARCHAR) AS safe FROM events")
+@query("SELECT event_id, CAST(CASE WHEN user_id % 2 = 0 THEN '{\"k\":' || json_extract_string(props, '$.k') || ',\"api_key\":\"[REDACTED]\",\"total_tokens\":7}' ELSE '{\"k\":' || json_extract_string(props, '$.k') || '}' END AS VARCHAR) AS safe FROM events")
 def flt20_redact(t):
-    body = F.when(F.col("user_id") % 2 == 0, F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "api_key": "x"}'))).otherwise(F.col("props"))
+    body = F.when(F.col("user_id") % 2 == 0, F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "api_key": "x", "total_tokens": 7}'))).otherwise(F.col("props"))
     return t.events.select("event_id", vectors.redact(body).alias("safe"))
 
 
@@ -136,11 +135,13 @@ def fn19_norm(t):
     return t.embeddings.select("vec_id", F.round(retrieval.norm(F.col("embedding")), 5).alias("norm"))
 
 
-@query(r"""SELECT doc_id, name, n FROM (SELECT doc_id, name, COUNT(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY COUNT(*) DESC, name) AS r
-  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]{2,}(?: [A-Z][a-z]{2,}){0,3}\b')) AS name FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x20-\x7e\n]')) WHERE name NOT IN ('The', 'And', 'For', 'This', 'That') GROUP BY 1, 2) WHERE r <= 250""")
+NAME = r"(?:^|[^\p{L}\p{N}_])(\p{Lu}\p{Ll}{2,}(?: \p{Lu}\p{Ll}{2,}){0,3})"
+
+
+@query(rf"""SELECT doc_id, name, n FROM (SELECT doc_id, name, COUNT(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY COUNT(*) DESC, name) AS r
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{NAME}', 1)) AS name FROM documents) WHERE name NOT IN ('The', 'And', 'For', 'This', 'That') GROUP BY 1, 2) WHERE r <= 250""")
 def ret18_entities(t):
-    plain = t.documents.where((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x20-\x7e\n]"))
-    found = plain.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]{2,}(?: [A-Z][a-z]{2,}){0,3}\b"), F.lit(0))).alias("name"))
+    found = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(NAME), F.lit(1))).alias("name"))
     counts = found.where(~F.col("name").isin("The", "And", "For", "This", "That")).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
     return paging.latest(counts, ["doc_id"], [F.desc("n"), F.asc("name")], 250)
 
@@ -197,13 +198,14 @@ def ret11_workspace_search(t):
     return first.join(F.broadcast(hits.groupBy("kind").agg(F.count("*").alias("matches"))), "kind").withColumn("has_more", F.col("matches") > 10)  # two kinds
 
 
+HYBRID = "licensed under the apache license"
+
+
 @query()
 def ret08_hybrid_search(t):
-    vector = t.embeddings.where("vec_id = 0").first()["embedding"]
-    dense = retrieval.dense(t.embeddings, vector, 20).select(F.col("vec_id").alias("doc_id"), "distance")
-    order = Window.orderBy("distance", "doc_id")  # 20 rows
-    semantic = dense.select(F.lit(0).alias("q"), F.lit(0).alias("ranking_no"), F.col("doc_id").cast("string").alias("item"), F.row_number().over(order).alias("rank"))
-    words = t.documents.orderBy(F.desc("n_chars"), "doc_id").limit(20).select("doc_id", "n_chars")
-    ranked = words.select("doc_id", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
-    found = retrieval.keyword(t.documents, ranked, "the and attion", "doc_id", "text", 20).select(F.lit(0).alias("q"), F.lit(1).alias("ranking_no"), F.col("doc_id").cast("string").alias("item"), "rank")
-    return retrieval.reciprocal_rank_fusion(semantic.unionByName(found), "q", "item").where("position <= 20")
+    """Both rankings are of documents: cosine of lexical embeddings, and full text with the literal phrase after it."""
+    asked = vectors.with_lexical_embedding(t.spark.range(1).select(F.lit(HYBRID).alias("text")), "text", "q").select("q")  # one row
+    near = vectors.with_lexical_embedding(t.documents.select("doc_id", "text"), "text", "v").crossJoin(F.broadcast(asked))
+    first = near.select("doc_id", F.round(1 - retrieval.cosine(F.col("v"), F.col("q")), 9).alias("distance")).orderBy("distance", "doc_id").limit(20)
+    semantic = first.select("doc_id", F.row_number().over(Window.orderBy("distance", "doc_id")).alias("rank"))  # 20 rows
+    return fulltext.hybrid(semantic, fulltext.keyword_ranking(t.documents, "doc_id", "text", HYBRID, 20), "doc_id", 20)
