@@ -38,21 +38,28 @@ def reach(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
     return found
 
 
-def clusters(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, cluster) of linked nodes, cluster the smallest; labels spread and jump until none changes. Each round is checkpointed where a folder is set."""
-    edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    label = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("cluster"))
-    for _ in range(rounds):
-        spread = edges.join(label, edges.b == label.node).groupBy("a").agg(F.min("cluster").alias("low"))
-        near = label.join(spread, label.node == spread.a).select("node", F.least("cluster", "low").alias("cluster"))
-        jump = near.select(F.col("node").alias("n2"), F.col("cluster").alias("c2"))
-        new = near.join(jump, near.cluster == jump.n2, "left").select("node", F.coalesce("c2", "cluster").alias("cluster"))
-        if pairs.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            new = new.checkpoint()
-        else:
-            new = new.persist()
-        changed = new.join(label.select(F.col("node"), F.col("cluster").alias("old")), "node").where("cluster != old").limit(1).count()
-        label = new
-        if not changed:
+def clusters(pairs: DataFrame) -> DataFrame:
+    """(node, cluster) of linked nodes, cluster the smallest of those reachable.
+
+    Alternating stars: each round hangs every node's larger neighbours on the smallest node it knows, then its smaller ones. The rounds
+    grow with the logarithm of the longest chain and go on until nothing changes. Each round is checkpointed where a folder is set.
+    """
+
+    def kept(df: DataFrame) -> DataFrame:
+        return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+
+    def lowest(edges: DataFrame) -> DataFrame:
+        return edges.join(edges.groupBy("a").agg(F.min("b").alias("low")), "a")
+
+    edges = kept(pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = lowest(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
+        near = lowest(large)
+        edges = kept(near.select("a", F.col("low").alias("b")).unionByName(near.where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))).distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
             break
-    return label
+        before = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("cluster")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("cluster")).distinct())

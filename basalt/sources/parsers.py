@@ -63,6 +63,11 @@ def pages(data: bytes) -> tuple[str, list]:
     return text, out
 
 
+def pdf(data: bytes) -> tuple[str, list]:
+    """No layout library is here: a PDF's text must be given page by page, as the kind `pages`."""
+    raise Refused("page text needed" if data[:5] == b"%PDF-" else "not a PDF")
+
+
 def docx(data: bytes) -> tuple[str, list]:
     """Paragraphs with blank lines between; heading styles begin sections."""
     if data[:2] != b"PK":
@@ -94,7 +99,7 @@ def docx(data: bytes) -> tuple[str, list]:
     return whole, out
 
 
-PARSERS = {"text": plain, "markdown": markdown, "pdf": pages, "docx": docx}
+PARSERS = {"text": plain, "markdown": markdown, "pdf": pdf, "pages": pages, "docx": docx}
 
 
 def parse(files: DataFrame, content: str = "content", kind: str = "parser") -> DataFrame:

@@ -39,18 +39,24 @@ def rate_limited(events: DataFrame, key: str, most: int, late: str = "10 minutes
     return counts.withColumn("limited", F.col("requests") > most)
 
 
-def publish(stream: DataFrame, path: str, checkpoint: str, key: str, apply: Callable[[DataFrame, int], None] | None = None):
-    """Appends each batch's rows whose key the table lacks, so a batch that runs again adds nothing."""
+def publish(stream: DataFrame, path: str, checkpoint: str, key: str, apply: Callable[[DataFrame, int], None] | None = None, buckets: int = 256):
+    """Appends each batch's rows whose key the table lacks, so a batch that runs again adds nothing.
+
+    The table is cut into buckets of the key's hash, and a batch reads those that its keys fall into, not the table. One
+    query writes to a table at a time: between the look and the append nothing else may add the same keys.
+    """
 
     def batch(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
-        rows = df.dropDuplicates([key])
+        rows = df.dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # buckets at most
         try:
-            rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
+            known = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(*touched)).select(key)
+            rows = rows.join(known, key, "left_anti")
         except Exception as e:  # the table begins with its first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        rows.write.mode("append").parquet(path)
+        rows.write.mode("append").partitionBy("bucket").parquet(path)
         if apply:
             apply(df, n)
 
@@ -58,7 +64,8 @@ def publish(stream: DataFrame, path: str, checkpoint: str, key: str, apply: Call
 
 
 def circuit_breaker(calls: DataFrame, key: str, failures: int = 5, within: float = 60.0, hold: float = 30.0) -> DataFrame:
-    """(key, at, state) after each call (columns key, ts, ok): closed, open after so many failures in `within` seconds, half-open `hold` seconds later."""
+    """(key, at, state) after each call (columns key, ts, ok): closed, or open after so many failures in `within` seconds. The first call
+    `hold` seconds later is a trial: it gives a row half-open, then the state that it leaves."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         failed, opened = state.get if state.exists else ([], 0.0)
@@ -70,6 +77,8 @@ def circuit_breaker(calls: DataFrame, key: str, failures: int = 5, within: float
             if opened and not trying:
                 rows.append((k[0], row.ts, "open"))
                 continue
+            if trying:
+                rows.append((k[0], row.ts, "half-open"))
             if row.ok:
                 failed, opened = [], 0.0
             else:

@@ -36,7 +36,7 @@ def test_first_of_each_key(spark, tmp_path):
 def test_circuit_breaker(spark, tmp_path):
     rows = [(i, at(i), 1, "call", 0.0) for i in range(5)] + [(6, at(10), 1, "call", 1.0), (7, at(40), 1, "call", 1.0)]
     got = run(spark, tmp_path, [rows], lambda s: outbox.circuit_breaker(s.select("user_id", "ts", (F.col("value") > 0).alias("ok")), "user_id"))
-    assert [r.state for r in sorted(got, key=lambda r: r["at"])] == ["closed"] * 4 + ["open", "open", "closed"]
+    assert [r.state for r in sorted(got, key=lambda r: r["at"])] == ["closed"] * 4 + ["open", "open", "half-open", "closed"]
 
 
 def test_publish_is_idempotent(spark, tmp_path):
