@@ -95,6 +95,25 @@ def extractive_summary(c: Column, style: str) -> Column:
     return F.when(text == "", F.lit("This document does not contain extractable text.")).otherwise(shown)
 
 
+#: What stands between sentences, and between paragraphs.
+SENTENCE_GAP, PARAGRAPH_GAP = r"(?<=[.!?])(?U:\s+)", r"\n[ \t]*\n+"
+
+
+def spans_between(c: Column, gap: str) -> Column:
+    """Array of (start, end): the code-point spans between a text's gaps, without white space at their ends, none empty."""
+    pieces = F.zip_with(F.split(c, gap), F.regexp_extract_all(c, F.lit(f"({gap})"), F.lit(1)), lambda p, g: F.struct(p.alias("p"), F.coalesce(F.length(g), F.lit(0)).alias("g")))
+
+    def step(state: Column, x: Column) -> Column:
+        p, at = x["p"], state["at"]
+        n = F.length(p)
+        start = at + n - F.length(F.regexp_replace(p, r"(?U)^\s+", ""))
+        end = at + F.length(F.regexp_replace(p, r"(?U)\s+$", ""))
+        return F.struct((at + n + x["g"]).alias("at"), F.array_append(state["spans"], F.struct(start.alias("start"), end.alias("end"))).alias("spans"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("spans"))
+    return F.filter(F.aggregate(pieces, zero, step, lambda s: s["spans"]), lambda s: s["start"] < s["end"])
+
+
 def summary(c: Column, most: int = 900) -> Column:
     """A beginning of at most `most` signs that ends with a whole word, and a mark where it was cut."""
     text = compact(c)

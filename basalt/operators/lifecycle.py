@@ -47,3 +47,27 @@ def fold_latest(log: DataFrame, key: str, order: list[str], fields: list[str]) -
     """The last state of each key, by a maximum: it combines before the shuffle and needs no sort."""
     last = F.max(F.struct(*order, *fields)).alias("s")
     return log.groupBy(key).agg(last, F.count("*").alias("changes")).select(key, *[F.col(f"s.{f}").alias(f) for f in fields], "changes")
+
+
+def swap_derivations(derivations: DataFrame, finished: DataFrame) -> DataFrame:
+    """derivations (id, document, status) after finished ones (id, ok): a pending one that succeeded becomes current and the document's old one superseded; a failed one leaves the old one serving.
+
+    Of several that succeeded for one document the largest id wins, the others are superseded.
+    """
+    told = derivations.join(finished, "id", "left")
+    won = told.where("status = 'pending' AND ok").groupBy("document").agg(F.max("id").alias("winner"))
+    out = told.join(won, "document", "left")
+    status = (
+        F.when(F.col("id") == F.col("winner"), "current")
+        .when(F.col("winner").isNotNull() & ((F.col("status") == "current") | ((F.col("status") == "pending") & F.col("ok"))), "superseded")
+        .when((F.col("status") == "pending") & ~F.col("ok"), "failed")
+        .otherwise(F.col("status"))
+    )
+    return out.select("id", "document", status.alias("status"))
+
+
+def delete_restore(jobs: DataFrame, actions: DataFrame, order: list[str]) -> DataFrame:
+    """jobs (job, document, state) after each document's last action (delete or restore): open jobs of a deleted document are obsolete; a restored one has its obsolete jobs queued again, no others."""
+    last = actions.groupBy("document").agg(F.max(F.struct(*order, "action")).alias("a")).select("document", F.col("a.action").alias("action"))
+    state = F.when((F.col("action") == "delete") & F.col("state").isin("pending", "processing"), "obsolete").when((F.col("action") == "restore") & (F.col("state") == "obsolete"), "pending").otherwise(F.col("state"))
+    return jobs.join(last, "document", "left").select("job", "document", state.alias("state"))
