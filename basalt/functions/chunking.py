@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,36 +39,27 @@ def tokens(text: str) -> int:
     return max(1, int(len(text.split()) * 1.3))
 
 
-def _pieces(text: str, span: Span, target: int, overlap: int) -> list[Span]:
-    """A sentence, or runs of its words where it is longer than the target."""
-    if tokens(text[span[0] : span[1]]) <= target:
-        return [span]
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text, *span)]
-    step = max(1, int((target - overlap) / 1.3))
-    return [(words[i][0], words[min(i + step, len(words)) - 1][1]) for i in range(0, len(words), step)]
-
-
 def token_chunks(text: str, target: int = 400, overlap: int = 50, start: int = 0, end: int | None = None) -> list[Span]:
-    """Whole sentences up to `target` tokens a chunk; the next begins with the last sentences of up to `overlap` tokens."""
-    units = [p for s in split_spans(text, _SENTENCE, start, end) for p in _pieces(text, s, target, overlap)]
+    """Whole sentences up to `target` tokens a chunk; the next begins with the last sentences of up to `overlap` tokens.
+
+    A sentence over the target is cut into runs of words. Running sums of the units' tokens say how far each chunk goes and where the next begins.
+    """
+    units: list[Span] = []
+    run = max(1, int((target - overlap) / 1.3))
+    for sentence in split_spans(text, _SENTENCE, start, end):
+        if tokens(text[slice(*sentence)]) > target:
+            words = [m.span() for m in _WORD.finditer(text, *sentence)]
+            units += [(words[i][0], words[min(i + run, len(words)) - 1][1]) for i in range(0, len(words), run)]
+        else:
+            units.append(sentence)
+    sums = [0, *accumulate(tokens(text[a:b]) for a, b in units)]
     chunks: list[Span] = []
-    held: list[tuple[Span, int]] = []
-    for span in units:
-        n = tokens(text[span[0] : span[1]])
-        if held and sum(k for _, k in held) + n > target:
-            chunks.append((held[0][0][0], held[-1][0][1]))
-            kept, total = [], 0
-            for unit in reversed(held):
-                if total + unit[1] > overlap:
-                    break
-                kept.insert(0, unit)
-                total += unit[1]
-            while kept and sum(k for _, k in kept) + n > target:
-                kept.pop(0)
-            held = kept
-        held.append((span, n))
-    if held:
-        chunks.append((held[0][0][0], held[-1][0][1]))
+    first = last = 0
+    while last < len(units):
+        last = max(last + 1, bisect_right(sums, sums[first] + target) - 1)
+        chunks.append((units[first][0], units[last - 1][1]))
+        if last < len(units):
+            first = min(last, max(first, bisect_left(sums, sums[last] - overlap), bisect_left(sums, sums[last + 1] - target)))
     return chunks
 
 

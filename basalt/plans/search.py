@@ -267,8 +267,9 @@ def fn17_set06_lexical_score(t):
 COSINE = "ROUND(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
 
 
-def _query_vector(t, vec_id: int = 0) -> list[float]:
-    return t.embeddings.where(F.col("vec_id") == vec_id).first()["embedding"]
+def _query_vector(t, vec_id: int = 0) -> DataFrame:
+    """One row with the vector q."""
+    return t.embeddings.where(F.col("vec_id") == vec_id).select(F.col("embedding").alias("q"))
 
 
 @query(f"SELECT vec_id, similarity FROM (SELECT e.vec_id, {COSINE} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.label < 8 ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id LIMIT 20) WHERE similarity >= 0.1")
@@ -287,8 +288,7 @@ def ret02_top05_generation_delta(t):
 
 @query(f"SELECT e.vec_id, {COSINE} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) >= 0.15 ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id LIMIT 5")
 def ret09_memory(t):
-    query = F.array(*[F.lit(float(x)) for x in _query_vector(t)])
-    rows = t.embeddings.withColumn("s", retrieval.cosine(F.col("embedding"), query)).where("s >= 0.15")
+    rows = t.embeddings.crossJoin(F.broadcast(_query_vector(t))).withColumn("s", retrieval.cosine(F.col("embedding"), F.col("q"))).where("s >= 0.15")
     return rows.orderBy(F.desc("s"), "vec_id").limit(5).select("vec_id", F.round("s", 6).alias("similarity"))
 
 

@@ -37,3 +37,10 @@ def test_same_rows_as_sql(spark, duck, name):
     at = [rel.columns.index(c) for c in names]
     assert sorted(rel.columns) == names
     assert got == sorted(repr([plain(r[i]) for i in at]) for r in rel.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
+def test_queries_without_sql_give_rows(spark, name):
+    """Their operators are held against loops and golden cases in test_functions.py."""
+    df = registry.QUERIES[name](spark, SF)
+    assert df.columns and df.limit(1).count() == 1
