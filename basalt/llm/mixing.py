@@ -6,7 +6,7 @@ import math
 import warnings
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.common import materialize, numbered
@@ -66,10 +66,12 @@ def train(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS)
         every = by_word.groupBy("w").agg(F.max(F.struct("n", "domain")).alias("m"), F.sum("n").alias("all")).where("all >= 5")
         size = F.create_map(*[F.lit(x) for d, n in totals.items() for x in (d, n)])[F.col("m.domain")]
         lift = (F.col("m.n") / size) / ((F.col("all") - F.col("m.n") + 0.5) / (F.lit(all_rows) - size + 1))
-        # Each domain has its own bound, so a large one doesn't crowd out the words of a small one.
-        place = F.row_number().over(Window.partitionBy("m.domain").orderBy(F.col("lift") < LIFT, F.desc("m.n"), "w"))
-        ranked = every.withColumn("lift", lift).where(F.col("lift") >= WEAK_LIFT).withColumn("place", place)
-        found = ranked.where(F.col("place") <= F.when(F.col("lift") >= LIFT, WORDS).otherwise(WEAK)).collect()
+        # Each domain has its own bound, so a large one doesn't crowd out the words of a small one. A sort with a limit for each holds no domain in one task.
+        ranked = materialize(every.select("w", "m", lift.alias("lift")).where(F.col("lift") >= WEAK_LIFT), "mix-words")
+        found = []
+        for d in sorted(totals):
+            best = ranked.where(F.col("m.domain") == d).orderBy(F.col("lift") < LIFT, F.desc("m.n"), "w").limit(WORDS).collect()
+            found += [r for i, r in enumerate(best) if r["lift"] >= LIFT or i < WEAK]
         for r in found:
             marks.setdefault(r["m"]["domain"], []).append(r["w"])
     marked = _marked(stats, marks)
