@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python step holds in numpy form at once.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Rows of an Arrow batch.
 ARROW_ROWS = 1_000
 #: Rows of one key that a task takes before join_hot deals the key out, and keys dealt out at most.
@@ -137,15 +137,6 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus).cast("int")
 
 
-def block_bounds(df: DataFrame, key: str, blocks: int) -> list:
-    """Ascending distinct start keys of about equal row ranges, from the key column alone."""
-    if blocks <= 1:
-        return []
-    steps = [i / blocks for i in range(1, blocks)]
-    got = df.agg(F.percentile_approx(key, F.array(*map(F.lit, steps)), F.lit(max(10_000, 20 * blocks))).alias("b")).first()["b"]
-    return sorted(set(got or []))
-
-
 def block_of(key: Column, bounds: list) -> Column:
     """The number of bounds at or below the key: ranges in key order, nulls first. Two levels keep the search short."""
 

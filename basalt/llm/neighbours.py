@@ -212,6 +212,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     term = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     count = got["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(ids) else np.zeros(0, np.int32)
     vocabulary = Vocabulary(coded.dictionary)
+    del got, words, coded
+    pa.default_memory_pool().release_unused()
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def frequency(batches):
