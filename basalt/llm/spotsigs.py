@@ -6,8 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from basalt.llm.common import block_bounds, block_of, materialize, text_bytes
+from basalt.llm.common import block_of, materialize, text_bytes
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -89,30 +90,50 @@ def similar_sets(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return judged.select("a", "b", pruned_jaccard(F.col("sa"), F.col("sb"), similarity).alias("likeness")).where(F.col("likeness") >= similarity)
 
 
+def _ordered_blocks(docs: DataFrame, blocks: int) -> tuple[Column, DataFrame]:
+    """(block, firsts): the block of each row of docs (doc_id, h, text), ascending with doc_id, and (doc_id, h, block): the first row after each block, by the block that needs it.
+
+    Blocks are ranges of doc_id. Where one id, or null, fills several, its rows go by their hash into that many blocks of their own,
+    before the others of the range; so no block grows with the rows of one id. After the last row comes the first.
+    """
+    keys = docs.select("doc_id")
+    steps = [i / blocks for i in range(1, blocks)]
+    stat = keys.agg(F.count("*").alias("n"), F.count("doc_id").alias("known"), F.percentile_approx("doc_id", F.array(*map(F.lit, steps or [0.5])), F.lit(max(10_000, 20 * blocks))).alias("q")).first()
+    cuts = (stat["q"] or []) if steps else []
+    bounds = sorted(set(cuts))
+    often = {x: cuts.count(x) for x in bounds if cuts.count(x) > 1}
+    nulls = -(-(stat["n"] - stat["known"]) * blocks // max(1, stat["n"]))
+    spread = F.lit(0).cast("int")
+    for x, parts in often.items():
+        spread = F.when(F.col("doc_id") == F.lit(x), F.pmod("h", F.lit(parts)).cast("int")).otherwise(spread)
+    home = block_of(F.col("doc_id"), bounds)
+    if often:
+        # The others of a range that begins with such an id stand behind its parts.
+        parts = F.create_map(*[F.lit(v) for x, n in often.items() for v in (bounds.index(x) + 1, n)])
+        spread = F.when(F.col("doc_id").isin(*often), spread).otherwise(F.coalesce(parts[home.cast("int")], F.lit(0)))
+    place = F.when(F.col("doc_id").isNull(), F.pmod("h", F.lit(max(1, nulls))) - max(1, nulls)).otherwise(home.cast("long") * F.lit(blocks + 1) + spread).cast("long")
+    found = docs.select("doc_id", "h", place.alias("block")).groupBy("block").agg(F.min(F.struct("doc_id", "h")).alias("k")).orderBy("block").collect()  # a row a block
+    rows = [(found[(i + 1) % len(found)]["k"]["doc_id"], found[(i + 1) % len(found)]["k"]["h"], r["block"]) for i, r in enumerate(found)]
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("h long, block long")])
+    return place, docs.sparkSession.createDataFrame(rows, schema)
+
+
 def fingerprint_and_edit(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every document's fingerprint and that of its edited text, whose last quarter is the next document's beginning.
 
-    The next document follows by doc_id (nulls first; rows with one doc_id by text); the first follows the last.
-    Rows go to ranges of doc_id; a range also gets the first document of the next, so one
+    The next document follows by doc_id (nulls first; rows with one doc_id by their text's hash); the first follows the last.
+    Rows go to blocks in that order; a block also gets the first document of the next, so one
     shuffle serves and no window spans the table. Null texts are empty. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     spark = docs.sparkSession
-    blocks = max(-(-text_bytes(docs) // block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = block_bounds(docs, "doc_id", min(blocks, 4096))
-    edge = docs.agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("null")).first()
-    low = F.lit(None) if edge["null"] else F.lit(edge["low"])
-    here = block_of(F.col("doc_id"), bounds)
-    last = len(bounds)
-    own = F.struct(here.alias("block"), F.lit(0).alias("ghost"))
-    visits = [own]
-    if bounds:
-        starts = F.get(F.array(*map(F.lit, bounds)), here - 1)
-        visits.append(F.when((here > 0) & (F.col("doc_id") == starts), F.struct((here - 1).alias("block"), F.lit(1).alias("ghost"))))
-    visits.append(F.when(F.col("doc_id").eqNullSafe(low), F.struct(F.lit(last).alias("block"), F.lit(2).alias("ghost"))))
-    sent = docs.select("doc_id", "text", F.explode(F.array_compact(F.array(*visits))).alias("v")).select("doc_id", "text", "v.block", "v.ghost")
+    blocks = min(4096, max(-(-text_bytes(docs) // block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    place, firsts = _ordered_blocks(docs, blocks)
+    after = docs.join(F.broadcast(firsts.withColumnsRenamed({"doc_id": "id", "h": "k"})), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("k")))  # a row a block
+    ghosts = after.groupBy("block").agg(F.min("text").alias("text"), F.first("doc_id", ignorenulls=False).alias("doc_id"), F.first("h").alias("h")).select("doc_id", "text", "h", "block", F.lit(1).alias("ghost"))
+    sent = docs.withColumn("block", place).withColumn("ghost", F.lit(0)).select("doc_id", "text", "h", "block", "ghost").unionByName(ghosts)
     dealt = with_signatures(sent.repartition("block"), {"text": "sig"})
-    after = Window.partitionBy("block").orderBy(F.col("ghost") == 2, "doc_id", "text")
+    after = Window.partitionBy("block").orderBy("ghost", "doc_id", "h", "text")
     held = dealt.withColumn("next", F.lead("text").over(after)).withColumn("next_sig", F.lead("sig").over(after)).where("ghost = 0")
     n = F.length("text")
     k = F.floor(n / 4).cast("int")

@@ -79,6 +79,38 @@ def test_toxicity(docs, labels, empty):
     assert neighbours.classify(docs, labels.where("false")).count() == len(corpus())
 
 
+def test_nearest_example_against_dense_cosine(docs, labels):
+    """Evidence and votes of the query are those of dense TF-IDF vectors of whole texts."""
+    import re
+
+    index = neighbours.train(docs, labels)
+    first = np.append(index.vocabulary.start, 0)
+    term = {index.vocabulary.data[a : a + n].tobytes().decode(): i for i, (a, n) in enumerate(zip(first, index.vocabulary.size))}
+
+    def vector(text):
+        v = np.zeros(len(term))
+        for w, n in Counter(re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))).items():
+            if w in term:
+                v[term[w]] = (1 + math.log(n)) * index.weight_of[term[w]]
+        return v / (np.linalg.norm(v) or 1)
+
+    text_of = {str(i): t for i, t, *_ in corpus() if i is not None}
+    examples = np.stack([vector(text_of[i]) for i in index.ids])
+    for r in neighbours.classify(docs, labels).collect():
+        if r.doc_id is None:
+            continue
+        cosine = examples @ vector(text_of[str(r.doc_id)])
+        if cosine.max() <= 1e-12:
+            assert r.nearest_cosine is None and abs(r.score - index.without) < 1e-9
+            continue
+        assert abs(r.nearest_cosine - cosine.max()) < 1e-9
+        top = np.lexsort((np.arange(len(cosine)), -np.round(cosine, 12)))[:15]
+        top = top[cosine[top] > 1e-12]
+        if len(cosine) <= 15 or np.partition(cosine, -16)[-16] < cosine[top].min() - 1e-9:
+            weight = 1 / (0.05 + 1 - cosine[top])
+            assert abs(r.score - index.score((weight * index.labels[top]).sum() / weight.sum())) < 1e-6
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(1)
     n, v = 300, 40
@@ -172,11 +204,43 @@ def test_sharding(docs, empty):
     assert sharding.shard_digest(empty).count() == 0
 
 
+def in_order(df):
+    """(doc_id, text) by id, nulls first, then by the text's hash."""
+    rows = df.selectExpr("doc_id", "coalesce(text, '') text", "xxhash64(coalesce(text, '')) h").collect()
+    return [(r.doc_id, r.text) for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))]
+
+
+def test_spotsigs_next_over_hot_ids(spark):
+    """One id and null in a third of the rows each, over many blocks: every row's next is the one behind it."""
+    import hashlib
+
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 7, i]), " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 12)))) for i in range(600)]
+    df = spark.createDataFrame([*rows, *rows[:40], *[(None, "same text here")] * 30], "doc_id long, text string")
+    got = Counter((r.doc_id, r.edited_sha256) for r in spotsigs.fingerprint_and_edit(df, block_bytes=500).collect())
+    held = in_order(df)
+    # Rows of one id are in one order for each block; any neighbour among equal ids is a next one, so ids alone are compared there.
+    assert Counter(i for i, _ in got.elements()) == Counter(i for i, _ in held)
+    single = {i for i, n in Counter(i for i, _ in held).items() if n == 1}
+    for k, (i, t) in enumerate(held):
+        following, of = held[(k + 1) % len(held)][1], held[(k + 1) % len(held)][0]
+        if i in single and of in single:
+            n = len(t) // 4
+            assert got[i, hashlib.sha256((t[: len(t) - n] + following[:n]).encode()).hexdigest()] == 1
+    texts = {}
+    for i, t in held:
+        texts.setdefault(i, []).append(t)
+    for i in (None, 7):
+        follow = {*texts[i], *(t for k, (j, t) in enumerate(held) if j != i and held[k - 1][0] == i)}
+        allowed = {hashlib.sha256((t[: len(t) - len(t) // 4] + f[: len(t) // 4]).encode()).hexdigest() for t in texts[i] for f in follow}
+        assert all(h in allowed for j, h in got if j == i)
+
+
 def test_spotsigs(docs, empty):
     import hashlib
 
     got = spotsigs.fingerprint_and_edit(docs).collect()
-    rows = sorted(((i, t or "") for i, t, *_ in corpus()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    rows = in_order(docs)
     want = Counter()
     for k, (i, t) in enumerate(rows):
         following = rows[(k + 1) % len(rows)][1]
@@ -196,6 +260,44 @@ def test_spotsigs(docs, empty):
     assert spotsigs.fingerprint_and_edit(empty).count() == 0
 
 
+def brute_signatures(text):
+    """(anchor, chain) pairs: each anchor with the next two content words, no anchor words between them counted."""
+    import re
+
+    w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
+    found = set()
+    for i, t in enumerate(w):
+        if t in spotsigs.ANCHORS:
+            chain = [x for x in w[i + 1 :] if x not in spotsigs.ANCHORS][:2]
+            if len(chain) == 2:
+                found.add((t, *chain))
+    return found or set(w)
+
+
+def test_spotsigs_against_brute_force(docs):
+    """The number of signatures, and both likenesses, are those of sets of chains made by a loop."""
+    got = {}
+    for r in spotsigs.fingerprint_and_edit(docs).collect():
+        got[r.doc_id, r.edited_sha256] = r
+    import hashlib
+
+    rows = in_order(docs)
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        n = len(t) // 4
+        edited = t[: len(t) - n] + following[:n]
+        r = got[i, hashlib.sha256(edited.encode()).hexdigest()]
+        own, new, other = map(brute_signatures, (t, edited, following))
+        assert len(r.fingerprint) == 16 * len(own) and len(r.edited_fingerprint) == 16 * len(new)
+
+        def like(a, b):
+            return len(a & b) / len(a | b) if a | b else 1.0
+
+        assert abs(r.near_edited - like(own, new)) < 1e-9
+        if rows.count(rows[k]) == 1:
+            assert abs(r.near_next - like(own, other)) < 1e-9
+
+
 def test_spotsigs_chain(spark):
     df = spark.createDataFrame([("the quick of brown fox",)], "text string")
     size = spotsigs.with_signatures(df, {"text": "sig"}).selectExpr("size(sig) n").first().n
@@ -440,3 +542,37 @@ def test_lattice_scores(docs, empty):
         if r.doc_id is not None:
             assert abs(by.setdefault(r.doc_id, r.score) - r.score) < 1e-6
     assert lattice.score_documents(empty, path).count() == 0
+
+
+def test_document_score_is_the_sum_of_marginals(docs):
+    """Scores from a plain recursion over the fitted pieces, word by word."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    some = docs.where("doc_id < 60 OR doc_id > 360")
+    pieces = lattice.vocabulary(path)
+    train = sum(zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5 != 1 for r in some.select("doc_id").collect())
+    logp, end = lattice.fit(lattice.word_counts(some), pieces, train)
+    known = {p: logp[i] for i, p in enumerate(pieces)}
+    held = {}
+
+    def marginal(word):
+        if word not in held:
+            data = b" " + word
+            alpha = [0.0] + [0.0] * len(data)
+            alpha[0] = 1.0
+            for j in range(1, len(data) + 1):
+                alpha[j] = sum(alpha[i] * math.exp(known[data[i:j]]) for i in range(j) if data[i:j] in known)
+            held[word] = math.log10(alpha[-1])
+        return held[word]
+
+    for r in lattice.score_documents(some, path, head_share=0.01).join(some.select("doc_id", "text").distinct(), "doc_id").collect():
+        assert abs(r.score - (sum(map(marginal, words(r.text))) + end / math.log(10))) < 1e-6 * max(1, abs(r.score))
+
+
+def test_sharding_draws_evenly(spark):
+    """Places within shards say nothing of the order of ids, and a second run gives the same ones."""
+    df = spark.range(4000).selectExpr("id doc_id", "concat('t', id) text").repartition(4)
+    one, two = (sorted((r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard_digest(df).collect()) for _ in range(2))
+    assert one == two
+    for s in range(16):
+        ids, slots = zip(*[(i, k) for i, t, k in one if t == s])
+        assert 180 < len(ids) < 320 and abs(np.corrcoef(ids, slots)[0, 1]) < 0.25
