@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basalt.llm.common import crc_mod, materialize, ship, slices
-from basalt.llm.words import Spans, Words, flat, runs, same_bytes
+from basalt.llm.words import Spans, Words, flat, mix, runs, same_bytes
 
 #: Passes of expectation maximization, and the smoothing count of a piece.
 ROUNDS, SMOOTH = 3, 0.01
@@ -33,6 +33,28 @@ def vocabulary(model_file: str) -> list[bytes]:
     return single + sorted({p for p in own if len(p) > 1 and b" " not in p[1:] and p == p.lower()})
 
 
+#: The low bytes of a window that a span of 0 to 8 bytes has.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+class Windows:
+    """The eight bytes from each place of data, and keys of spans of one length: equal bytes, equal key."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.at = np.ndarray((len(data) + 1,), "<u8", self.data, strides=(1,)).astype(np.uint64)
+
+    def keys(self, start: np.ndarray, length: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            seed = np.uint64(length * 0x9E3779B97F4A7C15 % (1 << 64))
+            if length <= 8:
+                return mix((self.at[start] & _MASKS[length]) + seed)
+            key = mix(self.at[start] + seed)
+            for offset in [*range(8, length - 8, 8), length - 8]:
+                key = mix(key ^ self.at[start + offset])
+            return key
+
+
 class Lattice:
     """Pieces with natural log probabilities; words are bytes with a blank before them."""
 
@@ -41,11 +63,16 @@ class Lattice:
         self.longest = max(map(len, pieces))
         data = np.frombuffer(b"".join(pieces), np.uint8)
         end = np.cumsum([len(p) for p in pieces])
-        keys = Spans(data).spans(end - np.array([len(p) for p in pieces]), end)
         self.none = len(pieces)
         self.size = np.array([len(p) for p in pieces])
         self.bytes = np.zeros((len(pieces), self.longest), np.uint8)
         self.bytes[np.repeat(np.arange(len(pieces)), self.size), runs(np.zeros(len(pieces), np.int64), self.size)] = data
+        windows, keys = Windows(data), np.zeros(len(pieces), np.uint64)
+        for n in np.unique(self.size).tolist():
+            some = np.flatnonzero(self.size == n)
+            keys[some] = windows.keys(end[some] - n, n)
+        #: The first eight bytes of each piece, zeros behind a shorter one.
+        self.head = windows.at[end - self.size] & _MASKS[np.minimum(self.size, 8)]
         # Two direct tables on other bits of the hash; the few pieces that meet in both are searched.
         self.keys = np.append(keys, np.uint64(0))
         self.first, self.second = np.full(1 << 18, self.none, np.int32), np.full(1 << 18, self.none, np.int32)
@@ -59,7 +86,8 @@ class Lattice:
     def find(self, keys: np.ndarray) -> np.ndarray:
         got = self.first[(keys >> np.uint64(46)).astype(np.int64)]
         out = np.where(self.keys[got] == keys, got, self.none)
-        missing = np.flatnonzero(out == self.none)
+        # A piece that isn't in the first table met another there.
+        missing = np.flatnonzero((got != self.none) & (out == self.none))
         if len(missing):
             k = keys[missing]
             got = self.second[(k & np.uint64((1 << 18) - 1)).astype(np.int64)]
@@ -70,12 +98,14 @@ class Lattice:
             out[missing] = found
         return out
 
-    def pieces_at(self, data: np.ndarray, spans: Spans, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(which, piece): the starts at which a piece of that length stands. A hash finds it, its bytes decide."""
-        piece = self.find(spans.spans(start, start + length))
+    def pieces_at(self, windows: Windows, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(which, piece): the starts at which a piece of that length stands. A key finds it, its bytes decide."""
+        piece = self.find(windows.keys(start, length))
         some = np.flatnonzero(piece != self.none)
         piece = piece[some]
-        same = (self.size[piece] == length) & (self.bytes[piece, :length] == data[start[some][:, None] + np.arange(length)]).all(1)
+        same = (self.size[piece] == length) & (self.head[piece] == (windows.at[start[some]] & _MASKS[min(length, 8)]))
+        if length > 8:
+            same &= (self.bytes[piece, :length] == windows.data[start[some][:, None] + np.arange(length)]).all(1)
         return some[same], piece[same]
 
     def run(self, words: list[bytes], weights: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
@@ -85,7 +115,7 @@ class Lattice:
         for k in np.flatnonzero(size > LONG).tolist():
             out[k] = self._long(words[k], None if weights is None else weights[k], expected)
         data = np.frombuffer(b"".join(b" " + w for w in words if len(w) < LONG), np.uint8)
-        spans = Spans(data)
+        windows = Windows(data)
         held = np.where(size > LONG, 0, size)
         begin = np.cumsum(held) - held
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -97,7 +127,7 @@ class Lattice:
                 used: list[tuple[int, int, np.ndarray, np.ndarray]] = []
                 for j in range(1, n + 1):
                     for i in range(max(0, j - self.longest), j):
-                        some, p = self.pieces_at(data, spans, start + i, j - i)
+                        some, p = self.pieces_at(windows, start + i, j - i)
                         if not len(some):
                             continue
                         alpha[j, some] = np.logaddexp(alpha[j, some], alpha[i, some] + self.logp[p])
@@ -124,11 +154,11 @@ class Lattice:
             """(begin, end, piece) of the pieces that end in (low, low + STRETCH], by end."""
             high, first = min(n, low + STRETCH), max(0, low - self.longest)
             part = data[first:high]
-            spans = Spans(part)
+            windows = Windows(part)
             found = []
             for length in range(1, min(self.longest, len(part)) + 1):
                 start = np.arange(max(0, low + 1 - length - first), len(part) - length + 1)
-                some, p = self.pieces_at(part, spans, start, length)
+                some, p = self.pieces_at(windows, start, length)
                 found.append((start[some] + first, start[some] + first + length, p))
             begin, end, p = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.argsort(end, kind="stable")
