@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,25 @@ def clusters(pairs: DataFrame) -> DataFrame:
             break
         before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("cluster")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("cluster")).distinct())
+
+
+def projection(edges: DataFrame, roots: DataFrame, depth: int, most_nodes: int = 250, most_links: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links) of the part of a bipartite graph (a, b, frequency) that roots (node) reach in 2 * depth edges.
+
+    nodes (node, depth, links, place): nearest first, then those with most links, then by name, at most most_nodes. links (a, b, frequency):
+    between those nodes, most frequent first, at most most_links. Both say in `truncated` whether something was left out.
+    """
+    if not 1 <= depth <= 4:
+        raise ValueError("depth from 1 to 4")
+    found = reach(edges.select("a", "b"), roots, 2 * depth)
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
+    ranked = found.join(ends, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    first = ranked.orderBy("depth", F.desc("links"), "node").limit(most_nodes + 1)
+    place = F.row_number().over(Window.orderBy("depth", F.desc("links"), "node"))  # most_nodes + 1 rows
+    placed = first.withColumn("place", place).withColumn("truncated", F.count("*").over(Window.partitionBy()) > most_nodes).where(F.col("place") <= most_nodes)
+    names = placed.select("node")  # most_nodes rows
+    inside = edges.join(F.broadcast(names.withColumnRenamed("node", "a")), "a", "left_semi").join(F.broadcast(names.withColumnRenamed("node", "b")), "b", "left_semi")
+    held = inside.select("a", "b", "frequency").orderBy(F.desc("frequency"), "a", "b").limit(most_links + 1)
+    order = Window.orderBy(F.desc("frequency"), "a", "b")  # most_links + 1 rows
+    links = held.withColumn("place", F.row_number().over(order)).withColumn("truncated", F.count("*").over(Window.partitionBy()) > most_links).where(F.col("place") <= most_links).drop("place")
+    return placed, links

@@ -133,3 +133,27 @@ def set01_five_branch_feed(t):
         branch("customer", F.col("c_custkey"), after("2024-01-10", F.make_dt_interval(zero, zero, F.col("c_custkey").cast("int")))),
     )
     return feed.orderBy(F.desc("moment"), "kind", "id").limit(12)
+
+
+WEB = """edges AS (SELECT 'd' || l_orderkey AS a, 'e' || l_partkey AS b, COUNT(*) AS frequency FROM lineitem GROUP BY 1, 2), e AS (SELECT a AS x, b AS y FROM edges UNION ALL SELECT b, a FROM edges),
+  r0 AS (SELECT 'e1' AS node, 0 AS depth UNION ALL SELECT 'e2', 0), r1 AS (SELECT * FROM r0 UNION ALL SELECT y, 1 FROM e JOIN r0 ON x = node), r2 AS (SELECT * FROM r1 UNION ALL SELECT y, 2 FROM e JOIN r1 ON x = node WHERE depth = 1),
+  n0 AS (SELECT node, CAST(MIN(depth) AS INTEGER) AS depth FROM r2 GROUP BY 1), n1 AS (SELECT n0.*, (SELECT COUNT(*) FROM e WHERE x = node) AS links FROM n0),
+  nodes AS (SELECT *, CAST(row_number() OVER (ORDER BY depth, links DESC, node) AS INTEGER) AS place, COUNT(*) OVER () > 40 AS truncated FROM n1)"""
+
+
+def _web(t):
+    k = F.col
+    web = t.lineitem.groupBy(F.concat(F.lit("d"), k("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("e"), k("l_partkey").cast("string")).alias("b")).agg(F.count("*").alias("frequency"))
+    roots = t.part.where("p_partkey IN (1, 2)").select(F.concat(F.lit("e"), k("p_partkey").cast("string")).alias("node"))
+    return graph.projection(web, roots, 1, 40, 30)
+
+
+@query(f"WITH {WEB} SELECT * FROM nodes WHERE place <= 40")
+def ret17_projected_nodes(t):
+    return _web(t)[0]
+
+
+@query(f"""WITH {WEB}, k AS (SELECT node FROM nodes WHERE place <= 40), l AS (SELECT a, b, frequency, row_number() OVER (ORDER BY frequency DESC, a, b) AS r, COUNT(*) OVER () > 30 AS truncated FROM edges WHERE a IN (SELECT node FROM k) AND b IN (SELECT node FROM k))
+  SELECT a, b, frequency, truncated FROM l WHERE r <= 30""")
+def ret17_projected_links(t):
+    return _web(t)[1]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from basalt.functions import chunking, text, vectors
 from basalt.operators import fulltext, graph, grounding, records, retrieval, temporal
-from basalt.sources import parsers
+from basalt.sources import datasets, parsers
 
 TEXTS = st.text(alphabet="ab é.!?\n\t ", max_size=400)
 
@@ -240,3 +240,33 @@ def test_bounded_functions(spark):
     with pytest.raises(Exception, match="years"):
         many.select(text.filter_years(F.col("t"))).collect()
     assert [r.s for r in df.select(text.extractive_summary(F.lit("One. " + "y" * 700 + "."), "bullet_points").alias("s")).collect()][0] == "• One.\n• " + "y" * 500
+
+
+def test_tables_written_once(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, "x"), (2, None)], "i int, s string"), spark.createDataFrame([(1, "y")], "i int, s string")
+    path = str(tmp_path / "t")
+    assert datasets.create_once(a, path).count() == 2
+    assert datasets.create_once(a.orderBy("i"), path).count() == 2
+    with pytest.raises(ValueError):
+        datasets.create_once(b, path)
+    chunks = str(tmp_path / "c")
+    datasets.append_chunks(a, chunks, "p1")
+    datasets.append_chunks(b, chunks, "p1")
+    with pytest.raises(ValueError):
+        datasets.append_chunks(b, chunks, "p2")
+    assert spark.read.parquet(chunks).count() == 3
+
+
+def test_manifest(spark, tmp_path):
+    import json
+
+    (tmp_path / "a.txt").write_text("The river is long.")
+    (tmp_path / "b.txt").write_text("changed")
+    sha = hashlib.sha256(b"The river is long.").hexdigest()
+    docs = [{"id": "a", "path": "a.txt", "sha256": sha}, {"id": "b", "path": "b.txt", "sha256": sha}, {"id": "c", "path": "../c.txt", "sha256": sha}, {"id": "d", "path": "d.txt", "sha256": sha}]
+    good, bad, none = ({"document": "a", "quote": "river", "start": 4}, {"document": "a", "quote": "river", "start": 5}, {"document": "zz", "quote": "x", "start": 0})
+    queries = [{"id": "q1", "text": "how long", "evidence": [good]}, {"id": "q2", "text": "?", "evidence": [bad]}, {"id": "q3", "text": "?", "evidence": [none]}]
+    (tmp_path / "manifest.json").write_text(json.dumps({"version": 1, "documents": docs, "queries": queries}))
+    got = datasets.load_manifest(spark, str(tmp_path))
+    assert {(r.item, r.violation) for r in got["violations"].collect()} == {("b", "sha256"), ("c", "path"), ("d", "missing"), ("q2", "quote"), ("q3", "unknown document")}
+    assert got["documents"].count() == 4 and got["queries"].count() == 3 and got["evidence"].count() == 3
