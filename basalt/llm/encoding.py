@@ -17,7 +17,7 @@ import pyarrow as pa
 from basalt.llm.words import Spans, flat, lower, per_row, runs, same_bytes
 
 #: Pieces that a Python worker remembers, beyond which it starts anew, and pieces compared at once.
-REMEMBERED, PIECES = 2_000_000, 100_000
+REMEMBERED, PIECES = 300_000, 100_000
 _BYTES = np.arange(256)
 _SPACE, _LINE, _OTHER_SPACE = _BYTES == 32, _BYTES == 10, np.isin(_BYTES, [9, 11, 12, 13, 28, 29, 30, 31])
 _ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])

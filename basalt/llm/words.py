@@ -18,16 +18,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """The first n powers, a power of two, of each base and of its inverse."""
     out = []
     for prime, base in zip(_PRIMES, _BASES, strict=True):
         pair = []
         for b in (base, pow(base, -1, prime)):
-            table, step = np.ones(1, np.uint64), b
+            table, step = np.ones(1, np.uint32), b
             while len(table) < n:
-                table = np.concatenate([table, table * np.uint64(step) % np.uint64(prime)])
+                table = np.concatenate([table, (table * np.uint64(step) % np.uint64(prime)).astype(np.uint32)])
                 step = step * step % prime
             pair.append(table)
         out.append((pair[0], pair[1]))
@@ -70,7 +70,7 @@ class Spans:
     """Hashes of any byte spans of data: equal bytes, equal hash. Unequal bytes rarely meet, and callers that must be exact compare them."""
 
     def __init__(self, data: np.ndarray):
-        self._tables = _powers(1 << max(16, int(len(data) + 1).bit_length()))
+        self._tables = _powers(1 << max(20, int(len(data) + 1).bit_length()))
         values = data.astype(np.uint64) + np.uint64(1)
         self._sums = []
         with np.errstate(over="ignore"):
