@@ -17,7 +17,7 @@ import pyarrow as pa
 from basalt.llm.words import Spans, flat, lower, per_row, runs, same_bytes
 
 #: Pieces that a Python worker remembers, beyond which it starts anew, and pieces compared at once.
-REMEMBERED, PIECES = 300_000, 100_000
+REMEMBERED, PIECES = 700_000, 100_000
 _BYTES = np.arange(256)
 _SPACE, _LINE, _OTHER_SPACE = _BYTES == 32, _BYTES == 10, np.isin(_BYTES, [9, 11, 12, 13, 28, 29, 30, 31])
 _ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
@@ -48,7 +48,8 @@ class Encoder:
     def _forget(self) -> None:
         #: By hash: the piece's number. By number: where its ids and its bytes are.
         self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.at, self.size, self.from_, self.length = (np.zeros(0, np.int64) for _ in range(4))
+        self.at, self.from_ = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.size, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.bytes, self.held = np.zeros(1 << 18, np.uint8), 0
 
@@ -80,7 +81,7 @@ class Encoder:
         where = np.searchsorted(self.keys, keys)
         self.keys, self.number = np.insert(self.keys, where, keys), np.insert(self.number, where, len(self.at) + np.arange(len(keys)))
         self.at, self.from_ = np.append(self.at, self.used + np.cumsum(size) - size), np.append(self.from_, self.held + np.cumsum(length) - length)
-        self.size, self.length = np.append(self.size, size), np.append(self.length, length)
+        self.size, self.length = np.append(self.size, size.astype(np.int32)), np.append(self.length, length.astype(np.int32))
         self.used, self.held = self.used + int(size.sum()), self.held + int(length.sum())
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
@@ -126,7 +127,7 @@ class Encoder:
             part = np.flatnonzero(alike[i : i + PIECES]) + i
             alike[part] = same_bytes(data, start[part], self.bytes, self.from_[slot[part]], length[part])
         plain[np.repeat(np.arange(len(counts)), counts)[~alike]] = False
-        size = self.size[slot]
+        size = self.size[slot].astype(np.int64)
         stop = np.cumsum(size)
         ids = self.ids[runs(self.at[slot], size)]
         bounds = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(counts)])]
