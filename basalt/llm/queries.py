@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import factorization, lattice, mixing, neighbours, packing, sharding, simhash, spotsigs, token_files, topk
+from basalt.llm import clustering, factorization, lattice, mixing, neighbours, packing, sharding, simhash, spotsigs, term_scan, token_files, topk
 
 #: Shares of all tokens that op6 aims at.
 MIX_TARGETS = {"high": 0.90, "low": 0.08, "toxic": 0.02}
@@ -58,6 +58,14 @@ def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", *[mixed.posterior[k].alias(f"p_{k}") for k in sorted(MIX_TARGETS)], "rate", "copies")
 
 
+def op11_term_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_scan.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(clustering.kept(_table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,9 +83,13 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_subword_lattice": op10_subword_lattice,
+    "op11_term_scan": op11_term_scan,
+    "op12_centroid_clustering": op12_centroid_clustering,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
+    "op11_term_scan": term_scan.ORACLE_SQL,
+    "op12_centroid_clustering": clustering.oracle_sql(),
     "op9_exact_top_k": """
         WITH v AS (
             SELECT row_number() OVER () AS r, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
