@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import clustering, factorization, lattice, mixing, neighbours, packing, sharding, simhash, spotsigs, term_scan, token_files, topk
+from basalt.llm import clustering, factorization, lattice, mixing, neighbours, packing, sharding, simhash, site_style, spotsigs, term_scan, token_files, topk
 
 #: Shares of all tokens that op6 aims at.
 MIX_TARGETS = {"high": 0.90, "low": 0.08, "toxic": 0.02}
@@ -66,6 +66,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(clustering.kept(_table(spark, sf_dir, "embeddings")))
 
 
+def op13_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract(_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op10_subword_lattice": op10_subword_lattice,
     "op11_term_scan": op11_term_scan,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_site_style_tree": op13_site_style_tree,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
