@@ -15,10 +15,10 @@ from basalt.llm.common import materialize, numbered
 SAMPLE_ROWS, WORDS, WEAK = 8_000, 200, 20
 #: Times that a word is likelier in a domain than in the others to mark it, and to mark it less.
 LIFT, WEAK_LIFT = 20, 4
-#: Damping of the rates, and the share of error to stop at.
-DAMPING, CLOSE = 1e-3, 5e-3
-#: After so many steps the rates are written and the next steps start from them; if the error shrank by less than this share meanwhile, it shrinks no further.
-RESTART, PROGRESS = 8, 0.02
+#: Weight of the rates' closeness to 1 against the totals' errors: a total is off by about this share of the rates that it takes.
+DAMPING = 1e-8
+#: Share of error to stop at, steps at most, and step lengths that one pass tries.
+CLOSE, STEPS, LENGTHS = 1e-3, 40, (1.0, 0.5, 0.2, 0.05, 0.01)
 SEED = 11
 _BINS = 8
 
@@ -109,60 +109,62 @@ def posteriors(docs: DataFrame, model: dict) -> DataFrame:
     return made.drop("_own", "_logs", "_e", *[f"_f{i}" for i in range(model["features"])])
 
 
-def _rate(shares: list[Column], steps: list[list[float]], rate: float, start: Column | None = None) -> Column:
-    """A document's rate after the given steps, each a gradient for every domain, from a rate of 1, never below 0."""
-    start = F.lit(1.0) if start is None else start
-    if not steps:
-        return start
-
-    def step(r: Column, g: Column) -> Column:
-        slope = sum((p * F.get(g, F.lit(i)) for i, p in enumerate(shares)), F.lit(0.0))
-        return F.greatest(F.lit(0.0), r - F.lit(rate) * (slope + F.lit(DAMPING) * (r - 1)))
-
-    return F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in steps]), start, step)
+def _rate(shares: list[Column], pull: list[float]) -> Column:
+    """A document's rate: 1 and what the domains pull it by, projected to 0 and more."""
+    return F.greatest(F.lit(0.0), sum((F.lit(float(y)) * p for y, p in zip(pull, shares, strict=True)), F.lit(1.0)))
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float]) -> tuple[Column, dict]:
-    """members: n_tokens and posterior. Rates r >= 0 that minimize e' G^-1 e and a damping, e the totals' errors and G = sum_i n_i p_i p_i'.
+    """members: n_tokens and posterior. Rates r >= 0 by least squares: the totals' errors from their targets, and by DAMPING the rates' distance from 1.
 
-    Projected gradient in the token metric, where this least-squares objective has curvature 1 at most: domains that
-    overlap take no more steps than others. A rate follows from a document's own posteriors and the steps so far,
-    so each step is one aggregation to as many numbers as there are domains.
+    Where those two balance, r is max(0, 1 + p'y) for one number y of each domain: the rates that a projected gradient step from 1 along
+    y gives. So y is what has to be found, by projected gradient steps in the metric of the documents that the projection leaves above 0
+    (G = sum n p p' over them). A step is one aggregation to the totals, G and the objective at each of LENGTHS, of which the best is
+    taken; rates follow from a document's own posteriors and y, so no state is kept for documents.
     Domains without mass are left out and the other targets made to sum to one. It steps until every total is within CLOSE of its
-    target, or the error no longer shrinks (a target beyond what rates of 0 and more can reach). Returns the rate's
-    expression and, for each domain, the target and the total reached.
+    target, or nothing gets better: then the target is beyond what rates of 0 and more can reach, and these come as near as least
+    squares do. Returns the rate's expression and, for each domain, the target and the total reached.
     """
     names = sorted(targets)
     mass = members.agg(*[F.sum(F.col("n_tokens") * F.coalesce(F.col("posterior")[k], F.lit(0.0))).alias(f"m{i}") for i, k in enumerate(names)]).first()
     held = [(k, mass[i]) for i, k in enumerate(names) if (mass[i] or 0) > 0 and targets[k] > 0]
     if not held:
         return F.lit(1.0), {}
-    whole = sum(m for _, m in held)
-    share = sum(targets[k] for k, _ in held)
-    goal = [targets[k] / share * whole for k, _ in held]
+    whole, share, count = sum(m for _, m in held), sum(targets[k] for k, _ in held), len(held)
+    goal = np.array([targets[k] / share * whole for k, _ in held])
     shares = [F.coalesce(F.col("posterior")[k], F.lit(0.0)) for k, _ in held]
-    speed = 1 / (1 + DAMPING)
-    columns = [F.col(f"p{i}") for i in range(len(held))]
-    state = materialize(members.select("n_tokens", *[p.alias(f"p{i}") for i, p in enumerate(shares)], F.lit(1.0).alias("r")), "rates")
-    sums = [F.sum(F.col("n_tokens") * columns[i] * columns[j]) for i in range(len(held)) for j in range(len(held))]
-    gram = np.array(state.agg(*sums).first(), np.float64).reshape(len(held), -1)
-    weights = np.linalg.pinv(gram + np.diag(np.diag(gram)) * 1e-6)
-    path: list[list[float]] = []
-    since: list[list[float]] = []
-    now = [m for _, m in held]
-    last = math.inf
-    while True:
-        error = max(abs(a - b) / b for a, b in zip(now, goal, strict=True))
-        if error < CLOSE or len(path) and not since and error > last * (1 - PROGRESS):
+    state = materialize(members.select(F.col("n_tokens").cast("double").alias("n"), *[p.alias(f"p{i}") for i, p in enumerate(shares)]), "rates")
+    columns = [F.col(f"p{i}") for i in range(count)]
+
+    def measure(pulls: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(objective, totals, G) of each pull, in one pass."""
+        rated = state.select("n", *columns, *[_rate(columns, y.tolist()).alias(f"r{j}") for j, y in enumerate(pulls)])
+        sums = []
+        for j in range(len(pulls)):
+            tokens = F.col("n") * F.col(f"r{j}")
+            left = F.when(F.col(f"r{j}") > 0, F.col("n")).otherwise(0.0)
+            sums += [F.sum(tokens * F.col(f"r{j}")), *[F.sum(tokens * p) for p in columns], *[F.sum(left * columns[a] * columns[b]) for a in range(count) for b in range(a + 1)]]
+        got = np.array(rated.agg(*sums).first(), np.float64).reshape(len(pulls), -1)
+        out = []
+        for y, row in zip(pulls, got, strict=True):
+            gram = np.zeros((count, count))
+            gram[np.tril_indices(count)] = row[1 + count :]
+            out.append((float(y @ goal - row[0] / 2 - DAMPING / 2 * (goal * y) @ y), row[1 : 1 + count], np.maximum(gram, gram.T)))
+        return out
+
+    y = np.zeros(count)
+    (value, now, gram), *_ = measure([y])
+    for _ in range(STEPS):
+        if np.abs(now / goal - 1).max() < CLOSE:
+            break
+        slope = goal - now - DAMPING * goal * y
+        step = np.linalg.lstsq(gram + np.diag(DAMPING * goal), slope, rcond=None)[0]
+        tried = [y + t * step for t in LENGTHS]
+        best, found = max(enumerate(measure(tried)), key=lambda x: x[1][0])
+        if found[0] <= value + 1e-13 * abs(value):
             break
-        last = error if not since else last
-        since.append((weights @ (np.array(now) - np.array(goal))).tolist())
-        path.append(since[-1])
-        tokens = state.select((F.col("n_tokens") * _rate(columns, since, speed, F.col("r"))).alias("t"), *columns)
-        now = list(tokens.agg(*[F.sum(F.col("t") * p) for p in columns]).first())
-        if len(since) == RESTART:
-            state, since = materialize(state.withColumn("r", _rate(columns, since, speed, F.col("r"))), "rates"), []
-    return _rate(shares, path, speed), {k: (g, a) for (k, _), g, a in zip(held, goal, now, strict=True)}
+        y, (value, now, gram) = tried[best], found
+    return _rate(shares, y.tolist()), {k: (g, a) for (k, _), g, a in zip(held, goal.tolist(), now.tolist(), strict=True)}
 
 
 def copies(rate: Column, u: Column) -> Column:
@@ -174,7 +176,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: l
     """docs (all columns, or those in keep) with n_tokens, posterior, rate and copies; and each domain's target and total reached.
 
     Texts are read once: what the classifier says is written with the columns kept, and rates are fitted on it. A seeded
-    hash of doc_id and text rounds the rate. Tokens are words and one end for each document. A total more than 2 % off its
+    hash of doc_id and text rounds the rate. Tokens are words and one end for each document. A total more than 0.5 % off its
     target is warned of. Repeated rows are rated each; null texts are empty; columns of any names do no harm. No rows, no result.
     """
     model = train(docs, labelled)
@@ -185,7 +187,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: l
     members = materialize(posteriors(inner, model).select(*[f"c{i}" for i in places], "n_tokens", "posterior", u.alias("u")), "members")
     rate, reached = fit_rates(members.select("n_tokens", "posterior"), targets)
     for domain, (goal, total) in reached.items():
-        if abs(total - goal) > 0.02 * goal:
+        if abs(total - goal) > 0.005 * goal:
             warnings.warn(f"{domain}: {total:.0f} tokens expected, target {goal:.0f}", stacklevel=2)
     mixed = members.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"), F.col("u"))).drop("u")
     return mixed.toDF(*kept, "n_tokens", "posterior", "rate", "copies"), reached
