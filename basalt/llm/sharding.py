@@ -29,12 +29,16 @@ def shard_documents(docs: DataFrame, path: str, shards: int = 16, bucket_bytes:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"))
-    total = docs.agg(F.sum("size")).first()[0] or 0
-    each = max(1, -(-total // (shards * bucket_bytes)))
+    placed = docs.withColumn("shard", shard_of(F.col("doc_id"), shards, seed))
+    # A shard that a frequent id makes large has as many more buckets.
+    held = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    each = [max(1, -(-held.get(s, 0) // bucket_bytes)) for s in range(shards)]
+    bases = [sum(each[:s]) for s in range(shards)]
+    own = lambda numbers: F.get(F.array(*map(F.lit, numbers)), F.col("shard"))
     scattered = F.xxhash64("doc_id", "text", F.monotonically_increasing_id(), F.lit(seed + 1))
-    keyed = docs.withColumn("shard", shard_of(F.col("doc_id"), shards, seed)).withColumn("h", scattered)
-    keyed = keyed.withColumn("bucket", F.col("shard") * F.lit(each) + F.pmod("h", F.lit(each)).cast("int"))
-    n = max(shards * each, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keyed = placed.withColumn("h", scattered)
+    keyed = keyed.withColumn("bucket", (own(bases) + F.pmod("h", own(each))).cast("int"))
+    n = max(sum(each), int(spark.conf.get("spark.sql.shuffle.partitions")))
     record = F.struct(F.xxhash64("h", F.lit(seed + 2)).alias("h"), "doc_id", "size", "text")
     # In a fixed order before the seeded draw, so a task that runs again writes the same rows.
     ordered = keyed.repartition(min(n, TASKS), "bucket").sortWithinPartitions("bucket", "shard")
