@@ -91,10 +91,10 @@ def similar_sets(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def _ordered_blocks(docs: DataFrame, blocks: int) -> tuple[Column, DataFrame]:
-    """(block, firsts): the block of each row of docs (doc_id, h, text), ascending with doc_id, and (doc_id, h, block): the first row after each block, by the block that needs it.
+    """(block, firsts): the block of each row of docs (doc_id, h, dealt, text), ascending with doc_id, and (doc_id, h, block): the first row after each block, by the block that needs it.
 
-    Blocks are ranges of doc_id. Where one id, or null, fills several, its rows go by their hash into that many blocks of their own,
-    before the others of the range; so no block grows with the rows of one id. After the last row comes the first.
+    Blocks are ranges of doc_id. Where one id, or null, fills several, its rows go by `dealt` into that many blocks of their own,
+    before the others of the range; so no block grows with the rows of one id, nor with equal rows. After the last row comes the first.
     """
     keys = docs.select("doc_id")
     steps = [i / blocks for i in range(1, blocks)]
@@ -105,13 +105,13 @@ def _ordered_blocks(docs: DataFrame, blocks: int) -> tuple[Column, DataFrame]:
     nulls = -(-(stat["n"] - stat["known"]) * blocks // max(1, stat["n"]))
     spread = F.lit(0).cast("int")
     for x, parts in often.items():
-        spread = F.when(F.col("doc_id") == F.lit(x), F.pmod("h", F.lit(parts)).cast("int")).otherwise(spread)
+        spread = F.when(F.col("doc_id") == F.lit(x), F.pmod("dealt", F.lit(parts)).cast("int")).otherwise(spread)
     home = block_of(F.col("doc_id"), bounds)
     if often:
         # The others of a range that begins with such an id stand behind its parts.
         parts = F.create_map(*[F.lit(v) for x, n in often.items() for v in (bounds.index(x) + 1, n)])
         spread = F.when(F.col("doc_id").isin(*often), spread).otherwise(F.coalesce(parts[home.cast("int")], F.lit(0)))
-    place = F.when(F.col("doc_id").isNull(), F.pmod("h", F.lit(max(1, nulls))) - max(1, nulls)).otherwise(home.cast("long") * F.lit(blocks + 1) + spread).cast("long")
+    place = F.when(F.col("doc_id").isNull(), F.pmod("dealt", F.lit(max(1, nulls))) - max(1, nulls)).otherwise(home.cast("long") * F.lit(blocks + 1) + spread).cast("long")
     found = docs.select("doc_id", "h", place.alias("block")).groupBy("block").agg(F.min(F.struct("doc_id", "h")).alias("k")).orderBy("block").collect()  # a row a block
     rows = [(found[(i + 1) % len(found)]["k"]["doc_id"], found[(i + 1) % len(found)]["k"]["h"], r["block"]) for i, r in enumerate(found)]
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("h long, block long")])
@@ -121,11 +121,11 @@ def _ordered_blocks(docs: DataFrame, blocks: int) -> tuple[Column, DataFrame]:
 def fingerprint_and_edit(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every document's fingerprint and that of its edited text, whose last quarter is the next document's beginning.
 
-    The next document follows by doc_id (nulls first; rows with one doc_id by their text's hash); the first follows the last.
-    Rows go to blocks in that order; a block also gets the first document of the next, so one
+    The next document follows by doc_id (nulls first; rows with one doc_id in an order of their own); the first follows the last.
+    Beyond 4,096 blocks they grow: a block is a sorted stream that spills, of which two rows are held. Rows go to blocks in that order; a block also gets the first document of the next, so one
     shuffle serves and no window spans the table. Null texts are empty. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).withColumn("dealt", F.xxhash64("h", F.monotonically_increasing_id()))
     spark = docs.sparkSession
     blocks = min(4096, max(-(-text_bytes(docs) // block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     place, firsts = _ordered_blocks(docs, blocks)
