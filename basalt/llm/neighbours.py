@@ -19,6 +19,8 @@ from basalt.llm.words import NOT_ALNUM, Spans, Words, flat, runs, same_bytes
 
 #: Labelled rows that examples come from, and of these the examples whose votes the calibration is fitted on.
 SAMPLE_ROWS, CALIBRATED = 4_000, 2_000
+#: Bytes of the examples' texts together.
+SAMPLE_BYTES = 32_000_000
 #: Neighbours, examples of a block, blocks searched before the others' bounds are looked at.
 NEIGHBOURS, BLOCK, FIRST = 15, 64, 8
 #: The power of the relevance.
@@ -185,11 +187,11 @@ def relevance(term: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Index:
     """Examples and terms from at most sample_rows labelled documents whose crc32(doc_id) mod 3 isn't 1; document frequencies from all of docs.
 
-    The sample bounds all that reaches the driver and is sent to the tasks: the examples' words. Each text is one example, however many copies the sample has.
+    The sample, bounded by rows and by SAMPLE_BYTES, bounds all that reaches the driver and is sent to the tasks: the examples' words. Each text is one example, however many copies the sample has.
     """
     spark = docs.sparkSession
     ship(spark)
-    sample = labelled_sample(docs, labels, "toxic", 3, 1, sample_rows).groupBy("text").agg(F.min(F.col("doc_id").cast("string")).alias("id"), F.max("label").cast("int").alias("label"))
+    sample = labelled_sample(docs, labels, "toxic", 3, 1, sample_rows, SAMPLE_BYTES).groupBy("text").agg(F.min(F.col("doc_id").cast("string")).alias("id"), F.max("label").cast("int").alias("label"))
 
     def examples(batches):
         for batch in batches:
