@@ -17,6 +17,8 @@ from basalt.llm.common import join_hot, materialize, numbered, ship, sorted_keys
 from basalt.llm.components import components, stars
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
+#: Bytes of a text that are taken apart at once.
+STRETCH = 4_000_000
 #: Fingerprints of one grid cell that one task compares with each other; a larger cell is dealt out.
 CELL_ROWS = 20_000
 #: Pairs verified at once, in numpy; cells whose list is sent to all tasks.
@@ -27,10 +29,16 @@ _STEP = 3 ** np.arange(_SIDE, dtype=np.int64)
 
 def shingle_hashes(text: str | bytes | None, words: int) -> np.ndarray:
     """Hashes of the word shingles in their order, repeats too; a shorter text is one shingle. Null is empty."""
-    import xxhash
-
     data = text.encode() if isinstance(text, str) else text or b""
+    if len(data) > STRETCH:
+        return _in_stretches(data, words)
     tokens = data.lower().split()
+    return _hashed(tokens, words)
+
+
+def _hashed(tokens: list[bytes], words: int) -> np.ndarray:
+    import xxhash
+
     if not tokens:
         return np.zeros(0, np.uint64)
     size = list(map(len, tokens))
@@ -45,6 +53,24 @@ def shingle_hashes(text: str | bytes | None, words: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
 
 
+def _in_stretches(data: bytes, words: int) -> np.ndarray:
+    """shingle_hashes of a long text, a stretch at a time: each goes on with the last words of the one before."""
+    out, carried, at, seen = [], [], 0, 0
+    while at < len(data):
+        end = min(at + STRETCH // 2, len(data))
+        while end < len(data) and data[end : end + 1] not in b" \t\n\v\f\r":
+            end += 1
+        tokens = data[at:end].lower().split()
+        seen += len(tokens)
+        held = carried + tokens
+        # Fewer words than a shingle make one only if they are the whole text.
+        if len(held) >= words or end == len(data) and seen == len(held):
+            out.append(_hashed(held, words))
+        carried = held[max(0, len(held) - words + 1) :]
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def majority(hashes: np.ndarray) -> np.ndarray:
     """The bits set in over half of the rows (n, words) of unsigned 64-bit numbers; none set without rows."""
     counts = np.zeros(64 * hashes.shape[1], np.int64)

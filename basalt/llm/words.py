@@ -10,6 +10,8 @@ import pyarrow as pa
 #: Two primes below 2**31 and a base for each. No sums modulo a power of two: there texts of two signs collide for every base.
 _PRIMES = (2_147_483_629, 2_147_483_587)
 _BASES = (1_180_591_620, 1_917_512_473)
+#: Bytes of a span that is hashed in one piece.
+STRETCH = 1 << 24
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 #: ASCII letters and digits and all non-ASCII bytes belong to a term; the rest parts terms.
@@ -76,11 +78,21 @@ class Spans:
         with np.errstate(over="ignore"):
             for up, _ in self._tables:
                 total = np.zeros(len(data) + 1, np.uint64)
-                # Differences are exact for spans up to 2**25 bytes; equal longer ones may get two hashes and count as two kinds.
+                # Differences are exact for spans up to 2**25 bytes; longer ones are hashed by stretches.
                 np.cumsum(values * up[: len(data)], out=total[1:])
                 self._sums.append(total)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = self._short(start, np.minimum(end, start + STRETCH))
+        for i in np.flatnonzero(end - start > STRETCH).tolist():
+            edges = np.append(np.arange(start[i], end[i], STRETCH), end[i])
+            total = np.zeros(1, np.uint64)
+            for part in self._short(edges[:-1], edges[1:]):
+                total = mix(total + part)
+            out[i] = total[0]
+        return out
+
+    def _short(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             got = [(total[end] - total[start]) % np.uint64(p) * down[start] % np.uint64(p) for p, total, (_, down) in zip(_PRIMES, self._sums, self._tables, strict=True)]
             return mix((got[0] << np.uint64(32) | got[1]) + np.uint64(0x9E3779B97F4A7C15) * (end - start).astype(np.uint64))
