@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.tables import sent_if_small, written
+
+#: Edges of a node from which it counts as a hub, and hubs at most (the limit grows with the edges).
+HUB, HUBS = 10_000, 10_000
+
 
 def degrees(edges: DataFrame, entity: str = "entity", document: str = "document") -> DataFrame:
     return edges.groupBy(entity).agg(F.sum("frequency").cast("long").alias("mention_count"), F.countDistinct(document).alias("document_count"))
@@ -27,37 +32,47 @@ def traverse(edges: DataFrame, roots: DataFrame, limit: int = 40) -> DataFrame:
 
 
 def reach(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
-    """(node, depth): breadth-first over bipartite edges (a, b), hops edges far; each step one join with the new nodes."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    found = roots.select(F.col("node"), F.lit(0).alias("depth"))
-    front = found
+    """(node, depth): breadth-first over bipartite edges (a, b), hops edges far; each step one join with the new nodes.
+
+    The edges and each step's new nodes are written, so a step's plan has two joins however many came before it.
+    """
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    front = written(roots.select("node", F.lit(0).alias("depth")).dropDuplicates(["node"]), "front")
+    found = front
     for depth in range(1, hops + 1):
-        step = front.join(both, front.node == both.a).select(F.col("b").alias("node")).distinct()
-        front = step.join(found, "node", "left_anti").withColumn("depth", F.lit(depth))
+        step = both.join(sent_if_small(front.select(F.col("node").alias("a"))), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        front = written(step.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "front")
+        if front.isEmpty():
+            break
         found = found.unionByName(front)
     return found
 
 
+def _lowest(edges: DataFrame) -> DataFrame:
+    """edges (a, b) with the smallest b of each a as `low`. A hub's edges are dealt over tasks: its minimum is one row, and joined as such."""
+    low = edges.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+    # The few nodes with more edges than HUB get their minimum sent to all tasks, so their edges stay where they are.
+    most = max(HUB, edges.count() // HUBS)
+    hubs = F.broadcast(low.where(F.col("n") > most).select("a", F.col("low").alias("_hub")))
+    with_hubs = edges.join(hubs, "a", "left")
+    rest = with_hubs.where("_hub IS NULL").drop("_hub").join(low.where(F.col("n") <= most).select("a", "low"), "a")
+    return with_hubs.where("_hub IS NOT NULL").select("a", "b", F.col("_hub").alias("low")).unionByName(rest)
+
+
 def clusters(pairs: DataFrame) -> DataFrame:
     """(node, cluster) of linked nodes, cluster the smallest of those reachable.
 
     Alternating stars: each round hangs every node's larger neighbours on the smallest node it knows, then its smaller ones. The rounds
-    grow with the logarithm of the longest chain and go on until nothing changes. Each round is checkpointed where a folder is set.
+    grow with the logarithm of the longest chain and go on until nothing changes. Each half of a round is written.
     """
-
-    def kept(df: DataFrame) -> DataFrame:
-        return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
-
-    def lowest(edges: DataFrame) -> DataFrame:
-        return edges.join(edges.groupBy("a").agg(F.min("b").alias("low")), "a")
-
-    edges = kept(pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = written(pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = lowest(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
-        near = lowest(large)
-        edges = kept(near.select("a", F.col("low").alias("b")).unionByName(near.where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))).distinct())
+        both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+        large = written(_lowest(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct(), "links")
+        near = _lowest(large)
+        hung = near.select("a", "low", F.when(F.col("b") != F.col("low"), F.col("b")).alias("b"))
+        edges = written(hung.select("a", F.col("low").alias("b")).unionByName(hung.where("b IS NOT NULL").select(F.col("b").alias("a"), F.col("low").alias("b"))).distinct(), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

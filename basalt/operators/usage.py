@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basalt.operators.percentiles import exact_percentiles
+
 
 def since(df: DataFrame, column: str, as_of: str, days: int) -> DataFrame:
     """Rows of the last `days` UTC days up to and with the day as_of."""
@@ -22,8 +24,9 @@ def overview(runs: DataFrame, done: Column) -> DataFrame:
 
 
 def percentiles(runs: DataFrame, column: str, done: Column, points: dict[str, float]) -> DataFrame:
-    """Interpolated percentiles of the column over the rows that `done` holds for."""
-    return runs.agg(*[F.round(F.percentile(F.when(done, F.col(column)), F.lit(p)), 6).alias(k) for k, p in points.items()])
+    """Interpolated percentiles of the column over the rows that `done` holds for, by refining histograms."""
+    found = exact_percentiles(runs.where(done), [], column, points)
+    return found.select(*[F.round(k, 6).alias(k) for k in points])
 
 
 def daily_series(runs: DataFrame, as_of: str, days: int) -> DataFrame:

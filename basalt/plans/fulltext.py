@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from basalt.functions import text as X
-from basalt.operators import evaluation, fulltext, paging
+from basalt.operators import evaluation, fulltext, paging, text_index
 from basalt.plans.registry import query
+from basalt.tables import fresh_path, written
 
 QUERY = "licensed under the apache"
 WORDS = r"[w FOR w IN string_split_regex(lower({0}), '[^\pL\pN]+') IF w <> '']"
@@ -37,6 +38,37 @@ def ret04_full_text_rank(t):
     return fulltext.ranked(t.documents, "doc_id", "text", QUERY, 20)
 
 
+@query(TOP)
+def ret04_indexed_rank(t):
+    """The same rows over an inverted index on disk: of the texts' words only the query's postings are read."""
+    index = text_index.build(t.documents, "doc_id", "text", fresh_path(t.spark, "text-index"), stemmed=False, block_rows=256)
+    return text_index.search(index, QUERY, 20, "doc_id")
+
+
+#: Words of the given tables' alphabet that have the stems of `licenses apache under`.
+STEMS = {"licens": ["license", "licenses", "licensed", "licensing"], "apach": ["apache", "apaches"], "under": ["under", "unders", "undered", "undering", "underly"]}
+STEMMED = f"(SELECT doc_id, array_to_string([{' '.join(['CASE'] + [f'WHEN w IN ({str(ws)[1:-1]}) THEN {s!r}' for s, ws in STEMS.items()])} ELSE 'x' END FOR w IN {WORDS.format('text')}], ' ') AS stems FROM documents)"
+STEMMED_TOP = f"SELECT k AS doc_id, relevance, CAST(row_number() OVER (ORDER BY relevance DESC, k) AS INTEGER) AS rank FROM {ranked_sql(STEMMED, 'doc_id', 'stems', list(STEMS))} ORDER BY relevance DESC, k LIMIT 20"
+INFLECTED = "licenses apache under"
+
+
+@query(f"SELECT doc_id FROM {STEMMED} WHERE list_has_all(string_split(stems, ' '), {list(STEMS)!r})")
+def flt12_stemmed_match(t):
+    terms = fulltext.forms(written(fulltext.vocabulary(t.documents, "text"), "vocabulary"), INFLECTED)
+    return t.documents.where(fulltext.holds_all_forms(fulltext.words(F.col("text")), terms)).select("doc_id")
+
+
+@query(STEMMED_TOP)
+def ret04_stemmed_rank(t):
+    return fulltext.ranked(t.documents, "doc_id", "text", INFLECTED, 20, written(fulltext.vocabulary(t.documents, "text"), "vocabulary"))
+
+
+@query(STEMMED_TOP)
+def ret04_stemmed_index_rank(t):
+    index = text_index.build(t.documents, "doc_id", "text", fresh_path(t.spark, "text-index"), block_rows=256)
+    return text_index.search(index, INFLECTED, 20, "doc_id")
+
+
 @query(f"""WITH r AS ({TOP}), l AS (SELECT doc_id, 1 AS part, 0 AS place FROM documents WHERE contains(lower(text), '{QUERY}') ORDER BY doc_id LIMIT 20),
   u AS (SELECT doc_id, 0 AS part, rank AS place FROM r UNION ALL SELECT * FROM l) SELECT doc_id, CAST(row_number() OVER (ORDER BY p, doc_id) AS INTEGER) AS rank FROM (SELECT doc_id, MIN({{'a': part, 'b': place}}) AS p FROM u GROUP BY 1)""")
 def ret06_full_text_keyword(t):
@@ -114,10 +146,7 @@ def eval01_lexical_arm(t):
   ROUND(COALESCE(dcg, 0) / list_sum([1.0::DOUBLE / log2(i + 1) FOR i IN range(1, 1 + LEAST(relevant, 5))]), 6) AS ndcg, COALESCE(hit, 0) = relevant AS complete FROM w LEFT JOIN h USING (query)""")
 def eval02_lexical_metrics(t):
     quotes = t.benchmark.select(F.col("item_id").alias("query"), F.col("text").alias("quote"))
-    # Passages go to the documents that share their rarest words, not to all: containment is checked on those alone.
-    terms = t.documents.select(F.col("doc_id").alias("item"), "text", F.explode(F.array_distinct(fulltext.words(F.col("text")))).alias("w"))
-    longest = F.array_max(F.transform(F.slice(fulltext.words(F.col("quote")), 2, 10_000), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    met = terms.join(quotes.where(F.size(fulltext.words(F.col("quote"))) > 2).withColumn("w", longest), "w").where(F.contains(F.col("text"), F.col("quote"))).select("query", "item").distinct()
+    met = fulltext.contained(t.documents.select(F.col("doc_id").alias("item"), "text"), quotes, "item").select("query", "item").distinct()
     return evaluation.metrics(_arm(t), met, 5)
 
 

@@ -60,7 +60,7 @@ def chunks(t) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("chunk"), F.sha2(F.col("p_partkey").cast("string"), 256).alias("content_hash"))
 
 
-PART = "bit_xor(CASE WHEN status = 'embedded' THEN CAST('0x' || substr(d, {0}, 15) AS BIGINT) END)"
+PART = "SUM(CASE WHEN status = 'embedded' THEN CAST('0x' || substr(d, {0}, 15) AS BIGINT) END)"
 REPORTS = f"""joined AS (SELECT m.*, c.content_hash AS now_hash, sha256(CAST(m.chunk AS VARCHAR) || chr(31) || m.content_hash) AS d FROM members m LEFT JOIN chunks c USING (chunk)),
   faults AS (SELECT generation, COUNT(*) AS membership, COUNT(*) FILTER (WHERE status <> 'embedded') AS invalid_state, COUNT(*) FILTER (WHERE status = 'embedded' AND content_hash IS DISTINCT FROM now_hash) AS invalid_hash,
     COUNT(*) FILTER (WHERE status = 'embedded' AND ABS(norm - 1) > 0.001) AS invalid_norm,

@@ -217,7 +217,7 @@ def gnd09_violations(t):
 
 @query("SELECT doc_id, item_id, sha256(b.text) AS quote_hash, CAST(strpos(d.text, b.text) AS INTEGER) AS start FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def gnd10_envelope(t):
-    hit = fulltext.contained(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("quote")))
+    hit = fulltext.contained(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("quote")), "doc_id")
     return hit.select("doc_id", "item_id", F.sha2(F.col("quote").cast("binary"), 256).alias("quote_hash"), (F.position("quote", "text")).alias("start"))
 
 

@@ -192,7 +192,7 @@ def join16_update_from(t):
 
 @query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)")
 def join17_containment(t):
-    return fulltext.contained(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("quote"))).select("doc_id", "item_id")
+    return fulltext.contained(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("quote")), "doc_id").select("doc_id", "item_id")
 
 
 @query("""SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.operators import paging, usage
+from basalt.operators.percentiles import exact_percentiles
 from basalt.plans.registry import Tables, query
 
 AS_OF, DAYS = "2024-01-30", 14
@@ -162,7 +163,8 @@ def agg22_join08_storage_usage(t):
 
 @query("SELECT ROUND(quantile_cont(o_totalprice, 0.25), 6) AS q1, ROUND(quantile_cont(o_totalprice, 0.75), 6) AS q3, o_orderstatus FROM orders GROUP BY o_orderstatus")
 def agg25_interpolated_percentile(t):
-    return t.orders.groupBy("o_orderstatus").agg(F.round(F.percentile("o_totalprice", F.lit(0.25)), 6).alias("q1"), F.round(F.percentile("o_totalprice", F.lit(0.75)), 6).alias("q3"))
+    found = exact_percentiles(t.orders, ["o_orderstatus"], "o_totalprice", {"q1": 0.25, "q3": 0.75})
+    return found.select("o_orderstatus", F.round("q1", 6).alias("q1"), F.round("q3", 6).alias("q3"))
 
 
 @query("SELECT 'documents' AS collection, COUNT(*) AS records FROM documents UNION ALL SELECT 'orders', COUNT(*) FROM orders UNION ALL SELECT 'region', COUNT(*) FROM region UNION ALL SELECT 'settings', CAST(COUNT(*) > 0 AS BIGINT) FROM nation")

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 MANIFEST = "version int, documents array<struct<id: string, path: string, sha256: string>>, queries array<struct<id: string, text: string, evidence: array<struct<document: string, quote: string, start: int>>>>"
 
 
-def table_digest(df: DataFrame) -> tuple[int, int]:
-    """(rows, exclusive or of the rows' hashes): the same for the same rows in any order, with partial results combined."""
-    got = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*sorted(df.columns))).alias("x")).first()
-    return got["n"], got["x"] or 0
+def table_digest(df: DataFrame) -> tuple[int, int, int]:
+    """(rows, sums of two hashes of each row): the same for the same rows in any order, with partial results combined. Equal rows add up and don't cancel."""
+    names = sorted(df.columns)
+    sums = [F.sum(F.xxhash64(F.lit(seed), *names).cast("decimal(20,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    got = df.agg(F.count("*").alias("n"), *sums).first()
+    return got["n"], int(got["s1"] or 0), int(got["s2"] or 0)
 
 
 def create_once(df: DataFrame, path: str) -> DataFrame:
