@@ -177,20 +177,58 @@ def gnd08_11_replay(t):
 
 
 SIG = "list_distinct([w FOR w IN string_split_regex(lower({0}), '[^\\pL\\pN]+') IF length(w) > 2 AND w NOT IN (" + ", ".join(repr(w) for w in grounding.STOP) + ")])"
-
-
-@query(f"""WITH c AS (SELECT a.conv_id, a.turn, left(a.text, 200) AS claim, b.text AS content FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), k AS (SELECT *, {SIG.format('claim')} AS x, {SIG.format('content')} AS y FROM c)
-  SELECT conv_id, turn, ROUND(CASE WHEN len(x) = 0 THEN 1 ELSE len(list_intersect(x, y)) / len(x) END, 4) AS coverage, CASE WHEN trim(claim) = '' THEN 'claim size' WHEN len(x) > 0 AND len(list_intersect(x, y)) / len(x) < 0.25 THEN 'low coverage' ELSE 'passed' END AS verdict FROM k
-  WHERE NOT regexp_matches(claim, '[0-9"“]') AND NOT regexp_matches(lower(claim), 'no|never|without|can|isn|wasn|won')""")
+#: An order's lines as evidence, a few sentences each, and a claim about each line that is right or wrong in one of seven ways. x: numbers of the claim, t: its negations.
+LINES = """l AS (SELECT l_orderkey, l_linenumber AS n, CAST(l_quantity AS INTEGER) AS q, l_partkey AS p, l_suppkey % 17 = 0 AS twice, CAST((l_orderkey + l_linenumber) % 7 AS INTEGER) AS kind,
+    'Line ' || l_linenumber || ' ships ' || CAST(l_quantity AS INTEGER) || ' boxes of part ' || l_partkey || '.' || CASE WHEN l_returnflag = 'R' THEN ' It was not accepted by them.' WHEN l_returnflag = 'A' THEN ' Clerks wrote ''very' || chr(10) || ' fragile''!' ELSE '' END AS said FROM lineitem),
+  evidence AS (SELECT l_orderkey, string_agg(said, ' ' ORDER BY n, said) AS content FROM l GROUP BY 1),
+  claims AS (SELECT row_number() OVER () AS cid, l_orderkey, n, kind, CASE WHEN twice THEN ['D1', 'D1'] ELSE ['D1'] END AS sources,
+    CASE kind WHEN 0 THEN 'Line ' || n || ' ships ' || q || ' boxes of part ' || p WHEN 1 THEN 'Line ' || n || ' ships ' || (q + 100000) || ' boxes' WHEN 2 THEN 'Line ' || n || ' never ships ' || q || ' boxes' WHEN 3 THEN 'Clouds drift quietly eastward'
+      WHEN 4 THEN repeat('x', 1001) WHEN 5 THEN 'It was not accepted on line ' || n ELSE 'Clerks wrote "very fragile" about part ' || p END AS claim,
+    CASE kind WHEN 0 THEN [CAST(n AS VARCHAR), CAST(q AS VARCHAR), CAST(p AS VARCHAR)] WHEN 1 THEN [CAST(n AS VARCHAR), CAST(q + 100000 AS VARCHAR)] WHEN 2 THEN [CAST(n AS VARCHAR), CAST(q AS VARCHAR)] WHEN 3 THEN [] WHEN 4 THEN [] WHEN 5 THEN [CAST(n AS VARCHAR)] ELSE [CAST(p AS VARCHAR), 'very fragile'] END AS x,
+    CASE kind WHEN 2 THEN ['never'] WHEN 5 THEN ['not'] ELSE [] END AS t FROM l),
+  plain AS (SELECT l_orderkey, content, trim(regexp_replace(lower(content), '\\s+', ' ', 'g')) AS c FROM evidence),
+  cases AS (SELECT claims.*, content, c FROM claims JOIN plain USING (l_orderkey))"""
+
+
+def _claims(t):
+    n, q, p = F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int"), F.col("l_partkey").cast("string")
+    after = F.when(F.col("l_returnflag") == "R", " It was not accepted by them.").when(F.col("l_returnflag") == "A", " Clerks wrote 'very\n fragile'!").otherwise("")
+    said = F.concat(F.lit("Line "), n, F.lit(" ships "), q.cast("string"), F.lit(" boxes of part "), p, F.lit("."), after)
+    lines = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("n"), said.alias("said"))
+    # An order has seven lines at most.
+    content = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "said"))), lambda x: x["said"]), " ").alias("content"))
+    kind = ((F.col("l_orderkey") + F.col("l_linenumber")) % 7).cast("int")
+    claim = (
+        F.when(kind == 0, F.concat(F.lit("Line "), n, F.lit(" ships "), q.cast("string"), F.lit(" boxes of part "), p))
+        .when(kind == 1, F.concat(F.lit("Line "), n, F.lit(" ships "), (q + 100_000).cast("string"), F.lit(" boxes")))
+        .when(kind == 2, F.concat(F.lit("Line "), n, F.lit(" never ships "), q.cast("string"), F.lit(" boxes")))
+        .when(kind == 3, "Clouds drift quietly eastward")
+        .when(kind == 4, F.repeat(F.lit("x"), 1_001))
+        .when(kind == 5, F.concat(F.lit("It was not accepted on line "), n))
+        .otherwise(F.concat(F.lit('Clerks wrote "very fragile" about part '), p))
+    )
+    sources = F.when(F.col("l_suppkey") % 17 == 0, F.array(F.lit("D1"), F.lit("D1"))).otherwise(F.array(F.lit("D1")))
+    return t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("n"), claim.alias("claim"), sources.alias("sources")).join(content, "l_orderkey")
+
+
+@query(f"""WITH {LINES}, k AS (SELECT *, {SIG.format('claim')} AS a, {SIG.format('content')} AS b FROM cases)
+  SELECT l_orderkey, n, ROUND(CASE WHEN len(a) = 0 THEN 1 ELSE len(list_intersect(a, b)) / len(a) END, 4) AS coverage,
+    CASE WHEN length(claim) > 1000 THEN 'claim size' WHEN len(sources) > len(list_distinct(sources)) THEN 'sources' WHEN len([y FOR y IN x IF NOT contains(c, y)]) > 0 THEN 'missing anchor'
+      WHEN len(a) > 0 AND len(list_intersect(a, b)) / len(a) < 0.25 THEN 'low coverage' WHEN len([y FOR y IN t IF NOT list_contains(string_split(c, ' '), y)]) > 0 THEN 'polarity' ELSE 'passed' END AS verdict FROM k""")
 def gnd03_claim_validation(t):
-    a = t.conversations.select("conv_id", "turn", F.substring("text", 1, 200).alias("claim"))
-    b = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("content"))
-    claims = a.join(b, ["conv_id", "turn"]).where(~F.col("claim").rlike('[0-9"“]') & ~F.lower("claim").rlike("no|never|without|can|isn|wasn|won"))
-    return grounding.validate_claims(claims.withColumn("sources", F.array(F.lit("D1")))).select("conv_id", "turn", "coverage", "verdict")
-
-
-@query()
+    """Claims about all lines of all orders, with every verdict among them."""
+    return grounding.validate_claims(_claims(t)).select("l_orderkey", "n", "coverage", "verdict")
+
+
+@query(f"""WITH {LINES}, s0 AS (SELECT l_orderkey, unnest(string_split(regexp_replace(content, '([.!]) ', '\\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(content, '([.!]) ', '\\1' || chr(1), 'g'), chr(1)), 1) AS i FROM evidence),
+  s AS (SELECT *, CAST(SUM(length(s) + 1) OVER (PARTITION BY l_orderkey ORDER BY i) AS BIGINT) - length(s) - 1 AS a FROM s0),
+  w AS (SELECT x.l_orderkey, x.a AS start, y.a + length(y.s) AS stop FROM s x JOIN s y ON x.l_orderkey = y.l_orderkey AND x.i <= y.i),
+  v AS (SELECT w.*, substring(content, start + 1, stop - start) AS part FROM w JOIN evidence USING (l_orderkey)),
+  z AS (SELECT *, {SIG.format('part')} AS words, trim(regexp_replace(lower(part), '\\s+', ' ', 'g')) AS pc FROM v),
+  k AS (SELECT *, list_intersect({SIG.format('claim')}, {SIG.format('content')}) AS need, [y FOR y IN x IF contains(c, y)] AS held, [y FOR y IN t IF list_contains(string_split(c, ' '), y)] AS turns FROM cases),
+  m AS (SELECT cid, MIN({{'n': stop - start, 'a': start, 'b': stop}}) AS best FROM k JOIN z USING (l_orderkey) WHERE len(need) + len(held) + len(turns) > 0 AND list_has_all(words, need) AND len([y FOR y IN held IF NOT contains(pc, y)]) = 0
+    AND list_has_all(string_split(pc, ' '), turns) GROUP BY 1)
+  SELECT l_orderkey, n, CAST(COALESCE(best.a, 0) AS INTEGER) AS start, CAST(COALESCE(best.b, length(content)) AS INTEGER) AS "end", CASE WHEN COALESCE(best.a, 0) > 0 OR COALESCE(best.b, length(content)) < length(content) THEN 'claim_aligned' ELSE 'full_chunk_fallback' END AS selection FROM k LEFT JOIN m USING (cid)""")
 def gnd04_fn09_aligned_quote(t):
-    a = t.conversations.select("conv_id", "turn", F.substring("text", 1, 200).alias("claim"))
-    b = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("content"))
-    return grounding.aligned_quote(a.join(b, ["conv_id", "turn"]), "claim", "content").select("conv_id", "turn", "start", "end")
+    """The shortest run of sentences for each of those claims, with numbers, quoted text over a line's end, and negations."""
+    return grounding.aligned_quote(_claims(t), "claim", "content").select("l_orderkey", "n", "start", "end", "selection")

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-from basalt.plans import evidence, fulltext, generations, lifecycle, records, registry, search, text, usage  # noqa: E402, F401
+from basalt.plans import evidence, fulltext, generations, indexed, lifecycle, records, registry, search, text, usage  # noqa: E402, F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
