@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.tables import sent_if_small, written
+from basalt.tables import sent_if_small, ship, written
 
 #: Words that are never searched for.
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
@@ -72,6 +72,8 @@ def vocabulary(rows: DataFrame, text: str) -> DataFrame:
 
     from basalt.functions.stemming import stem
 
+    ship(rows.sparkSession)
+
     def stems(frames):
         for frame in frames:
             yield pd.DataFrame({"word": frame["word"], "stem": [stem(w) for w in frame["word"]]})

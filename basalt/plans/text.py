@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basalt.functions import chunking, vectors
 from basalt.functions import text as X
-from basalt.operators import fulltext, paging, retrieval
+from basalt.operators import entities, fulltext, paging, retrieval
 from basalt.plans.registry import query
 from basalt.sources import parsers
 from basalt.streaming import outbox
@@ -146,6 +146,19 @@ def ret18_entities(t):
     return paging.latest(counts, ["doc_id"], [F.desc("n"), F.asc("name")], 250)
 
 
+DICTIONARY = ("apache", "license", "licensed under", "the and", "van", "und")
+PADDED = r"string_split(regexp_replace(lower(text), '[^\pL\pN_ ]', ' | ', 'g'), ' ')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {PADDED} AS w FROM documents), terms AS (SELECT unnest({list(DICTIONARY)!r}) AS term),
+  one AS (SELECT doc_id, x AS term FROM (SELECT doc_id, unnest(w) AS x FROM d) WHERE x IN (SELECT term FROM terms)), two AS (SELECT doc_id, x AS term FROM (SELECT doc_id, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w)) IF w[i] <> '' AND w[i + 1] <> '']) AS x FROM d) WHERE x IN (SELECT term FROM terms))
+  SELECT doc_id, CASE WHEN length(term) <= 4 THEN upper(term) ELSE array_to_string([upper(x[1]) || x[2:] FOR x IN string_split(term, ' ')], ' ') END AS name, COUNT(*) AS mentions FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY doc_id, term""")
+def ret18_dictionary(t):
+    """Whole-word hits of a dictionary in all texts, found by one automaton."""
+    terms = t.spark.createDataFrame([(x,) for x in DICTIONARY], "term string")
+    return entities.dictionary_hits(t.documents, "doc_id", "text", terms).select("doc_id", entities.canonical(F.col("term")).alias("name"), "mentions")
+
+
 TOKENS = "[w FOR w IN regexp_extract_all(lower(text), '[a-z0-9_-]{2,}') IF length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'that')]"
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +43,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def sent_if_small(df: DataFrame, row_bytes: int = 64, most: int = SENT_BYTES) -> DataFrame:
     """df, marked to be sent to all tasks if its rows, counted, fit in `most` bytes; otherwise as it is, for Spark to shuffle. Give it a written table: it is counted."""
     return F.broadcast(df) if df.limit(most // row_bytes + 1).count() * row_bytes <= most else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per context; functions that workers call by name need it there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_basalt_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="basalt-sent-")) / "basalt_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(os.fspath(target))
+    sc._basalt_sent = True
