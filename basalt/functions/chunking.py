@@ -7,7 +7,7 @@ from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Span = tuple[int, int]
@@ -71,6 +71,40 @@ def recursive_chunks(text: str, target: int = 400, overlap: int = 50) -> list[Sp
     return out
 
 
+def strategy(c: Column) -> Column:
+    """The strategy that a request names, `semantic` as `sentence`; an unknown one is an error when it is read."""
+    asked = F.lower(F.trim(c))
+    known = F.when(asked == "semantic", "sentence").when(asked.isin(*STRATEGIES), asked)
+    return F.coalesce(known, F.raise_error(F.concat(F.lit("unknown strategy: "), F.coalesce(c, F.lit("null")))).cast("string"))
+
+
+def header(title: Column, section: Column) -> Column:
+    """What stands before a chunk: title and section, or the title alone."""
+    return F.when(section.isNotNull() & (section != ""), F.concat(title, F.lit(" > "), section, F.lit(": "))).otherwise(F.concat(title, F.lit(": ")))
+
+
+def section_chunks(docs: DataFrame, key: str, text: str, sections: str, title: str, strategy: str = "token") -> DataFrame:
+    """(key, chunk_index, start_char, end_char, content, contextualized, section, page) of the sections (title, page, start_char, end_char) of each text.
+
+    Sections are chunked each by themselves; spans are rebased to the text and hold the content exactly; chunks are numbered through. A text whose
+    sections give none is one chunk, `Full Content`, without the white space around it; a blank or null one has no chunk.
+    """
+    parts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text"), F.col(title).alias("_title"), F.posexplode(sections).alias("_n", "_s"))
+    body = parts.select("_k", "_n", "_title", F.col("_s.title").alias("section"), F.col("_s.page").alias("page"), F.col("_s.start_char").alias("_at"), F.expr("substring(_text, _s.start_char + 1, _s.end_char - _s.start_char)").alias("_body"))
+    keyed = body.withColumn("_id", F.struct("_k", "_n", "_title", "section", "page", "_at"))
+    cut = chunk(keyed, "_id", "_body", strategy)
+    rebased = cut.select("_id.*", F.col("chunk_index").alias("_c"), (F.col("start_char") + F.col("_id._at")).alias("start_char"), (F.col("end_char") + F.col("_id._at")).alias("end_char"), "content")
+    bare = docs.where(F.trim(F.col(text)) != "").join(rebased.select(F.col("_k").alias(key)).distinct(), key, "left_anti")
+    lead = F.length(text) - F.length(F.regexp_replace(text, r"(?U)^\s+", ""))
+    trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    whole = bare.select(F.col(key).alias("_k"), F.lit(0).alias("_n"), F.col(title).alias("_title"), F.lit("Full Content").alias("section"), F.lit(1).alias("page"), F.lit(0).alias("_at"), F.lit(0).alias("_c"), lead.alias("start_char"), (lead + F.length(trimmed)).alias("end_char"), trimmed.alias("content"))
+    both = rebased.unionByName(whole)
+    # A document's chunks are numbered in one task: they were one document before.
+    number = F.row_number().over(Window.partitionBy("_k").orderBy("_n", "_c")) - 1
+    named = both.withColumn("chunk_index", number).withColumn("contextualized", F.concat(header(F.col("_title"), F.when(F.col("section") != "Full Content", F.col("section"))), F.col("content")))
+    return named.select(F.col("_k").alias(key), "chunk_index", "start_char", "end_char", "content", "contextualized", "section", "page")
+
+
 STRATEGIES = {"token": lambda t: token_chunks(t), "sentence": lambda t: token_chunks(t, 450, 40), "recursive": lambda t: recursive_chunks(t)}
 
 

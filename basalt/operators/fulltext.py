@@ -128,17 +128,21 @@ def title_match(title: Column, tags: Column, query: str) -> Column:
     return holds_all(words(title), terms) | F.lower(title).like(f"%{query.lower()}%") | F.array_contains(tags, query)
 
 
+def lexical_scores(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query, item, score) of queries (query, terms) and rows (item, terms), terms distinct: shared terms over the geometric mean of both counts, of pairs that share one."""
+    q = queries.select("query", F.size("terms").alias("nq"), F.explode("terms").alias("term"))
+    r = rows.select("item", F.size("terms").alias("nr"), F.explode("terms").alias("term"))
+    shared = r.join(q, "term").groupBy("query", "item", "nq", "nr").agg(F.count("*").alias("n"))
+    return shared.select("query", "item", F.round(F.col("n") / F.sqrt((F.col("nq") * F.col("nr")).cast("double")), 9).alias("score"))
+
+
 def lexical_arm(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """(query, item, score, rank): k items a query by shared terms over the geometric mean of both counts, above 0, ties to the smaller item.
 
     queries: (query, terms), rows: (item, terms), terms distinct. They meet over an inverted index: no pair without a shared term is made.
     """
-    q = queries.select("query", F.size("terms").alias("nq"), F.explode("terms").alias("term"))
-    r = rows.select("item", F.size("terms").alias("nr"), F.explode("terms").alias("term"))
-    shared = r.join(q, "term").groupBy("query", "item", "nq", "nr").agg(F.count("*").alias("n"))
-    scored = shared.select("query", "item", F.round(F.col("n") / F.sqrt((F.col("nq") * F.col("nr")).cast("double")), 9).alias("score"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k)
+    return lexical_scores(queries, rows).withColumn("rank", place).where(F.col("rank") <= k)
 
 
 def hybrid(semantic: DataFrame | None, keyword: DataFrame, key: str, k: int) -> DataFrame:

@@ -21,13 +21,35 @@ def neighbours(edges: DataFrame, roots: DataFrame, limit: int = 40) -> DataFrame
     return mine.join(edges, "document").where("entity != root").select("document", "root", F.col("entity").alias("target"), "frequency").orderBy(F.desc("frequency"), "document", "root", "target").limit(limit)
 
 
-def traverse(edges: DataFrame, roots: DataFrame, limit: int = 40) -> DataFrame:
-    """Both hops as undirected edges, once each; targets that are roots themselves are left out."""
+def authorised(projection: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document, status, allowed) of every projected document (document, version, revision): may its edges be shown?
+
+    documents: (document, current_version, acknowledged, deleted, blocked, pending). Allowed are those whose projection is of the current
+    version at the acknowledged revision, and which are neither deleted nor blocked. The status is degraded for all while any document is pending.
+    """
+    held = projection.join(documents, "document", "left")
+    same = F.col("version").eqNullSafe(F.col("current_version")) & F.col("revision").eqNullSafe(F.col("acknowledged"))
+    allowed = F.coalesce(same & ~F.col("deleted") & ~F.col("blocked"), F.lit(False))
+    pending = documents.agg(F.coalesce(F.bool_or("pending"), F.lit(False)).alias("_pending"))  # one row
+    status = F.when(F.col("_pending"), "degraded").otherwise("complete")
+    return held.crossJoin(F.broadcast(pending)).select("document", status.alias("status"), allowed.alias("allowed"))
+
+
+def traverse(edges: DataFrame, roots: DataFrame, limit: int = 40, allowed: DataFrame | None = None, allowed_now: DataFrame | None = None) -> DataFrame:
+    """Both hops as undirected edges, once each; targets that are roots themselves are left out.
+
+    With allowed (document), the second hop begins at targets of allowed documents only; both hops are held against allowed_now before they are returned.
+    """
+    if allowed is not None:
+        edges = edges.join(allowed.select("document"), "document", "left_semi")
     one = neighbours(edges, roots, limit).withColumn("hop", F.lit(1))
     named = roots.select(F.col("entity").alias("target"))
     one = one.join(named, "target", "left_anti")
     two = neighbours(edges, one.select(F.col("target").alias("entity")).distinct(), limit).withColumn("hop", F.lit(2)).join(named, "target", "left_anti")
-    both = one.unionByName(two).select("document", F.least("root", "target").alias("a"), F.greatest("root", "target").alias("b"), "hop")
+    found = one.unionByName(two)
+    if allowed_now is not None:
+        found = found.join(allowed_now.select("document"), "document", "left_semi")
+    both = found.select("document", F.least("root", "target").alias("a"), F.greatest("root", "target").alias("b"), "hop")
     return both.groupBy("document", "a", "b").agg(F.min("hop").alias("hop"))
 
 

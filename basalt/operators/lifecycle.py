@@ -71,3 +71,44 @@ def delete_restore(jobs: DataFrame, actions: DataFrame, order: list[str]) -> Dat
     last = actions.groupBy("document").agg(F.max(F.struct(*order, "action")).alias("a")).select("document", F.col("a.action").alias("action"))
     state = F.when((F.col("action") == "delete") & F.col("state").isin("pending", "processing"), "obsolete").when((F.col("action") == "restore") & (F.col("state") == "obsolete"), "pending").otherwise(F.col("state"))
     return jobs.join(last, "document", "left").select("job", "document", state.alias("state"))
+
+
+def mark_all(rows: DataFrame, mine: Column, column: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows after, updated): the column set to now where it was null in the rows that `mine` holds for, and how many that were, as one row."""
+    hit = F.coalesce(mine, F.lit(False)) & F.col(column).isNull()
+    return rows.withColumn(column, F.when(hit, now).otherwise(F.col(column))), rows.agg(F.count(F.when(hit, 1)).alias("updated"))
+
+
+def delete_rows(rows: DataFrame, requests: DataFrame, key: str, scope: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows after, outcomes). requests (key, scope, hard): a hard one takes the row out, a soft one sets deleted_at; both only in the request's own scope.
+
+    Outcomes (key, scope, hard, outcome): deleted, or not_found for a row that isn't there, belongs to another scope or is deleted already.
+    Of several requests for a row a hard one counts.
+    """
+    held = rows.where("deleted_at IS NULL").select(key, scope, F.lit(True).alias("_there"))
+    told = requests.join(held, [key, scope], "left").withColumn("outcome", F.when(F.col("_there"), "deleted").otherwise("not_found")).drop("_there")
+    gone = told.where("outcome = 'deleted'").groupBy(key, scope).agg(F.max("hard").alias("_hard"))
+    after = rows.join(gone, [key, scope], "left").where("NOT coalesce(_hard, false)")
+    return after.withColumn("deleted_at", F.when(F.col("_hard").isNotNull(), now).otherwise(F.col("deleted_at"))).drop("_hard").select(*rows.columns), told
+
+
+def insert_missing(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """ON CONFLICT DO NOTHING: rows of new whose key old lacks are added, one for each key, the first by all columns."""
+    added = new.join(old.select(key), key, "left_anti").groupBy(key).agg(F.min(F.struct(*new.columns)).alias("_r")).select("_r.*")
+    return old.unionByName(added)
+
+
+def upsert_where(old: DataFrame, new: DataFrame, key: str, replaces: Column) -> DataFrame:
+    """ON CONFLICT DO UPDATE WHERE: a row of new takes the place of old's only where `replaces` holds, over old's columns and new's as new_<column>. One row a key in new."""
+    names = old.columns
+    renamed = new.select(F.col(key), *[F.col(c).alias(f"new_{c}") for c in names if c != key], F.lit(True).alias("_new"))
+    joined = old.withColumn("_old", F.lit(True)).join(renamed, key, "full")
+    take = F.col("_new").isNotNull() & (F.col("_old").isNull() | F.coalesce(replaces, F.lit(False)))
+    return joined.select(key, *[F.when(take, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in names if c != key])
+
+
+def fresh_workers(beats: DataFrame, key: str, time: str, now: Column, most: Column) -> DataFrame:
+    """(key, last, age_seconds, fresh): freshness by the age of each worker's last heartbeat, whatever status it stored."""
+    last = beats.groupBy(key).agg(F.max(time).alias("last"))
+    age = now.cast("timestamp").cast("long") - F.col("last").cast("timestamp").cast("long")
+    return last.select(key, "last", age.alias("age_seconds"), (age <= most).alias("fresh"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from basalt.functions import chunking
 from basalt.operators import evaluation, fulltext, grounding, lifecycle, paging, records
 from basalt.plans.registry import query
 
@@ -102,16 +103,16 @@ def ing25_str11_prune(t):
     return old.join(t.lineitem.where("l_returnflag = 'N'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").orderBy("o_orderdate", "o_orderkey").limit(100).select("o_orderkey")
 
 
-@query("SELECT CASE strategy WHEN 'semantic' THEN 'sentence' ELSE strategy END AS strategy, n FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'semantic' WHEN 'O' THEN 'token' ELSE 'recursive' END AS strategy, COUNT(*) AS n FROM orders GROUP BY 1)")
+@query("SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 2) THEN 'sentence' WHEN doc_id % 4 = 1 THEN 'token' ELSE 'recursive' END AS strategy FROM documents")
 def ing04_strategy(t):
-    s = F.when(F.col("o_orderstatus") == "F", "semantic").when(F.col("o_orderstatus") == "O", "token").otherwise("recursive")
-    g = t.orders.groupBy(s.alias("strategy")).agg(F.count("*").alias("n"))
-    return g.select(F.when(F.col("strategy") == "semantic", "sentence").otherwise(F.col("strategy")).alias("strategy"), "n")
+    asked = F.element_at(F.array(*map(F.lit, ("semantic", " Token", "SENTENCE", "recursive"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return t.documents.select("doc_id", chunking.strategy(asked).alias("strategy"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || ' > ' || lang || ': ' ELSE source || ': ' END AS header FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || ': ' WHEN doc_id % 3 = 1 THEN source || ': ' ELSE source || ' > ' || lang || ': ' END AS header FROM documents")
 def ing05_header(t):
-    return t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit(" > "), "lang", F.lit(": "))).otherwise(F.concat("source", F.lit(": "))).alias("header"))
+    section = F.when(F.col("doc_id") % 3 == 1, "").when(F.col("doc_id") % 3 == 2, F.col("lang"))
+    return t.documents.select("doc_id", chunking.header(F.col("source"), section).alias("header"))
 
 
 @query("""SELECT p_partkey, outcome, CAST(CASE WHEN outcome = 'updated' THEN v + 1 ELSE v END AS INTEGER) AS version FROM (SELECT c.k AS p_partkey, p.p_size AS v,
@@ -128,14 +129,60 @@ def dml02_bulk_read(t):
     return t.events.join(ids, "event_id", "left").select("event_id", "event_type", F.coalesce("hit", F.lit(False)).alias("is_read"))
 
 
-@query("SELECT COUNT(*) AS updated FROM events WHERE event_type = 'view'")
+@query("""WITH n AS (SELECT event_id, user_id, CASE WHEN event_type = 'click' THEN ts END AS read_at FROM events)
+  SELECT event_id, CASE WHEN user_id = 7 AND read_at IS NULL THEN TIMESTAMP '2024-02-01' ELSE read_at END AS read_at, (SELECT COUNT(*) FROM n WHERE user_id = 7 AND read_at IS NULL) AS updated FROM n""")
 def dml03_mark_all(t):
-    return t.events.where("event_type = 'view'").agg(F.count("*").alias("updated"))
+    """One user's unread notifications marked, the whole table after it, and how many it were."""
+    rows = t.events.select("event_id", "user_id", F.when(F.col("event_type") == "click", F.col("ts")).alias("read_at"))
+    after, updated = lifecycle.mark_all(rows, F.col("user_id") == 7, "read_at", F.to_timestamp_ntz(F.lit("2024-02-01")))
+    return after.crossJoin(F.broadcast(updated)).select("event_id", "read_at", "updated")
 
 
-@query("SELECT c_custkey, c_acctbal < 0 AS deleted FROM customer WHERE c_mktsegment <> 'MACHINERY'")
+MEMORIES = """m AS (SELECT c_custkey AS id, c_nationkey AS scope, CASE WHEN c_mktsegment = 'MACHINERY' THEN TIMESTAMP '2020-01-01' END AS deleted_at FROM customer),
+  r AS (SELECT s_suppkey * 2 AS id, s_nationkey AS scope, s_acctbal < 5000 AS hard FROM supplier UNION ALL SELECT c_custkey, c_nationkey, c_custkey % 2 = 0 FROM customer WHERE c_custkey % 3 = 0),
+  o AS (SELECT r.*, CASE WHEN m.id IS NOT NULL THEN 'deleted' ELSE 'not_found' END AS outcome FROM r LEFT JOIN m ON m.id = r.id AND m.scope = r.scope AND m.deleted_at IS NULL)"""
+
+
+def _deletes(t):
+    rows = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("scope"), F.when(F.col("c_mktsegment") == "MACHINERY", F.to_timestamp_ntz(F.lit("2020-01-01"))).alias("deleted_at"))
+    some = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("scope"), (F.col("c_custkey") % 2 == 0).alias("hard"))
+    requests = t.supplier.select((F.col("s_suppkey") * 2).alias("id"), F.col("s_nationkey").alias("scope"), (F.col("s_acctbal") < 5000).alias("hard")).unionByName(some)
+    return lifecycle.delete_rows(rows, requests, "id", "scope", F.to_timestamp_ntz(F.lit("2024-02-01")))
+
+
+@query(f"""WITH {MEMORIES}, g AS (SELECT id, scope, bool_or(hard) AS hard FROM o WHERE outcome = 'deleted' GROUP BY 1, 2)
+  SELECT m.id, m.scope, CASE WHEN g.id IS NOT NULL THEN TIMESTAMP '2024-02-01' ELSE deleted_at END AS deleted_at FROM m LEFT JOIN g USING (id, scope) WHERE NOT COALESCE(hard, FALSE)""")
 def dml04_soft_and_hard_delete(t):
-    return t.customer.where("c_mktsegment != 'MACHINERY'").select("c_custkey", (F.col("c_acctbal") < 0).alias("deleted"))
+    """The table after soft and hard deletes, each in its own scope."""
+    return _deletes(t)[0]
+
+
+@query(f"WITH {MEMORIES} SELECT id, scope, hard, outcome FROM o")
+def dml04_outcomes(t):
+    return _deletes(t)[1]
+
+
+@query("""WITH o AS (SELECT c_nationkey AS k, CAST(COUNT(*) AS BIGINT) AS v FROM customer WHERE c_nationkey < 15 GROUP BY 1), n AS (SELECT s_nationkey AS k, CAST(MIN(s_suppkey) AS BIGINT) AS v FROM supplier GROUP BY 1)
+  SELECT k, v FROM o UNION ALL SELECT k, v FROM n WHERE k NOT IN (SELECT k FROM o)""")
+def snk02_insert_missing(t):
+    """Insert with ON CONFLICT DO NOTHING: of several new rows of a key the first."""
+    old = t.customer.where("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("v"))
+    return lifecycle.insert_missing(old, t.supplier.select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("v")), "k")
+
+
+@query("""WITH o AS (SELECT c_nationkey AS k, CAST(COUNT(*) AS BIGINT) AS v FROM customer WHERE c_nationkey < 15 GROUP BY 1), n AS (SELECT s_nationkey AS k, CAST(MAX(s_suppkey) AS BIGINT) AS v FROM supplier GROUP BY 1)
+  SELECT COALESCE(o.k, n.k) AS k, CASE WHEN o.k IS NULL OR n.v > o.v THEN n.v ELSE o.v END AS v FROM o FULL JOIN n ON o.k = n.k""")
+def snk02_upsert_where(t):
+    """Insert with ON CONFLICT DO UPDATE WHERE: only a larger value takes an old one's place."""
+    old = t.customer.where("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("v"))
+    new = t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.max("s_suppkey").alias("v"))
+    return lifecycle.upsert_where(old, new, "k", F.col("new_v") > F.col("v"))
+
+
+@query("""SELECT user_id, MAX(ts) AS last, CAST(epoch(TIMESTAMP '2024-01-31') - floor(epoch(MAX(ts))) AS BIGINT) AS age_seconds, CAST(epoch(TIMESTAMP '2024-01-31') - floor(epoch(MAX(ts))) AS BIGINT) <= 86400 AS fresh FROM events GROUP BY 1""")
+def str16_freshness(t):
+    """Freshness by the age of the last heartbeat, whatever status was stored with it."""
+    return lifecycle.fresh_workers(t.events, "user_id", "ts", F.to_timestamp_ntz(F.lit("2024-01-31")), F.lit(86_400))
 
 
 @query("SELECT MIN(doc_id) AS doc_id, COUNT(*) - 1 AS refused FROM documents GROUP BY lower(text)")
@@ -215,10 +262,21 @@ def gnd09_violations(t):
     return paging.union_all(named(g.where("span != n"), "turn gap"), named(g.where("users = 0"), "no user"), named(t.conversations.where("length(text) > 400"), "long turn"))
 
 
-@query("SELECT doc_id, item_id, sha256(b.text) AS quote_hash, CAST(strpos(d.text, b.text) AS INTEGER) AS start FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+ENVELOPES = """e AS (SELECT doc_id, item_id, d.text AS content, CASE WHEN doc_id % 5 = 0 THEN sha256('old' || d.text) ELSE sha256(d.text) END AS h, b.text AS quote, strpos(d.text, b.text) - 1 + CASE WHEN doc_id % 5 = 1 THEN 1 ELSE 0 END AS a,
+    strpos(d.text, b.text) - 1 + length(b.text) + CASE WHEN doc_id % 5 = 2 THEN 1000000 ELSE 0 END AS b, CAST(5 AS INTEGER) AS x, CAST(CASE WHEN doc_id % 5 = 3 THEN 100000 ELSE 25 END AS INTEGER) AS y FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+  s AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'hash_mismatch' WHEN doc_id % 5 = 2 THEN 'span' WHEN substring(content, a + 1, b - a) <> quote THEN 'quote' WHEN y > b - a THEN 'sub_span' ELSE 'exact' END AS status FROM e)"""
+
+
+@query(f"WITH {ENVELOPES} SELECT doc_id, item_id, status, CASE WHEN status = 'exact' THEN sha256(substring(content, a + x + 1, y - x)) END AS sub_sha256 FROM s")
 def gnd10_envelope(t):
+    """Passages in documents as stored evidence: some of another text, off by one, out of bounds, or asked for beyond their span."""
     hit = fulltext.contained(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("quote")), "doc_id")
-    return hit.select("doc_id", "item_id", F.sha2(F.col("quote").cast("binary"), 256).alias("quote_hash"), (F.position("quote", "text")).alias("start"))
+    at, kind = F.position("quote", "text") - 1, F.col("doc_id") % 5
+    rows = hit.select(
+        "doc_id", "item_id", F.col("text").alias("content"), F.sha2(F.when(kind == 0, F.concat(F.lit("old"), "text")).otherwise(F.col("text")).cast("binary"), 256).alias("content_sha256"), "quote", F.sha2(F.col("quote").cast("binary"), 256).alias("quote_sha256"),
+        (at + F.when(kind == 1, 1).otherwise(0)).alias("start"), (at + F.length("quote") + F.when(kind == 2, 1_000_000).otherwise(0)).alias("end"), F.lit(5).alias("sub_start"), F.when(kind == 3, 100_000).otherwise(25).alias("sub_end"),
+    )
+    return grounding.envelopes(rows).select("doc_id", "item_id", "status", "sub_sha256")
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) = CAST(q AS BIGINT) AS equal FROM lineitem JOIN (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity AS q FROM lineitem WHERE l_returnflag = 'R') ON k = l_orderkey AND n = l_linenumber")

@@ -9,6 +9,8 @@ from basalt.functions import text as X
 from basalt.operators import grounding
 from basalt.operators import records as R
 from basalt.plans.registry import query
+from basalt.sources import archive
+from basalt.tables import fresh_path
 
 NOW = "TIMESTAMP '2024-01-20'"
 
@@ -79,6 +81,23 @@ def snk06_capped_export(t):
     return R.export_plan(t.orders.select(F.col("o_orderkey").alias("version")), objects, 256, 33_554_432)
 
 
+@query("""SELECT 'nations' AS entry, md5('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS line FROM nation UNION ALL SELECT 'parts', md5('{"p_name":"' || p_name || '","p_partkey":' || p_partkey || '}') FROM part
+  UNION ALL SELECT 'originals', md5('{"included":' || (item_id % 3 = 0) || ',"name":"i' || item_id || '","reason":' || CASE item_id % 3 WHEN 0 THEN 'null' WHEN 1 THEN '"digest"' ELSE '"size"' END || ',"sha256":"' || sha256(CASE WHEN item_id % 3 = 1 THEN 'x' ELSE '' END || text) || '","size":' || (strlen(text) + CASE WHEN item_id % 3 = 2 THEN 1 ELSE 0 END) || '}') FROM benchmark
+  UNION ALL SELECT 'originals/i' || item_id, md5(replace(base64(encode(text)), chr(10), '')) FROM benchmark WHERE item_id % 3 = 0""")
+def snk03_archive(t):
+    """An archive written by a two-phase commit and read back: rows of tables, and originals whose size and digest are as stored."""
+    path = fresh_path(t.spark, "archive")
+    body = F.col("text").cast("binary")
+    k = F.col("item_id") % 3
+    originals = t.benchmark.select(
+        F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("name"), body.alias("content"), F.sha2(F.when(k == 1, F.concat(F.lit("x"), "text")).otherwise(F.col("text")).cast("binary"), 256).alias("sha256"),
+        (F.octet_length(body) + F.when(k == 2, 1).otherwise(0)).cast("long").alias("size"),
+    )
+    parts = t.part.select("p_partkey", "p_name")
+    archive.export_archive({"nations": t.nation, "parts": parts}, path, originals, records=10**9, record_bytes=1 << 40)
+    return archive.read_archive(t.spark, path)[0].select("entry", F.md5(F.col("line").cast("binary")).alias("line"))
+
+
 @query("""WITH j AS (SELECT 'customers' AS entry, to_json({'balance': CAST(FLOOR(c_acctbal) AS BIGINT), 'key': c_custkey, 'name': c_name}) AS record FROM customer UNION ALL SELECT 'orders', to_json({'customer': o_custkey, 'key': o_orderkey, 'status': o_orderstatus}) FROM orders)
   SELECT entry, COUNT(*) AS records, CAST(SUM(strlen(record) + 1) AS BIGINT) AS bytes, COUNT(*) <= 250000 AND SUM(strlen(record) + 1) <= 67108864 AS within_limits FROM j GROUP BY 1""")
 def snk03_export_entries(t):
@@ -159,10 +178,23 @@ def gnd01_evidence_pack(t):
     return _pack(t).drop("content")
 
 
-@query(f"""WITH {PACK} SELECT conv_id, COUNT(*) AS source_count, sha256(string_agg(ordinal || ':' || source_id || ':' || kind || ':' || content_sha256, chr(10) ORDER BY ordinal)) AS canonical_sha256,
-  CASE WHEN COUNT(*) > 64 THEN 'too many sources' WHEN bool_or(kind <> 'document' AND length(content) > 50000) THEN 'long snapshot' END AS fault FROM pack GROUP BY 1""")
+FAULTY = f"""{PACK}, located AS (SELECT conv_id, ordinal, CASE WHEN conv_id % 7 = 1 THEN 'X1' ELSE source_id END AS source_id, kind, CASE WHEN conv_id % 7 = 3 AND kind <> 'document' THEN repeat(content, 2000) ELSE content END AS content,
+    CASE WHEN conv_id % 7 = 2 THEN sha256(content || 'x') WHEN conv_id % 7 = 3 AND kind <> 'document' THEN sha256(repeat(content, 2000)) ELSE content_sha256 END AS content_sha256, CASE WHEN kind = 'document' THEN 'exact' ELSE 'unavailable' END AS locator,
+    CASE WHEN kind = 'document' THEN CAST(10 AS INTEGER) END AS start_char, CASE WHEN kind = 'document' THEN CAST(10 + length(content) + CASE WHEN conv_id % 7 = 4 THEN 1 ELSE 0 END AS INTEGER) END AS end_char FROM pack)"""
+
+
+@query(f"""WITH {FAULTY} SELECT conv_id, COUNT(*) AS source_count, sha256(string_agg(concat_ws(':', ordinal, source_id, kind, content_sha256, locator, start_char, end_char), chr(10) ORDER BY ordinal)) AS canonical_sha256,
+  CASE WHEN COUNT(*) > 64 THEN 'too many sources' WHEN bool_or(source_id = 'X1') THEN 'malformed id' WHEN bool_or(content_sha256 <> sha256(content)) THEN 'digest' WHEN bool_or(kind <> 'document' AND length(content) > 50000) THEN 'long snapshot'
+    WHEN bool_or(kind = 'document' AND end_char - start_char <> length(content)) THEN 'locator' END AS fault FROM located GROUP BY 1""")
 def gnd02_manifest(t):
-    return grounding.manifest(_pack(t), "conv_id")
+    """Manifests of packs with locators, of which some can't be frozen, each for another reason."""
+    k, other, document = F.col("conv_id") % 7, F.col("kind") != "document", F.col("kind") == "document"
+    pack = _pack(t).withColumn("source_id", F.when(k == 1, "X1").otherwise(F.col("source_id")))
+    long = F.when((k == 3) & other, F.repeat("content", F.lit(2_000))).otherwise(F.col("content"))
+    pack = pack.withColumn("content_sha256", F.when(k == 2, F.sha2(F.concat("content", F.lit("x")).cast("binary"), 256)).otherwise(F.sha2(long.cast("binary"), 256))).withColumn("content", long)
+    pack = pack.withColumn("locator", F.when(document, "exact").otherwise("unavailable")).withColumn("start_char", F.when(document, 10))
+    pack = pack.withColumn("end_char", F.when(document, 10 + F.length("content") + F.when(k == 4, 1).otherwise(0)))
+    return grounding.manifest(pack, "conv_id")
 
 
 @query(f"""WITH {PACK}, m AS (SELECT conv_id, COUNT(*) AS source_count, sha256(string_agg(ordinal || ':' || source_id || ':' || kind || ':' || content_sha256, chr(10) ORDER BY ordinal)) AS canonical FROM pack GROUP BY 1),

@@ -286,10 +286,12 @@ def ret02_top05_generation_delta(t):
     return retrieval.dense_with_generation(t.embeddings, members, _query_vector(t), 20).select("vec_id", F.round(1 - F.col("distance"), 6).alias("similarity"))
 
 
-@query(f"SELECT e.vec_id, {COSINE} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) >= 0.15 ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id LIMIT 5")
+@query(f"""WITH h AS (SELECT e.vec_id, {COSINE} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) >= 0.15 ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id LIMIT 5)
+  SELECT vec_id, similarity, label + CASE WHEN similarity IS NULL THEN 0 ELSE 1 END AS access_count FROM embeddings LEFT JOIN h USING (vec_id)""")
 def ret09_memory(t):
-    rows = t.embeddings.crossJoin(F.broadcast(_query_vector(t))).withColumn("s", retrieval.cosine(F.col("embedding"), F.col("q"))).where("s >= 0.15")
-    return rows.orderBy(F.desc("s"), "vec_id").limit(5).select("vec_id", F.round("s", 6).alias("similarity"))
+    """Recalled memories (the threshold before the limit), and all memories with the count of their recalls."""
+    hits, after = retrieval.recall_memories(t.embeddings.withColumn("access_count", F.col("label")), _query_vector(t), "vec_id", "embedding", 0.15)
+    return after.join(hits, "vec_id", "left").select("vec_id", F.round("similarity", 6).alias("similarity"), "access_count")
 
 
 RANKINGS = """rankings AS (SELECT user_id % 5 AS q, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS ranking_no, CAST(event_id % 40 AS VARCHAR) AS item,
@@ -342,11 +344,14 @@ def ret14_join13_neighbours(t):
     return graph.neighbours(edges(t), t.part.where("p_partkey BETWEEN 1 AND 3").select(F.col("p_partkey").alias("entity")))
 
 
-@query(f"""WITH {EDGES}, roots AS (SELECT unnest([1, 2, 3]) AS entity), one AS (SELECT * FROM ({HOP.format('roots')}) WHERE target NOT IN (SELECT entity FROM roots)),
+@query(f"""WITH {EDGES.replace('edges AS', 'every_edge AS', 1)}, edges AS (SELECT * FROM every_edge WHERE document IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')), roots AS (SELECT unnest([1, 2, 3]) AS entity), one AS (SELECT * FROM ({HOP.format('roots')}) WHERE target NOT IN (SELECT entity FROM roots)),
   mid AS (SELECT DISTINCT target AS entity FROM one), two AS (SELECT * FROM ({HOP.format('mid')}) WHERE target NOT IN (SELECT entity FROM roots))
-  SELECT document, LEAST(root, target) AS a, GREATEST(root, target) AS b, MIN(hop) AS hop FROM (SELECT *, 1 AS hop FROM one UNION ALL SELECT *, 2 FROM two) GROUP BY 1, 2, 3""")
+  SELECT document, LEAST(root, target) AS a, GREATEST(root, target) AS b, MIN(hop) AS hop FROM (SELECT *, 1 AS hop FROM one UNION ALL SELECT *, 2 FROM two) WHERE document IN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT') GROUP BY 1, 2, 3""")
 def ret15_traverse(t):
-    return graph.traverse(edges(t), t.part.where("p_partkey BETWEEN 1 AND 3").select(F.col("p_partkey").alias("entity")))
+    """Two hops over authorised documents, held against the authorisations of now before they are returned."""
+    document = F.col("o_orderkey").alias("document")
+    roots = t.part.where("p_partkey BETWEEN 1 AND 3").select(F.col("p_partkey").alias("entity"))
+    return graph.traverse(edges(t), roots, 40, t.orders.where("o_orderstatus != 'P'").select(document), t.orders.where("o_orderpriority != '1-URGENT'").select(document))
 
 
 @query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT 'd' || document AS a, 'e' || entity AS b FROM edges UNION ALL SELECT 'e' || entity, 'd' || document FROM edges),
@@ -366,10 +371,22 @@ def ret23_mention_scan(t):
     return edges(t).join(t.part.where("p_size > 40").select(F.col("p_partkey").alias("entity"), "p_brand"), "entity").orderBy(F.desc("frequency"), "document", "p_brand", "entity").limit(2001).select("document", "entity", "frequency", "p_brand")
 
 
-@query(f"""WITH {EDGES}, ok AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') SELECT COUNT(*) AS allowed, (SELECT COUNT(*) > 0 FROM orders WHERE o_orderstatus = 'P') AS degraded FROM edges WHERE document IN (SELECT o_orderkey FROM ok)""")
+AUTHORISED = """p AS (SELECT o_orderkey AS document, o_orderkey % 4 AS version, o_orderkey % 3 AS revision FROM orders WHERE o_orderkey % 10 <> 9),
+  d AS (SELECT o_orderkey AS document, (o_orderkey % 8) % 5 AS current_version, o_orderkey % 6 % 4 AS acknowledged, o_orderstatus = 'P' AS deleted, o_orderpriority = '1-URGENT' AS blocked, o_orderdate >= TIMESTAMP '2001-07-01' AS pending FROM orders)"""
+
+
+@query(f"""WITH {EDGES}, {AUTHORISED} SELECT p.document, CASE WHEN (SELECT bool_or(pending) FROM d) THEN 'degraded' ELSE 'complete' END AS status,
+  COALESCE(version = current_version AND revision = acknowledged AND NOT deleted AND NOT blocked, FALSE) AS allowed, COALESCE(n, 0) AS mentions FROM p LEFT JOIN d USING (document) LEFT JOIN (SELECT document, COUNT(*) AS n FROM edges GROUP BY 1) USING (document)""")
 def ret16_authorised_mentions(t):
-    allowed = edges(t).join(t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("document")), "document", "left_semi").agg(F.count("*").alias("allowed"))
-    return allowed.crossJoin(t.orders.agg((F.count(F.when(F.col("o_orderstatus") == "P", 1)) > 0).alias("degraded")))
+    """Which projected documents may be shown, with their mentions, and whether the graph is complete."""
+    k = F.col("o_orderkey")
+    projection = t.orders.where(k % 10 != 9).select(k.alias("document"), (k % 4).alias("version"), (k % 3).alias("revision"))
+    held = t.orders.select(
+        k.alias("document"), (k % 8 % 5).alias("current_version"), (k % 6 % 4).alias("acknowledged"), (F.col("o_orderstatus") == "P").alias("deleted"), (F.col("o_orderpriority") == "1-URGENT").alias("blocked"),
+        (F.col("o_orderdate") >= F.to_timestamp_ntz(F.lit("2001-07-01"))).alias("pending"),
+    )
+    counts = edges(t).groupBy("document").agg(F.count("*").alias("mentions"))
+    return graph.authorised(projection, held).join(counts, "document", "left").select("document", "status", "allowed", F.coalesce("mentions", F.lit(0)).alias("mentions"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN contains(lower(text), 'create') THEN 'tool' WHEN length(text) - length(replace(text, ' ', '')) + 1 > 35 THEN 'complex' ELSE 'simple' END AS route FROM conversations""")

@@ -136,7 +136,7 @@ def export_archive(tables: dict[str, DataFrame], path: str, originals: DataFrame
         lines = one if lines is None else lines.unionByName(one)
     if originals is not None:
         judged = written(verified_originals(originals), "originals")
-        held = judged.where("reason IS NULL").select(F.concat(F.lit("originals/"), "name").alias("entry"), F.base64("content").alias("line"))
+        held = judged.where("reason IS NULL").select(F.concat(F.lit("originals/"), "name").alias("entry"), F.regexp_replace(F.base64("content"), r"\s", "").alias("line"))
         listed = record_lines("originals", judged.select("name", "sha256", "size", "reason", F.col("reason").isNull().alias("included")))
         lines = listed.unionByName(held) if lines is None else lines.unionByName(listed).unionByName(held)
     if lines is None:
