@@ -13,21 +13,82 @@ from basalt.sources import parsers
 from basalt.streaming import outbox
 
 
-@query()
+GAP = r"[\s\x0b\x{85}\p{Z}\x1c-\x1f]"
+
+
+def chunks_sql(source: str, target: int, overlap: int) -> str:
+    """CTEs up to `chunks` (g, i, a, b, words): the chunks of each text of source (g, text) with spans in it: sentences, long ones as runs of words, and a recursion that goes from chunk to chunk over their sums."""
+    run = int((target - overlap) / 1.3)
+    word = f"[^{GAP[1:-1]}]+"
+    lead = f"length(p) - length(regexp_replace(p, '^{GAP}+', ''))"
+    tail = f"length(regexp_replace(p, '{GAP}+$', ''))"
+    return f"""src AS ({source}),
+  pieces AS (SELECT g, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT g, string_split(regexp_replace(text, '([.!?])({GAP}+)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM src)),
+  placed AS (SELECT g, i, p, CAST(SUM(length(p)) OVER (PARTITION BY g ORDER BY i) AS BIGINT) - length(p) AS pos, len(regexp_extract_all(p, '{word}')) AS w FROM pieces),
+  sentences AS (SELECT g, i, 0 AS j, pos + {lead} AS a, pos + {tail} AS b, w FROM placed WHERE w > 0 AND GREATEST(1, floor(w * 1.3::DOUBLE)) <= {target}),
+  parts AS (SELECT g, i, pos, unnest(xs) AS x, generate_subscripts(xs, 1) AS k FROM (SELECT g, i, pos, regexp_extract_all(p, '{word}|{GAP}+') AS xs FROM placed WHERE GREATEST(1, floor(w * 1.3::DOUBLE)) > {target})),
+  spans AS (SELECT g, i, k, x, pos + CAST(SUM(length(x)) OVER (PARTITION BY g, i ORDER BY k) AS BIGINT) - length(x) AS a FROM parts),
+  numbered AS (SELECT g, i, a, a + length(x) AS b, row_number() OVER (PARTITION BY g, i ORDER BY k) - 1 AS n FROM spans WHERE regexp_full_match(x, '{word}')),
+  units AS (SELECT g, i, j, a, b, w FROM sentences UNION ALL SELECT g, i, n // {run}, MIN(a), MAX(b), COUNT(*) FROM numbered GROUP BY 1, 2, 3),
+  lists AS (SELECT g, list(a ORDER BY i, j) AS sa, list(b ORDER BY i, j) AS sb, list(w ORDER BY i, j) AS ws, list_concat([0], list(t ORDER BY i, j)) AS sums, COUNT(*) AS n
+    FROM (SELECT *, CAST(SUM(GREATEST(1, floor(w * 1.3::DOUBLE))) OVER (PARTITION BY g ORDER BY i, j) AS BIGINT) AS t FROM units) GROUP BY 1),
+  steps(g, i, f, l) AS (SELECT g, 0, CAST(0 AS BIGINT), CAST(GREATEST(1, len([s FOR s IN sums IF s <= {target}]) - 1) AS BIGINT) FROM lists
+    UNION ALL SELECT g, i + 1, f2, CAST(GREATEST(l + 1, len([s FOR s IN sums IF s <= sums[f2 + 1] + {target}]) - 1) AS BIGINT) FROM (SELECT s.g, s.i, s.l, x.sums,
+      CAST(LEAST(l, GREATEST(f, len([s FOR s IN sums IF s < sums[l + 1] - {overlap}]), len([s FOR s IN sums IF s < sums[l + 2] - {target}]))) AS BIGINT) AS f2 FROM steps s JOIN lists x USING (g) WHERE l < n)),
+  chunks AS (SELECT g, i, sa[f + 1] AS a, sb[l] AS b, list_sum(ws[f + 1 : l]) AS words FROM steps JOIN lists USING (g))"""
+
+
+CHUNK_ROW = "CAST({0} AS INTEGER) AS chunk_index, CAST(a AS INTEGER) AS start_char, CAST(b AS INTEGER) AS end_char, CAST(GREATEST(1, floor(words * 1.3::DOUBLE)) AS INTEGER) AS token_count"
+
+
+@query(f"WITH RECURSIVE {chunks_sql('SELECT doc_id AS g, text FROM documents', 400, 50)} SELECT g AS doc_id, {CHUNK_ROW.format('i')} FROM chunks")
 def ing01_token_chunks(t):
     return chunking.chunk(t.documents, "doc_id", "text", "token").drop("content")
 
 
-@query()
+@query(f"WITH RECURSIVE {chunks_sql('SELECT doc_id AS g, text FROM documents', 450, 40)} SELECT g AS doc_id, {CHUNK_ROW.format('i')} FROM chunks")
 def ing02_sentence_chunks(t):
     return chunking.chunk(t.documents, "doc_id", "text", "semantic").drop("content")
 
 
-@query()
+#: Paragraphs with their place in the text: between empty lines, without the white space around them.
+PARAGRAPHS = f"""SELECT g, text FROM (SELECT {{'d': doc_id, 'i': i, 'pos': pos + length(p) - length(regexp_replace(p, '^{GAP}+', ''))}} AS g, regexp_replace(regexp_replace(p, '^{GAP}+', ''), '{GAP}+$', '') AS text FROM (SELECT doc_id, i, replace(p, chr(2), '') AS p, CAST(SUM(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - length(p) AS pos
+  FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '(\n[ \t]*\n+)', chr(1) || '\\1', 'g'), chr(1)) AS ps FROM documents)))) WHERE text <> ''"""
+
+
+@query(f"""WITH RECURSIVE {chunks_sql(PARAGRAPHS, 400, 50)}, whole AS (SELECT g, len(regexp_extract_all(text, '[^{GAP[1:-1]}]+')) AS words, length(text) AS n FROM src),
+  chosen AS (SELECT g, 0 AS i, 0 AS a, n AS b, words FROM whole WHERE GREATEST(1, floor(words * 1.3::DOUBLE)) <= 400 UNION ALL SELECT c.g, c.i, c.a, c.b, c.words FROM chunks c JOIN whole w ON w.g = c.g WHERE GREATEST(1, floor(w.words * 1.3::DOUBLE)) > 400)
+  SELECT g.d AS doc_id, CAST(row_number() OVER (PARTITION BY g.d ORDER BY g.i, i) - 1 AS INTEGER) AS chunk_index, CAST(g.pos + a AS INTEGER) AS start_char, CAST(g.pos + b AS INTEGER) AS end_char, CAST(GREATEST(1, floor(words * 1.3::DOUBLE)) AS INTEGER) AS token_count FROM chosen""")
 def ing03_recursive_chunks(t):
     return chunking.chunk(t.documents, "doc_id", "text", "recursive").drop("content")
 
 
+#: Markdown made of the documents: a preamble for some, a heading for the source, and one before every second sentence end.
+MARKDOWN = "CASE WHEN doc_id % 3 = 0 THEN 'About' || chr(10) ELSE '' END || '# ' || source || chr(10) || replace(text, '. ', '.' || chr(10) || chr(10) || '## Part ' || lang || chr(10) || '  ')"
+SECTIONS = f"""md AS (SELECT doc_id, {MARKDOWN} AS text FROM documents),
+  heads AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS i, len(ps) AS n FROM (SELECT doc_id, [x FOR x IN string_split(regexp_replace(text, '(?m)^(#{{1,6}}[ \t]+[^\n]+)$', chr(1) || '\\1' || chr(2), 'g'), chr(1))] AS ps FROM md)),
+  cut AS (SELECT doc_id, i, n, string_split(p, chr(2)) AS hb, CAST(SUM(length(replace(p, chr(2), ''))) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - length(replace(p, chr(2), '')) AS pos FROM heads),
+  bodies AS (SELECT doc_id, i, CASE WHEN len(hb) = 2 THEN trim(regexp_extract(hb[1], '^#+[ \t]+(.*)$', 1)) ELSE 'Preamble' END AS title, hb[-1] AS body, pos + CASE WHEN len(hb) = 2 THEN length(hb[1]) ELSE 0 END AS pos FROM cut),
+  sections AS (SELECT doc_id, title, i, CAST(pos + length(body) - length(regexp_replace(body, '^{GAP}+', '')) AS INTEGER) AS start_char, CAST(pos + length(regexp_replace(body, '{GAP}+$', '')) AS INTEGER) AS end_char FROM bodies WHERE regexp_replace(body, '{GAP}+', '') <> '')"""
+
+
+def _markdown(t):
+    text = F.concat(F.when(F.col("doc_id") % 3 == 0, "About\n").otherwise(""), F.lit("# "), "source", F.lit("\n"), F.replace(F.col("text"), F.lit(". "), F.concat(F.lit(".\n\n## Part "), "lang", F.lit("\n  "))))
+    return t.documents.select("doc_id", "lang", text.alias("text"))
+
+
+@query(f"""WITH RECURSIVE {SECTIONS}, {chunks_sql("SELECT {'d': doc_id, 'i': s.i, 'pos': start_char, 'title': title} AS g, substring(text, start_char + 1, end_char - start_char) AS text FROM sections s JOIN md USING (doc_id)", 400, 50)}
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g.i, c.i) - 1 AS INTEGER) AS chunk_index, CAST(g.pos + a AS INTEGER) AS start_char, CAST(g.pos + b AS INTEGER) AS end_char, g.title AS section,
+    md5('D' || doc_id || ' > ' || g.title || ': ' || substring(text, g.pos + a + 1, b - a)) AS contextualized FROM chunks c JOIN md ON md.doc_id = g.d""")
+def ing06_section_chunks(t):
+    """Sections of every document chunked each by themselves, with spans in the whole text."""
+    md = _markdown(t)
+    sections = parsers.markdown_sections(md, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "title", "page", "start_char", "end_char"))).alias("sections"))
+    docs = md.join(sections, "doc_id").withColumn("name", F.concat(F.lit("D"), F.col("doc_id").cast("string")))
+    made = chunking.section_chunks(docs, "doc_id", "text", "sections", "name")
+    return made.select("doc_id", "chunk_index", "start_char", "end_char", "section", F.md5(F.col("contextualized").cast("binary")).alias("contextualized"))
+
+
 @query("SELECT doc_id, CAST(0 AS INTEGER) AS chunk_index FROM documents WHERE FALSE")
 def ing07_span_violations(t):
     chunks = chunking.chunk(t.documents, "doc_id", "text", "token")
@@ -40,16 +101,18 @@ def ing12_fn20_embedding_norm(t):
     return made.select("doc_id", (F.abs(retrieval.norm(F.col("v")) - 1) < 1e-3).alias("unit"), F.size("v").alias("size"))
 
 
-@query("SELECT doc_id, 'Document Content' AS title, CAST(length(text) AS INTEGER) AS end_char FROM documents")
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'binary content' WHEN doc_id % 5 = 1 THEN 'not UTF-8' WHEN doc_id % 5 = 2 THEN 'no text' END AS error, CASE WHEN doc_id % 5 > 2 THEN 'Document Content' END AS title, CASE WHEN doc_id % 5 > 2 THEN CAST(length(text) AS INTEGER) END AS end_char FROM documents""")
 def src01_text_sections(t):
-    parsed = parsers.parse(t.documents.select("doc_id", F.col("text").alias("content"), F.lit("text").alias("parser")))
-    return parsed.select("doc_id", F.explode("parsed.sections").alias("s")).select("doc_id", "s.title", "s.end_char")
+    """Files of every kind of fault among the documents' texts, and the section of each sound one."""
+    k = F.col("doc_id") % 5
+    body = F.when(k == 0, F.concat(F.col("text").cast("binary"), F.lit(bytes([0])))).when(k == 1, F.concat(F.col("text").cast("binary"), F.lit(bytes([0xC3, 0x28])))).when(k == 2, F.lit(b" \n\t ")).otherwise(F.col("text").cast("binary"))
+    read = parsers.text_files(t.documents.select("doc_id", body.alias("content")), "doc_id", "content")
+    return read.select("doc_id", "error").join(parsers.text_sections(read, "doc_id"), "doc_id", "left").select("doc_id", "error", "title", "end_char")
 
 
-@query()
+@query(f"WITH {SECTIONS} SELECT doc_id, title, start_char, end_char FROM sections")
 def src02_markdown_sections(t):
-    marked = t.documents.select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n"), "text").alias("content"), F.lit("markdown").alias("parser"))
-    return parsers.parse(marked).select("doc_id", F.explode("parsed.sections").alias("s")).select("doc_id", "s.title", "s.start_char", "s.end_char")
+    return parsers.markdown_sections(_markdown(t), "doc_id").select("doc_id", "title", "start_char", "end_char")
 
 
 @query(r"SELECT doc_id, md5(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\s\x0b\x{85}\p{Z}\x1c-\x1f]+', ' ', 'g'))) AS folded FROM documents")

@@ -8,7 +8,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _HEADING = re.compile(r"^(#{1,6})\s+(.+)$", re.MULTILINE)
@@ -99,6 +99,49 @@ def docx(data: bytes) -> tuple[str, list]:
     return whole, out
 
 
+def text_files(files: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, error, text) of plain files: binary content, content that isn't UTF-8 and blank content are refused. In DataFrame functions."""
+    body = F.col(content).cast("binary")
+    text = body.cast("string")
+    error = (
+        F.when(body.isNull(), "no text")
+        .when(F.instr(text, "\0") > 0, "binary content")
+        .when(~F.is_valid_utf8(text), "not UTF-8")
+        .when(F.regexp_replace(text, r"(?U)\s+", "") == "", "no text")
+    )
+    return files.select(key, error.alias("error"), F.when(error.isNull(), text).alias("text"))
+
+
+def text_sections(texts: DataFrame, key: str) -> DataFrame:
+    """(key, section, title, page, start_char, end_char): one section for each text."""
+    return texts.where("text IS NOT NULL").select(key, F.lit(0).alias("section"), F.lit("Document Content").alias("title"), F.lit(1).alias("page"), F.lit(0).alias("start_char"), F.length("text").alias("end_char"))
+
+
+def markdown_sections(texts: DataFrame, key: str) -> DataFrame:
+    """(key, section, title, page, start_char, end_char) of Markdown texts (key, text): a section for each heading with a body, its body without the white space around it.
+
+    A heading is one to six # at the start of a line, white space and a title on the same line. Text before the first is the preamble; a text
+    without headings is one section. In DataFrame functions: texts are split before their headings, and lengths added up by document.
+    """
+    head = r"(?md)\A#{1,6}[^\S\n]+(.+)$"
+    pieces = texts.where("text IS NOT NULL").select(key, F.posexplode(F.split("text", r"(?md)(?=^#{1,6}[^\S\n]+.+$)")).alias("section", "piece"))
+    before = F.sum(F.length("piece")).over(Window.partitionBy(key).orderBy("section").rowsBetween(Window.unboundedPreceding, -1))
+    every = F.count("*").over(Window.partitionBy(key))
+    marked = pieces.withColumn("at", F.coalesce(before, F.lit(0))).withColumn("headed", F.col("piece").rlike(head)).withColumn("only", (every == 1) & ~F.col("headed"))
+    mark = F.regexp_extract("piece", head, 0)
+    body = F.when(F.col("headed"), F.expr("substring(piece, length(mark) + 1)")).otherwise(F.col("piece"))
+    cut = marked.withColumn("mark", mark).withColumn("body", body).withColumn("at", F.col("at") + F.when(F.col("headed"), F.length("mark")).otherwise(0))
+    bare = F.regexp_replace("body", r"(?U)^\s+", "")
+    start = F.col("at") + F.length("body") - F.length(bare)
+    end = F.col("at") + F.length(F.regexp_replace("body", r"(?U)\s+$", ""))
+    title = F.when(F.col("headed"), F.trim(F.regexp_extract("piece", head, 1))).when(F.col("only"), "Main Content").otherwise("Preamble")
+    whole = F.col("only")
+    kept = cut.where(whole | (bare != ""))
+    return kept.select(
+        key, "section", title.alias("title"), F.lit(1).alias("page"), F.when(whole, 0).otherwise(start).cast("int").alias("start_char"), F.when(whole, F.length("piece")).otherwise(end).cast("int").alias("end_char")
+    )
+
+
 PARSERS = {"text": plain, "markdown": markdown, "pdf": pdf, "pages": pages, "docx": docx}
 
 
