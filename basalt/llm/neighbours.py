@@ -10,10 +10,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from basalt.llm.common import crc_mod, kept_where, ship, slices, with_read_texts
+from basalt.llm.common import crc_mod, kept_where, materialize, ship, slices, with_read_texts
 from basalt.llm.labelled import labelled_sample
 from basalt.llm.words import NOT_ALNUM, Spans, Words, flat, runs, same_bytes
 
@@ -185,9 +187,15 @@ def relevance(term: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Index:
+    """fit() without the counts: texts are read for the examples and for the document frequencies."""
+    return fit(docs, labels, sample_rows)[0]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, keep_counts: bool = False) -> tuple[Index, DataFrame | None]:
     """Examples and terms from at most sample_rows labelled documents whose crc32(doc_id) mod 3 isn't 1; document frequencies from all of docs.
 
     The sample, bounded by rows and by SAMPLE_BYTES, bounds all that reaches the driver and is sent to the tasks: the examples' words. Each text is one example, however many copies the sample has.
+    With keep_counts the second result is (doc_id, terms, counts) of every row of docs, written: what scoring needs of a text.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -229,8 +237,29 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         some = np.flatnonzero(held)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(held[some])], ["term", "n"])
 
+    def count_texts(batches):
+        vocabulary = shared.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                row, found, times = counted(part.column(1), vocabulary)
+                offsets = pa.array(np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32))
+                yield pa.record_batch([part.column(0), *[pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (found, times)]], ["doc_id", "terms", "counts"])
+
+    def frequency_of_counts(batches):
+        held = np.zeros(len(shared.value) + 1, np.int64)
+        for batch in batches:
+            held[:-1] += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=len(held) - 1)
+            held[-1] += len(batch)
+        some = np.flatnonzero(held)
+        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(held[some])], ["term", "n"])
+
+    counts = None
+    if keep_counts:
+        schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("terms array<int>, counts array<int>")])
+        counts = materialize(docs.select("doc_id", "text").mapInArrow(count_texts, schema), "term-counts")
+    source, summed = (docs.select("text"), frequency) if counts is None else (counts.select("terms"), frequency_of_counts)
     seen = np.zeros(len(vocabulary) + 1)
-    rows = docs.select("text").mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # the sample's terms and one row
+    rows = source.mapInArrow(summed, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # the sample's terms and one row
     seen[rows["term"].to_numpy()] = rows["n"].to_numpy()
     idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
     row = np.repeat(np.arange(len(ids)), size)
@@ -252,7 +281,33 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     index.build(row, term, weight)
     if len(ids):
         index.calibrate(row, term, weight, np.unique(np.linspace(0, len(ids) - 1, min(len(ids), CALIBRATED)).astype(int)))
-    return index
+    return index, counts
+
+
+def _evidence(index: Index, row: np.ndarray, term: np.ndarray, count: np.ndarray, rows: int) -> list[pa.Array]:
+    """Score, nearest example and its cosine of texts given by their terms and counts."""
+    weight = index.unit(row, term, count, rows) if len(row) else np.zeros(0)
+    limits = np.searchsorted(row, np.arange(rows + 1)).tolist()
+    out = []
+    for a, b in zip(limits, limits[1:], strict=False):
+        found, cosine = index.nearest(term[a:b], weight[a:b]) if b > a else ((), ())
+        out.append((index.score(index.vote(found, cosine)), str(index.ids[found[0]]), float(cosine[0])) if len(found) else (index.without, None, None))
+    columns = zip(*out, strict=True) if out else ((), (), ())
+    return [pa.array(x, t) for x, t in zip(columns, (pa.float64(), pa.string(), pa.float64()), strict=True)]
+
+
+def score_counts(counts: DataFrame, index: Index) -> DataFrame:
+    """(doc_id, score, nearest_example, nearest_cosine) of fit()'s counts."""
+    shared = counts.sparkSession.sparkContext.broadcast(index)  # SAMPLE_ROWS examples at most
+    schema = T.StructType([counts.schema["doc_id"], *T.StructType.fromDDL("score double, nearest_example string, nearest_cosine double")])
+
+    def work(batches):
+        for batch in batches:
+            size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            term, count = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_evidence(shared.value, np.repeat(np.arange(len(batch)), size), term, count, len(batch))], schema.names)
+
+    return counts.mapInArrow(work, schema)
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
@@ -263,15 +318,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
     def read(texts):
         index = shared.value
-        row, term, count = counted(texts, index.vocabulary)
-        weight = index.unit(row, term, count, len(texts)) if len(row) else np.zeros(0)
-        limits = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
-        out = []
-        for a, b in zip(limits, limits[1:], strict=False):
-            found, cosine = index.nearest(term[a:b], weight[a:b]) if b > a else ((), ())
-            out.append((index.score(index.vote(found, cosine)), str(index.ids[found[0]]), float(cosine[0])) if len(found) else (index.without, None, None))
-        columns = zip(*out, strict=True) if out else ((), (), ())
-        return [pa.array(x, t) for x, t in zip(columns, (pa.float64(), pa.string(), pa.float64()), strict=True)]
+        return _evidence(index, *counted(texts, index.vocabulary), len(texts))
 
     return with_read_texts(docs, "score double, nearest_example string, nearest_cosine double", read)
 
@@ -283,5 +330,6 @@ def keep_below(docs: DataFrame, index: Index, threshold: float) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted, and the nearest example as evidence, for every row of docs. Null texts are empty; repeated rows are scored each."""
-    scored = score(docs.select("doc_id", "text"), train(docs, labels))
+    index, counts = fit(docs, labels, keep_counts=True)
+    scored = score_counts(counts, index)
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "nearest_example", "nearest_cosine")

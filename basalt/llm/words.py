@@ -83,6 +83,8 @@ class Spans:
                 self._sums.append(total)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if (end - start).max(initial=0) <= STRETCH:
+            return self._short(start, end)
         out = self._short(start, np.minimum(end, start + STRETCH))
         for i in np.flatnonzero(end - start > STRETCH).tolist():
             edges = np.append(np.arange(start[i], end[i], STRETCH), end[i])
