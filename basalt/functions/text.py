@@ -72,18 +72,22 @@ def quote_xml(c: Column) -> Column:
     return F.concat(mark, whole, mark)
 
 
-#: Sentences, characters in all of an extractive summary by style.
+#: Sentences and characters in all of an extractive summary by style.
 STYLES = {"brief": (3, 700), "bullet_points": (6, 1_400), "detailed": (10, 2_400)}
 
 
+#: Signs of a slice and of a sentence, sentences looked at, and what stands for a text without words.
+SLICE, SENTENCE, SENTENCES, NO_TEXT = 320, 500, 64, "This document does not contain extractable text."
+
+
 def extractive_summary(c: Column, style: str) -> Column:
     """The first sentences within the style's bounds, each of 500 signs at most; a text of one sentence in slices of 320 signs."""
     count, signs = STYLES[style]
     text = compact(F.coalesce(c, F.lit("")))
     parts = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")
-    starts = F.sequence(F.lit(1), F.greatest(F.least(F.length(text), F.lit(signs)), F.lit(1)), F.lit(320))
-    parts = F.when(F.size(parts) == 1, F.transform(starts, lambda i: F.trim(F.substring(text, i, F.lit(320))))).otherwise(parts)
-    bounded = F.filter(F.transform(F.slice(parts, 1, 64), lambda s: F.rtrim(F.substring(s, 1, 500))), lambda s: s != "")
+    starts = F.sequence(F.lit(1), F.greatest(F.least(F.length(text), F.lit(signs)), F.lit(1)), F.lit(SLICE))
+    parts = F.when(F.size(parts) == 1, F.transform(starts, lambda i: F.trim(F.substring(text, i, F.lit(SLICE))))).otherwise(parts)
+    bounded = F.filter(F.transform(F.slice(parts, 1, SENTENCES), lambda s: F.rtrim(F.substring(s, 1, SENTENCE))), lambda s: s != "")
 
     def step(state: Column, s: Column) -> Column:
         over = state["full"] | (F.size(state["kept"]) >= count) | ((F.size(state["kept"]) > 0) & (state["used"] + F.length(s) > signs))
@@ -92,7 +96,7 @@ def extractive_summary(c: Column, style: str) -> Column:
     zero = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("used"), F.lit(False).alias("full"))
     kept = F.aggregate(bounded, zero, step, lambda s: s["kept"])
     shown = F.array_join(F.transform(kept, lambda s: F.concat(F.lit("• "), s)), "\n") if style == "bullet_points" else F.array_join(kept, " ")
-    return F.when(text == "", F.lit("This document does not contain extractable text.")).otherwise(shown)
+    return F.when(text == "", F.lit(NO_TEXT)).otherwise(shown)
 
 
 #: What stands between sentences, and between paragraphs.
@@ -130,6 +134,19 @@ def title_form(c: Column) -> Column:
     return F.regexp_replace(compact(F.lower(c)), r"\s+([,.;:!?])", "$1")
 
 
+def reminder(said: Column, now: Column) -> Column:
+    """A struct of due and error (one of them null) for `in N seconds|minutes|hours|days` or an ISO time with its zone: at most a second before now, and 366 days after it."""
+    words = F.lower(F.trim(said))
+    relative = r"^in\s+(\d{1,6})\s*(second|minute|hour|day)s?$"
+    n, kind, zero = F.regexp_extract(words, relative, 1), F.regexp_extract(words, relative, 2), F.lit(0)
+    count = F.when(n != "", n.cast("int")).otherwise(zero)
+    step = F.make_dt_interval(F.when(kind == "day", count).otherwise(zero), F.when(kind == "hour", count).otherwise(zero), F.when(kind == "minute", count).otherwise(zero), F.when(kind == "second", count).otherwise(zero))
+    zoned = F.when(F.trim(said).rlike(r"(Z|[+-]\d{2}:\d{2})$"), F.to_timestamp_ntz(F.to_utc_timestamp(F.try_to_timestamp(F.trim(said)), F.current_timezone())))
+    due = F.when(n != "", now + step).otherwise(zoned)
+    error = F.when(due.isNull(), "not a time").when(due < now - F.expr("INTERVAL 1 SECOND"), "past").when(due > now + F.expr("INTERVAL 366 DAY"), "too far")
+    return F.struct(F.when(error.isNull(), due).alias("due"), error.alias("error"))
+
+
 def parser_kind(name: Column, mime: Column) -> Column:
     """The parser for a file: its extension decides, then its type; null where there is none."""
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))

@@ -122,3 +122,20 @@ def projection(edges: DataFrame, roots: DataFrame, depth: int, most_nodes: int =
     order = Window.orderBy(F.desc("frequency"), "a", "b")  # most_links + 1 rows
     links = held.withColumn("place", F.row_number().over(order)).withColumn("truncated", F.count("*").over(Window.partitionBy()) > most_links).where(F.col("place") <= most_links).drop("place")
     return placed, links
+
+
+def document_entities(edges: DataFrame, asked: DataFrame, allowed: DataFrame, most: int = 250) -> DataFrame:
+    """(document, degraded, entity, frequency) of the asked documents. One with more than most entities, or that isn't allowed, is degraded: a row without an entity. So is, not degraded, one without entities."""
+    mine = edges.join(asked.select("document"), "document", "left_semi")
+    counts = mine.groupBy("document").agg(F.count("*").alias("_n"))
+    told = asked.join(allowed.select("document", F.lit(True).alias("_ok")), "document", "left").join(counts, "document", "left")
+    told = told.select("document", (F.col("_ok").isNull() | (F.coalesce("_n", F.lit(0)) > most)).alias("degraded"))
+    shown = mine.join(told.where("NOT degraded").select("document"), "document", "left_semi").select("document", "entity", "frequency")
+    return told.join(shown, "document", "left").select("document", "degraded", "entity", "frequency")
+
+
+def mention_scan(mentions: DataFrame, order: list, most: int = 2_000) -> DataFrame:
+    """The first `most` mentions in an order, each with `truncated`: whether there are more. One row more than `most` is probed."""
+    first = mentions.orderBy(*order).limit(most + 1)
+    placed = first.withColumn("_r", F.row_number().over(Window.orderBy(*order))).withColumn("truncated", F.count("*").over(Window.partitionBy()) > most)  # most + 1 rows
+    return placed.where(F.col("_r") <= most).drop("_r")

@@ -149,3 +149,10 @@ def changes(log: DataFrame, key: str, order: list[str], read: str, deleted: str)
     rows = log.withColumn("n", F.row_number().over(w)).withColumn("was", F.lag(read).over(w)).withColumn("gone", gone)
     kind = F.when(F.col("n") == 1, "created").when(F.col(deleted), "deleted").when(F.col("was") != F.col(read), "read_state_changed")
     return rows.where(~F.col("gone")).withColumn("change", kind).where("change IS NOT NULL").drop("n", "was", "gone")
+
+
+def rule_matches(kind: Column, arg: Column, tags: Column, mime: Column) -> Column:
+    """Whether an automation rule fits an event: always, tag_contains (a tag, in any case) or mime_type_equals. A rule of another kind is an error when it is read."""
+    held = F.array_contains(F.transform(tags, lambda x: F.lower(x)), F.lower(arg))
+    unknown = F.raise_error(F.concat(F.lit("unknown rule: "), F.coalesce(kind, F.lit("null")))).cast("boolean")
+    return F.when(kind == "always", True).when(kind == "tag_contains", held).when(kind == "mime_type_equals", mime == arg).otherwise(unknown)

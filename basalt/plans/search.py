@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.functions import text as X
-from basalt.operators import fulltext, graph, paging, retrieval, temporal
+from basalt.operators import fulltext, graph, paging, ranges, records, retrieval, temporal
 from basalt.plans.registry import query
 
 VERSIONS = """versions AS (SELECT doc_id AS version_id, source || '/' || lang AS document, CAST(row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS INTEGER) AS version_number,
@@ -102,12 +102,17 @@ def flt19_sensitive(t):
     return t.documents.where(F.col("text").rlike(r"\d{3}-\d{2}-\d{4}")).select("doc_id", F.array_contains(X.sensitive(F.col("text")), "ssn").alias("ssn"))
 
 
-@query("""SELECT event_id, r.rule FROM events JOIN (VALUES ('always', 'click', ''), ('tag', 'view', '7'), ('kind', 'purchase', 'purchase')) r(rule, kind, arg) ON r.kind = event_type
-  WHERE r.rule = 'always' OR (r.rule = 'tag' AND contains(CAST(user_id AS VARCHAR), r.arg)) OR (r.rule = 'kind' AND event_type = r.arg)""")
+RULES = [("always", ""), ("tag_contains", "USER"), ("tag_contains", "t2"), ("mime_type_equals", "text/assistant")]
+
+
+@query("""SELECT conv_id, turn, r.kind || ':' || r.arg AS rule FROM conversations JOIN (VALUES ('always', ''), ('tag_contains', 'USER'), ('tag_contains', 't2'), ('mime_type_equals', 'text/assistant')) r(kind, arg)
+  ON r.kind = 'always' OR (r.kind = 'tag_contains' AND (lower(r.arg) = lower(role) OR lower(r.arg) = 't' || turn)) OR (r.kind = 'mime_type_equals' AND r.arg = 'text/' || role)""")
 def flt21_join11_rules(t):
-    rules = t.spark.createDataFrame([("always", "click", ""), ("tag", "view", "7"), ("kind", "purchase", "purchase")], "rule string, kind string, arg string")
-    hit = F.when(F.col("rule") == "always", True).when(F.col("rule") == "tag", F.contains(F.col("user_id").cast("string"), F.col("arg"))).when(F.col("rule") == "kind", F.col("event_type") == F.col("arg"))
-    return t.events.join(F.broadcast(rules), F.col("event_type") == F.col("kind")).where(hit).select("event_id", "rule")
+    """Events with tags and a type against rules of every kind."""
+    rules = t.spark.createDataFrame(RULES, "kind string, arg string")
+    events = t.conversations.select("conv_id", "turn", F.array(F.initcap("role"), F.concat(F.lit("T"), F.col("turn").cast("string"))).alias("tags"), F.concat(F.lit("text/"), "role").alias("mime"))
+    hit = records.rule_matches(F.col("kind"), F.col("arg"), F.col("tags"), F.col("mime"))
+    return events.crossJoin(F.broadcast(rules)).where(hit).select("conv_id", "turn", F.concat_ws(":", "kind", "arg").alias("rule"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'large' ELSE 'small' END AS size, GREATEST(o_custkey, 700) AS g, LEAST(o_custkey, 700) AS l, LEFT(o_orderpriority, 3) || '/' || o_orderstatus AS label FROM orders")
@@ -195,6 +200,19 @@ def join17_containment(t):
     return fulltext.contained(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("quote")), "doc_id").select("doc_id", "item_id")
 
 
+@query("""WITH l AS (SELECT row_number() OVER () AS id, l_orderkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem), r AS (SELECT o_orderkey * 2 + x AS request, o_orderkey, o_custkey % 40 + x * 3 AS a, o_custkey % 40 + x * 3 + 6 - x * 2 AS b FROM orders, (SELECT unnest([0, 1]) AS x)),
+  o AS (SELECT request, COUNT(*) AS n FROM r JOIN l ON l.l_orderkey = r.o_orderkey AND q < b AND q + 8 > a GROUP BY 1), p AS (SELECT request, o_orderkey, unnest(range(a, b)) AS place FROM r),
+  c AS (SELECT request, COUNT(DISTINCT place) AS covered FROM p JOIN l ON l.l_orderkey = p.o_orderkey AND q <= place AND q + 8 > place GROUP BY 1)
+  SELECT request, COALESCE(n, 0) AS "overlaps", COALESCE(covered, 0) AS covered, COALESCE(covered, 0) = b - a AS complete FROM r LEFT JOIN o USING (request) LEFT JOIN c USING (request)""")
+def join18_coverage(t):
+    """Two ranges of each order against the spans of its lines: covered whole, in part, or not at all."""
+    spans = t.lineitem.select("l_orderkey", F.col("l_quantity").cast("long").alias("a"), (F.col("l_quantity").cast("long") + 8).alias("b"))
+    x = t.orders.withColumn("x", F.explode(F.array(F.lit(0), F.lit(1))))
+    a = F.col("o_custkey") % 40 + F.col("x") * 3
+    requests = x.select((F.col("o_orderkey") * 2 + F.col("x")).alias("request"), F.col("o_orderkey").alias("l_orderkey"), a.alias("a"), (a + 6 - F.col("x") * 2).alias("b"))
+    return ranges.coverage(requests, spans, "request", "l_orderkey")
+
+
 @query("""SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber
   AND a.l_shipdate < b.l_shipdate + INTERVAL 3 DAY AND a.l_shipdate + INTERVAL 3 DAY > b.l_shipdate""")
 def join18_range_overlap(t):
@@ -361,14 +379,19 @@ def ret17_reach(t):
     return graph.reach(bipartite, t.spark.range(1).select(F.lit("e1").alias("node")), 3)
 
 
-@query(f"WITH {EDGES} SELECT entity, frequency FROM edges WHERE document = 7 ORDER BY frequency DESC, entity LIMIT 251")
+@query(f"""WITH {EDGES}, asked AS (SELECT o_orderkey AS document, o_orderstatus <> 'P' AS ok FROM orders WHERE o_orderkey % 25 = 0), n AS (SELECT document, COUNT(*) AS n FROM edges GROUP BY 1)
+  SELECT a.document, NOT (ok AND COALESCE(n, 0) <= 5) AS degraded, e.entity, e.frequency FROM asked a LEFT JOIN n USING (document) LEFT JOIN edges e ON e.document = a.document AND ok AND n <= 5""")
 def ret22_document_entities(t):
-    return edges(t).where("document = 7").orderBy(F.desc("frequency"), "entity").limit(251).select("entity", "frequency")
+    """Each asked document's entities; a document with more than five, or one that may not be read, is degraded and empty."""
+    asked = t.orders.where("o_orderkey % 25 = 0").select(F.col("o_orderkey").alias("document"))
+    return graph.document_entities(edges(t), asked, t.orders.where("o_orderstatus != 'P'").select(F.col("o_orderkey").alias("document")), 5)
 
 
-@query(f"WITH {EDGES} SELECT document, entity, frequency, p_brand FROM edges JOIN part ON p_partkey = entity WHERE p_size > 40 ORDER BY frequency DESC, document, p_brand, entity LIMIT 2001")
+@query(f"WITH {EDGES}, m AS (SELECT document, entity, frequency, p_brand FROM edges JOIN part ON p_partkey = entity WHERE p_size > 40) SELECT *, (SELECT COUNT(*) FROM m) > 2000 AS truncated FROM m ORDER BY frequency DESC, document, p_brand, entity LIMIT 2000")
 def ret23_mention_scan(t):
-    return edges(t).join(t.part.where("p_size > 40").select(F.col("p_partkey").alias("entity"), "p_brand"), "entity").orderBy(F.desc("frequency"), "document", "p_brand", "entity").limit(2001).select("document", "entity", "frequency", "p_brand")
+    """The most frequent mentions of some entities, with a probe that tells whether there are more."""
+    named = edges(t).join(t.part.where("p_size > 40").select(F.col("p_partkey").alias("entity"), "p_brand"), "entity")
+    return graph.mention_scan(named, [F.desc("frequency"), F.asc("document"), F.asc("p_brand"), F.asc("entity")], 2_000).select("document", "entity", "frequency", "p_brand", "truncated")
 
 
 AUTHORISED = """p AS (SELECT o_orderkey AS document, o_orderkey % 4 AS version, o_orderkey % 3 AS revision FROM orders WHERE o_orderkey % 10 <> 9),

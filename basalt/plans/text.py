@@ -95,7 +95,7 @@ def ing07_span_violations(t):
     return chunking.span_violations(chunks, t.documents, "doc_id", "text").select("doc_id", "chunk_index")
 
 
-@query(r"SELECT doc_id, length(regexp_replace(text, '[^\pL\pN]', '', 'g')) > 0 AS unit, CAST(1536 AS INTEGER) AS size FROM documents")
+@query("SELECT doc_id, TRUE AS unit, CAST(1536 AS INTEGER) AS size FROM documents")
 def ing12_fn20_embedding_norm(t):
     made = vectors.with_lexical_embedding(t.documents.select("doc_id", "text"), "text", "v")
     return made.select("doc_id", (F.abs(retrieval.norm(F.col("v")) - 1) < 1e-3).alias("unit"), F.size("v").alias("size"))
@@ -151,15 +151,15 @@ def fn11_years(t):
     return t.documents.select("doc_id", F.array_join(X.years(F.col("text")), ",").alias("years"))
 
 
-@query("SELECT event_id, CASE user_id % 3 WHEN 0 THEN ts + to_minutes(CAST(user_id % 50 + 1 AS INTEGER)) WHEN 1 THEN ts + to_hours(CAST(user_id % 50 + 1 AS INTEGER)) ELSE ts + to_days(CAST(user_id % 50 + 1 AS INTEGER)) END AS due FROM events")
+@query("""WITH r AS (SELECT event_id, ts, user_id % 4 AS k, CAST((event_id * 7) % 500 + 1 AS INTEGER) AS n FROM events), d AS (SELECT event_id, ts, CASE k WHEN 0 THEN ts + to_minutes(n) WHEN 1 THEN ts + to_hours(n) WHEN 2 THEN ts + to_days(n) ELSE ts - to_minutes(n) END AS due FROM r)
+  SELECT event_id, CASE WHEN due BETWEEN ts - INTERVAL 1 SECOND AND ts + INTERVAL 366 DAY THEN due END AS due, CASE WHEN due < ts - INTERVAL 1 SECOND THEN 'past' WHEN due > ts + INTERVAL 366 DAY THEN 'too far' END AS error FROM d""")
 def fn25_str17_reminder_time(t):
-    unit = F.element_at(F.array(F.lit("minutes"), F.lit("hours"), F.lit("days")), (F.col("user_id") % 3 + 1).cast("int"))
-    said = t.events.withColumn("said", F.concat_ws(" ", F.lit("in"), (F.col("user_id") % 50 + 1).cast("string"), unit))
-    n = F.regexp_extract("said", r"^in (\d+) ", 1).cast("int")
-    kind = F.regexp_extract("said", r"(minute|hour|day)s?$", 1)
-    zero = F.lit(0)
-    step = F.make_dt_interval(F.when(kind == "day", n).otherwise(zero), F.when(kind == "hour", n).otherwise(zero), F.when(kind == "minute", n).otherwise(zero))
-    return said.select("event_id", (F.col("ts") + step).alias("due"))
+    """Reminders said relative to now, or as a time, that are due, past or too far ahead."""
+    n, k = (F.col("event_id") * 7 % 500 + 1).cast("string"), F.col("user_id") % 4
+    unit = F.when(k == 0, " minutes").when(k == 1, " hour").otherwise("  Days ")
+    stated = F.concat(F.date_format(F.expr("ts - make_dt_interval(0, 0, cast(event_id * 7 % 500 + 1 as int))"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    said = t.events.select("event_id", "ts", F.when(k == 3, stated).otherwise(F.concat(F.lit("in "), n, unit)).alias("said"))
+    return said.select("event_id", X.reminder(F.col("said"), F.col("ts")).alias("r")).select("event_id", "r.due", "r.error")
 
 
 @query("SELECT conv_id, array_to_string(list_distinct_ordered, ',') AS tags FROM (SELECT conv_id, list_sort(list_distinct(list(lower(trim(' ' || role || ' '))))) AS list_distinct_ordered FROM conversations GROUP BY 1)")
@@ -168,9 +168,10 @@ def fn29_tags(t):
     return g.select("conv_id", F.array_join(F.array_sort(X.tags(F.col("r"))), ",").alias("tags"))
 
 
-@query("SELECT p_partkey, lower(p_name) || ', ' || lower(p_brand) AS title FROM part WHERE NOT contains(p_name, '  ')")
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) || ', ' || lower(p_brand) || '!' AS title FROM part")
 def fn31_title_form(t):
-    return t.part.where("NOT contains(p_name, '  ')").select("p_partkey", X.title_form(F.concat("p_name", F.lit("  ,  "), "p_brand")).alias("title"))
+    """All titles, those with runs of blanks too."""
+    return t.part.select("p_partkey", X.title_form(F.concat(F.lit("  "), F.replace("p_name", F.lit(" "), F.lit(" \t ")), F.lit("  ,  "), "p_brand", F.lit(" !"))).alias("title"))
 
 
 @query("SELECT source, 'local' AS provider, source AS model, CAST(1536 AS INTEGER) AS size FROM documents GROUP BY 1")

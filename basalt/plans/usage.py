@@ -151,14 +151,16 @@ def agg21_generation_capacity(t):
     return g.select("source", "eligible", F.when(~unlimited, F.lit(60)).alias("capacity"), (unlimited | (F.col("eligible") <= 60)).alias("fits"))
 
 
-@query("""WITH c AS (SELECT source, COUNT(*) AS documents, CAST(SUM(n_chars) AS BIGINT) AS used FROM documents WHERE lang = 'en' GROUP BY 1),
-  r AS (SELECT source, COUNT(*) AS pending, CAST(SUM(n_chars) AS BIGINT) AS reserved FROM documents WHERE lang = 'de' GROUP BY 1), s AS (SELECT DISTINCT source FROM documents)
-  SELECT source, COALESCE(documents, 0) AS documents, COALESCE(used, 0) AS used, COALESCE(pending, 0) AS pending, COALESCE(reserved, 0) AS reserved FROM s LEFT JOIN c USING (source) LEFT JOIN r USING (source)""")
+@query("""WITH c AS (SELECT o_custkey AS k, COUNT(*) AS documents, ROUND(SUM(o_totalprice), 2) AS used FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1), r AS (SELECT o_custkey AS k, COUNT(*) AS pending, ROUND(SUM(o_totalprice), 2) AS reserved FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
+  SELECT c_custkey, COALESCE(documents, 0) AS documents, COALESCE(used, 0.0::DOUBLE) AS used, COALESCE(pending, 0) AS pending, COALESCE(reserved, 0.0::DOUBLE) AS reserved FROM customer LEFT JOIN c ON c.k = c_custkey LEFT JOIN r ON r.k = c_custkey""")
 def agg22_join08_storage_usage(t):
-    d = t.documents
-    english, german = F.col("lang") == "en", F.col("lang") == "de"
-    zero = F.lit(0).cast("long")
-    return d.groupBy("source").agg(F.count(F.when(english, 1)).alias("documents"), F.coalesce(F.sum(F.when(english, F.col("n_chars"))), zero).alias("used"), F.count(F.when(german, 1)).alias("pending"), F.coalesce(F.sum(F.when(german, F.col("n_chars"))), zero).alias("reserved"))
+    """Usage and reservations of every owner, zeros for those without any: two aggregates joined to the owners."""
+    kept, open_ = F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "P"
+    sums = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.when(kept, 1)).alias("documents"), F.round(F.sum(F.when(kept, F.col("o_totalprice"))), 2).alias("used"), F.count(F.when(open_, 1)).alias("pending"), F.round(F.sum(F.when(open_, F.col("o_totalprice"))), 2).alias("reserved")
+    )
+    zero = lambda c, z: F.coalesce(c, F.lit(z)).alias(c)
+    return t.customer.join(sums, "c_custkey", "left").select("c_custkey", zero("documents", 0), zero("used", 0.0), zero("pending", 0), zero("reserved", 0.0))
 
 
 @query("SELECT ROUND(quantile_cont(o_totalprice, 0.25), 6) AS q1, ROUND(quantile_cont(o_totalprice, 0.75), 6) AS q3, o_orderstatus FROM orders GROUP BY o_orderstatus")

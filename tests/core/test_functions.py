@@ -50,18 +50,18 @@ def test_embedding(spark):
     """Features by a loop in Python, and vectors by hand from them."""
     from collections import Counter
 
-    texts = ["budget approved by finance", "Finance approved the budget, budget", "zebra crossing", "the of the", "", None, "Straße ça"]
+    texts = ["budget approved by finance", "Finance approved the budget, budget", "zebra crossing", "the of the", "", None, "Straße ça", "?!", "it's well-known, it's"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     rows = {r.id: r for r in vectors.with_lexical_embedding(vectors.with_lexical_features(df, "t"), "t", "v").collect()}
     for i, t in enumerate(texts):
-        every = [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+        every = re.findall(r"[\w'-]+", (t or "").lower()) or [(t or "").strip().lower() or "<empty>"]
         words = [w for w in every if w not in vectors.STOP] or every
-        want = Counter({f"w {w}": 1 + math.log(n) for w, n in Counter(words).items()})
+        want = Counter({f"word:{w}": 1 + math.log(n) for w, n in Counter(words).items()})
         for w in set(words):
             for k in range(len(w)) if len(w) >= 4 else ():
-                want["t " + f"^{w}$"[k : k + 3]] += 0.15
+                want["char:" + f"^{w}$"[k : k + 3]] += 0.15
         for a, b in zip(words, words[1:]):
-            want[f"p {a} {b}"] += 0.5
+            want[f"bigram:{a}:{b}"] += 0.5
         got = Counter()
         for f in rows[i].features:
             got[f.name] += f.weight
