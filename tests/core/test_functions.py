@@ -205,7 +205,7 @@ def test_full_text(spark):
 def test_contained(spark):
     rows = spark.createDataFrame([(1, "aa bb cc dd"), (2, "xaa bb ccx"), (3, "zz"), (4, None)], "i int, text string")
     quotes = spark.createDataFrame([(1, "aa bb cc"), (2, "bb"), (3, "zz"), (4, "q w e")], "j int, quote string")
-    assert {(r.i, r.j) for r in fulltext.contained(rows, quotes).collect()} == {(1, 1), (2, 1), (1, 2), (2, 2), (3, 3)}
+    assert {(r.i, r.j) for r in fulltext.contained(rows, quotes, "i").collect()} == {(1, 1), (2, 1), (1, 2), (2, 2), (3, 3)}
 
 
 def test_long_chains_are_one_cluster(spark):
