@@ -190,8 +190,10 @@ def dml05_unique_insert(t):
     return t.documents.groupBy(F.sha2(F.lower("text").cast("binary"), 256)).agg(F.min("doc_id").alias("doc_id"), (F.count("*") - 1).alias("refused")).select("doc_id", "refused")
 
 
-@query("SELECT k, MAX(v) AS v FROM (SELECT c_nationkey AS k, CAST(COUNT(*) AS BIGINT) AS v, 0 AS p FROM customer GROUP BY 1 UNION ALL SELECT s_nationkey, 1000 + COUNT(*), 1 FROM supplier GROUP BY 1) GROUP BY 1")
+@query("""WITH o AS (SELECT c_nationkey AS k, CAST(COUNT(*) AS BIGINT) AS v FROM customer GROUP BY 1), n AS (SELECT s_nationkey AS k, CAST(1000 + COUNT(*) AS BIGINT) AS v FROM supplier GROUP BY 1)
+  SELECT k, v FROM n UNION ALL SELECT k, v FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.k = o.k)""")
 def snk02_upsert(t):
+    """Insert with ON CONFLICT DO UPDATE: the new row takes the old one's place, whichever value is larger."""
     old = t.customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("v"))
     new = t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg((F.count("*") + 1000).alias("v"))
     return lifecycle.upsert(old, new, "k")

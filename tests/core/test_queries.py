@@ -44,3 +44,14 @@ def test_queries_without_sql_give_rows(spark, name):
     """Their operators are held against loops and golden cases in test_functions.py."""
     df = registry.QUERIES[name](spark, SF)
     assert df.columns and df.limit(1).count() == 1
+
+
+def test_upsert_takes_new_rows_where_old_values_are_larger(spark, tmp_path):
+    """As on larger tables, where a nation has more customers than 1,000 and its suppliers together."""
+    spark.range(4_500).selectExpr("cast(id % 3 = 0 as int) as c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(4).selectExpr("cast(2 - id % 2 * 2 as int) as s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    c = duckdb.connect()
+    for t in ("customer", "supplier"):
+        c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in registry.QUERIES["snk02_upsert"](spark, str(tmp_path)).select("k", "v").collect())
+    assert got == sorted(c.sql(registry.ORACLES["snk02_upsert"]).fetchall()) == [(0, 1_002), (1, 1_500), (2, 1_002)]
