@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.tables import SENT_BYTES, sent_if_small, written
+
 
 def content_conflicts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, existing): rows whose content another live row has, with the smallest key of that content."""
@@ -112,3 +114,29 @@ def fresh_workers(beats: DataFrame, key: str, time: str, now: Column, most: Colu
     last = beats.groupBy(key).agg(F.max(time).alias("last"))
     age = now.cast("timestamp").cast("long") - F.col("last").cast("timestamp").cast("long")
     return last.select(key, "last", age.alias("age_seconds"), (age <= most).alias("fresh"))
+
+
+def recipient_snapshots(events: DataFrame, members: DataFrame, event: str, group: str, time: str, member: str, since: str) -> DataFrame:
+    """(event, recipients) of events (event, group, time): the members (member, group, since) of its group that had joined by then, in order, joined by commas. Events without any are left out.
+
+    All events of a group between two joinings have the same members. So lists are made for each group and joining time, and an event
+    finds its list; no pair of an event and a member is made. Rows that share an event's id are one event, whose lists are put together.
+    """
+    joined = members.select(F.col(group).alias("_g"), F.col(since).alias("_since"), F.col(member).alias("_m")).where("_g IS NOT NULL AND _since IS NOT NULL")
+    times = joined.select("_g", F.col("_since").alias("_from")).distinct()
+    lists = times.join(joined, "_g").where(F.col("_since") <= F.col("_from")).groupBy("_g", "_from").agg(F.array_sort(F.collect_list("_m")).alias("_all"))
+    said = F.array_join(F.transform("_all", lambda x: x.cast("string")), ",")
+    lists = written(lists.select("_g", "_from", "_all", said.alias("_said")), "snapshots")
+    until = F.lead("_from").over(Window.partitionBy("_g").orderBy("_from"))
+    spans = written(lists.select("_g", "_from").withColumn("_until", until), "snapshot-times")
+    met = (F.col(group) == F.col("_g")) & (F.col(time) >= F.col("_from")) & (F.col("_until").isNull() | (F.col(time) < F.col("_until")))
+    placed = events.select(event, group, time).join(sent_if_small(spans), met).select(event, "_g", "_from")
+    found = written(placed.groupBy(event).agg(F.count("*").alias("_n"), F.min(F.struct("_g", "_from")).alias("_at")), "snapshots-found")
+    # Lists are sent to all tasks by their real size; large ones meet events dealt over 16 parts of each.
+    texts = lists.select("_g", "_from", "_said")
+    small = (lists.agg(F.sum(F.octet_length("_said") + 32)).first()[0] or 0) <= SENT_BYTES
+    once = found.where("_n = 1").select(event, F.col("_at._g").alias("_g"), F.col("_at._from").alias("_from"), F.pmod(F.xxhash64(event), F.lit(16)).cast("int").alias("_part"))
+    told = once.join(F.broadcast(texts), ["_g", "_from"]) if small else once.join(texts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["_g", "_from", "_part"])
+    again = placed.join(found.where("_n > 1").select(F.col(event).alias("_e")), F.col(event).eqNullSafe(F.col("_e"))).join(lists.select("_g", "_from", "_all"), ["_g", "_from"])
+    both = again.groupBy(event).agg(F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("_all"))), lambda x: x.cast("string")), ",").alias("recipients"))
+    return told.select(event, F.col("_said").alias("recipients")).unionByName(both)

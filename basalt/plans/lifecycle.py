@@ -330,8 +330,9 @@ def str02_10_idempotency(t):
 @query("""SELECT event_id, array_to_string(list_sort(list(s_suppkey)), ',') AS recipients FROM events JOIN supplier ON s_nationkey = user_id % 25 AND ts >= TIMESTAMP '2024-01-01' + to_days(CAST(s_suppkey % 20 AS INTEGER)) GROUP BY 1""")
 def str03_recipient_snapshot(t):
     since = F.to_timestamp_ntz(F.lit("2024-01-01")) + F.make_dt_interval((F.col("s_suppkey") % 20).cast("int"))
-    met = t.events.withColumn("nation", (F.col("user_id") % 25).cast("int")).join(t.supplier.withColumn("since", since), (F.col("nation") == F.col("s_nationkey")) & (F.col("ts") >= F.col("since")))
-    return met.groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda x: x.cast("string")), ",").alias("recipients"))
+    members = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("nation"), since.alias("since"))
+    events = t.events.select("event_id", (F.col("user_id") % 25).cast("int").alias("nation"), "ts")
+    return lifecycle.recipient_snapshots(events, members, "event_id", "nation", "ts", "s_suppkey", "since")
 
 
 @query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basalt.functions.stemming import stem
-from basalt.operators import fulltext, generations, graph, text_index
+from basalt.operators import fulltext, generations, graph, lifecycle, text_index
 from basalt.operators.percentiles import exact_percentiles
 from basalt.sources import datasets
 
@@ -130,3 +130,22 @@ def test_clusters_with_a_hub(spark, monkeypatch):
     pairs = [(0, i) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 103), (7, 200), (5, 5), (300, 300)]
     got = {r.node: r.cluster for r in graph.clusters(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == dict.fromkeys([*range(40), 200], 0) | dict.fromkeys([100, 101, 102, 103], 100)
+
+
+@pytest.mark.parametrize("sent", [32_000_000, 0])
+def test_snapshots_of_recipients_make_no_pairs(spark, monkeypatch, sent):
+    monkeypatch.setattr(lifecycle, "SENT_BYTES", sent)
+    rng = random.Random(4)
+    members = [(rng.randint(1, 400), rng.choice([0, 1, 2, None]), rng.choice([1, 3, 5, None])) for _ in range(300)]
+    events = [(i, rng.choice([0, 1, 2, 3, None]), rng.choice([0, 1, 2, 3, 4, 5, 9, None])) for i in range(200)]
+    events += [(7, 1, 9), (7, 1, 9), (None, 0, 9), (None, 2, 3)]
+    made = lifecycle.recipient_snapshots(spark.createDataFrame(events, "e int, g int, t int"), spark.createDataFrame(members, "m int, g int, s int"), "e", "g", "t", "m", "s")
+    want = {}
+    for e, g, t in events:
+        want.setdefault(e, []).extend(m for m, h, s in members if None not in (g, t, h, s) and g == h and t >= s)
+    assert {r.e: r.recipients for r in made.collect()} == {e: ",".join(map(str, sorted(x))) for e, x in want.items() if x}
+    assert made.count() == len({e for e, x in want.items() if x})
+    rows = spark.range(20_000).selectExpr("id as e", "cast(id % 2 as int) as g", "10 as t")
+    many = lifecycle.recipient_snapshots(rows, spark.range(2_000).selectExpr("id as m", "cast(id % 2 as int) as g", "1 as s"), "e", "g", "t", "m", "s")
+    assert many.agg(F.count("*"), F.min(F.length("recipients"))).first()[0] == 20_000
+    assert "_m" not in many._jdf.queryExecution().optimizedPlan().toString()
