@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basalt.functions import text as X
 from basalt.operators import fulltext, graph, paging, ranges, records, retrieval, temporal
 from basalt.plans.registry import query
+from basalt.tables import dealt
 
 VERSIONS = """versions AS (SELECT doc_id AS version_id, source || '/' || lang AS document, CAST(row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS INTEGER) AS version_number,
   TIMESTAMP '2024-01-01' + to_hours(doc_id) AS recorded_at, CASE WHEN doc_id % 3 <> 0 THEN TIMESTAMP '2020-01-01' + to_days(CAST(doc_id * 2 AS INTEGER)) END AS source_time FROM documents)"""
@@ -346,7 +347,8 @@ EDGES = "edges AS (SELECT l_orderkey AS document, l_partkey AS entity, CAST(SUM(
 
 
 def edges(t) -> DataFrame:
-    return t.lineitem.groupBy(F.col("l_orderkey").alias("document"), F.col("l_partkey").alias("entity")).agg(F.sum("l_quantity").cast("long").alias("frequency"))
+    rows = dealt(t.lineitem.select("l_orderkey", "l_partkey", "l_quantity"), "l_orderkey", "l_partkey")
+    return rows.groupBy(F.col("l_orderkey").alias("document"), F.col("l_partkey").alias("entity")).agg(F.sum("l_quantity").cast("long").alias("frequency"))
 
 
 @query(f"WITH {EDGES} SELECT entity, CAST(SUM(frequency) AS BIGINT) AS mention_count, COUNT(DISTINCT document) AS document_count FROM edges GROUP BY 1")

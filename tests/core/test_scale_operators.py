@@ -11,6 +11,7 @@ from basalt.functions.stemming import stem
 from basalt.operators import fulltext, generations, graph, lifecycle, text_index
 from basalt.operators.percentiles import exact_percentiles
 from basalt.sources import datasets
+from basalt.tables import dealt
 
 
 @pytest.mark.parametrize(("bins", "few"), [(4_096, 10_000), (8, 5), (2, 0)])
@@ -149,3 +150,20 @@ def test_snapshots_of_recipients_make_no_pairs(spark, monkeypatch, sent):
     many = lifecycle.recipient_snapshots(rows, spark.range(2_000).selectExpr("id as m", "cast(id % 2 as int) as g", "1 as s"), "e", "g", "t", "m", "s")
     assert many.agg(F.count("*"), F.min(F.length("recipients"))).first()[0] == 20_000
     assert "_m" not in many._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_partitions_grow_with_the_rows(spark):
+    rows = spark.range(0, 90_000, 1, 2).selectExpr("id as d", "id % 7 as e")
+    made = dealt(rows, "d", "e", most=10_000)
+    assert made.rdd.getNumPartitions() == 9 and max(made.rdd.glom().map(len).collect()) < 12_000 and made.count() == 90_000
+    assert dealt(rows.limit(0), "d").count() == 0 and dealt(rows.limit(0), "d").rdd.getNumPartitions() == 1
+    grouped = made.groupBy("d", "e").agg(F.count("*").alias("n"))
+    assert grouped._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_reach_over_edges_that_come_twice(spark):
+    edges = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("b", "y"), ("x", "b"), ("c", "y"), (None, "x"), ("d", "z")], "a string, b string")
+    found = graph.reach(edges, spark.createDataFrame([("a",)], "node string"), 3)
+    assert sorted((r.node, r.depth) for r in found.where("node IS NOT NULL").collect()) == [("a", 0), ("b", 2), ("x", 1), ("y", 3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
