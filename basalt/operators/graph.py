@@ -56,9 +56,11 @@ def traverse(edges: DataFrame, roots: DataFrame, limit: int = 40, allowed: DataF
 def reach(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
     """(node, depth): breadth-first over bipartite edges (a, b), hops edges far; each step one join with the new nodes.
 
-    The edges and each step's new nodes are written, so a step's plan has two joins however many came before it.
+    The edges and each step's new nodes are written, so a step's plan has two joins however many came before it. Edges are read both ways
+    and may come more than once: only the nodes that a step finds are made distinct.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    one_way = written(edges.select("a", "b"), "edges")
+    both = one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b")))
     front = written(roots.select("node", F.lit(0).alias("depth")).dropDuplicates(["node"]), "front")
     found = front
     for depth in range(1, hops + 1):
