@@ -167,3 +167,14 @@ def test_reach_over_edges_that_come_twice(spark):
     assert sorted((r.node, r.depth) for r in found.where("node IS NOT NULL").collect()) == [("a", 0), ("b", 2), ("x", 1), ("y", 3)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_index_shuffles_texts_and_postings_once(spark, tmp_path, monkeypatch, stemmed):
+    """Hits aren't shuffled one by one: a text goes to its block's task, a posting to its bucket's; with stems, words' postings go to their stem's in between."""
+    monkeypatch.setattr(text_index, "TASK_ROWS", 20)
+    rows = spark.createDataFrame(texts(), "id long, t string").repartition(3)
+    plans, sort = [], type(rows).sortWithinPartitions
+    monkeypatch.setattr(type(rows), "sortWithinPartitions", lambda self, *c: plans.append(self._jdf.queryExecution().executedPlan().toString()) or sort(self, *c))
+    text_index.build(rows, "id", "t", str(tmp_path / "i"), stemmed, block_rows=10, buckets=4)
+    assert plans[-1].count("Exchange hashpartitioning(") == (3 if stemmed else 2)
