@@ -222,14 +222,20 @@ LINES = """l AS (SELECT l_orderkey, l_linenumber AS n, CAST(l_quantity AS INTEGE
   cases AS (SELECT claims.*, content, c FROM claims JOIN plain USING (l_orderkey))"""
 
 
-def _claims(t):
-    n, q, p = F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int"), F.col("l_partkey").cast("string")
-    after = F.when(F.col("l_returnflag") == "R", " It was not accepted by them.").when(F.col("l_returnflag") == "A", " Clerks wrote 'very\n fragile'!").otherwise("")
-    said = F.concat(F.lit("Line "), n, F.lit(" ships "), q.cast("string"), F.lit(" boxes of part "), p, F.lit("."), after)
-    lines = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("n"), said.alias("said"))
-    # An order has seven lines at most.
-    content = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "said"))), lambda x: x["said"]), " ").alias("content"))
-    kind = ((F.col("l_orderkey") + F.col("l_linenumber")) % 7).cast("int")
+def _claims(t, quotes=False):
+    n, q, p = F.col("n").cast("string"), F.col("q"), F.col("p").cast("string")
+    lines = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"), F.col("l_partkey").alias("p"), "l_returnflag", (F.col("l_suppkey") % 17 == 0).alias("twice"))
+    # An order has seven lines at most. What is read of their content is made once for all its claims.
+    orders = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct("n", "q", "p", "l_returnflag", "twice")).alias("lines"))
+
+    def said(x):
+        after = F.when(x["l_returnflag"] == "R", " It was not accepted by them.").when(x["l_returnflag"] == "A", " Clerks wrote 'very\n fragile'!").otherwise("")
+        return F.concat(F.lit("Line "), x["n"].cast("string"), F.lit(" ships "), x["q"].cast("string"), F.lit(" boxes of part "), x["p"].cast("string"), F.lit("."), after)
+
+    placed = orders.withColumn("lines", F.array_sort(F.transform("lines", lambda x: F.struct(x["n"].alias("n"), said(x).alias("said"), x["q"].alias("q"), x["p"].alias("p"), x["twice"].alias("twice")))))
+    content = placed.withColumn("content", F.array_join(F.transform("lines", lambda x: x["said"]), " "))
+    cases = grounding.with_source_facts(content, "content", quotes).withColumn("line", F.explode("lines")).drop("lines").select("*", "line.n", "line.q", "line.p", "line.twice").drop("line")
+    kind = ((F.col("l_orderkey") + F.col("n")) % 7).cast("int")
     claim = (
         F.when(kind == 0, F.concat(F.lit("Line "), n, F.lit(" ships "), q.cast("string"), F.lit(" boxes of part "), p))
         .when(kind == 1, F.concat(F.lit("Line "), n, F.lit(" ships "), (q + 100_000).cast("string"), F.lit(" boxes")))
@@ -239,8 +245,8 @@ def _claims(t):
         .when(kind == 5, F.concat(F.lit("It was not accepted on line "), n))
         .otherwise(F.concat(F.lit('Clerks wrote "very fragile" about part '), p))
     )
-    sources = F.when(F.col("l_suppkey") % 17 == 0, F.array(F.lit("D1"), F.lit("D1"))).otherwise(F.array(F.lit("D1")))
-    return t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("n"), claim.alias("claim"), sources.alias("sources")).join(content, "l_orderkey")
+    sources = F.when(F.col("twice"), F.array(F.lit("D1"), F.lit("D1"))).otherwise(F.array(F.lit("D1")))
+    return cases.withColumn("claim", claim).withColumn("sources", sources).drop("q", "p", "twice")
 
 
 @query(f"""WITH {LINES}, k AS (SELECT *, {SIG.format('claim')} AS a, {SIG.format('content')} AS b FROM cases)
@@ -263,4 +269,4 @@ def gnd03_claim_validation(t):
   SELECT l_orderkey, n, CAST(COALESCE(best.a, 0) AS INTEGER) AS start, CAST(COALESCE(best.b, length(content)) AS INTEGER) AS "end", CASE WHEN COALESCE(best.a, 0) > 0 OR COALESCE(best.b, length(content)) < length(content) THEN 'claim_aligned' ELSE 'full_chunk_fallback' END AS selection FROM k LEFT JOIN m USING (cid)""")
 def gnd04_fn09_aligned_quote(t):
     """The shortest run of sentences for each of those claims, with numbers, quoted text over a line's end, and negations."""
-    return grounding.aligned_quote(_claims(t), "claim", "content").select("l_orderkey", "n", "start", "end", "selection")
+    return grounding.aligned_quote(_claims(t, quotes=True), "claim", "content").select("l_orderkey", "n", "start", "end", "selection")
