@@ -89,12 +89,15 @@ def section_chunks(docs: DataFrame, key: str, text: str, sections: str, title: s
     Sections are chunked each by themselves; spans are rebased to the text and hold the content exactly; chunks are numbered through. A text whose
     sections give none is one chunk, `Full Content`, without the white space around it; a blank or null one has no chunk.
     """
-    parts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text"), F.col(title).alias("_title"), F.posexplode(sections).alias("_n", "_s"))
-    body = parts.select("_k", "_n", "_title", F.col("_s.title").alias("section"), F.col("_s.page").alias("page"), F.col("_s.start_char").alias("_at"), F.expr("substring(_text, _s.start_char + 1, _s.end_char - _s.start_char)").alias("_body"))
+    # Sections take their own stretch with them, not the whole text each.
+    own = F.transform(sections, lambda s: F.struct(s["title"].alias("title"), s["page"].alias("page"), s["start_char"].alias("at"), F.substring(F.col(text), s["start_char"] + 1, s["end_char"] - s["start_char"]).alias("body")))
+    parts = docs.select(F.col(key).alias("_k"), F.col(title).alias("_title"), F.posexplode(own).alias("_n", "_s"))
+    body = parts.select("_k", "_n", "_title", F.col("_s.title").alias("section"), F.col("_s.page").alias("page"), F.col("_s.at").alias("_at"), F.col("_s.body").alias("_body"))
     keyed = body.withColumn("_id", F.struct("_k", "_n", "_title", "section", "page", "_at"))
     cut = chunk(keyed, "_id", "_body", strategy)
     rebased = cut.select("_id.*", F.col("chunk_index").alias("_c"), (F.col("start_char") + F.col("_id._at")).alias("start_char"), (F.col("end_char") + F.col("_id._at")).alias("end_char"), "content")
-    bare = docs.where(F.trim(F.col(text)) != "").join(rebased.select(F.col("_k").alias(key)).distinct(), key, "left_anti")
+    # Every section that isn't blank gives a chunk; blank as Python has it.
+    bare = docs.where((F.trim(F.col(text)) != "") & ~F.coalesce(F.exists(own, lambda s: s["body"].rlike(r"[^\p{Z}\t-\r\x1c-\x1f\x85]")), F.lit(False)))
     lead = F.length(text) - F.length(F.regexp_replace(text, r"(?U)^\s+", ""))
     trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     whole = bare.select(F.col(key).alias("_k"), F.lit(0).alias("_n"), F.col(title).alias("_title"), F.lit("Full Content").alias("section"), F.lit(1).alias("page"), F.lit(0).alias("_at"), F.lit(0).alias("_c"), lead.alias("start_char"), (lead + F.length(trimmed)).alias("end_char"), trimmed.alias("content"))
@@ -119,8 +122,11 @@ def chunk(docs: DataFrame, key: str, text: str, strategy: str = "token") -> Data
         cut = STRATEGIES[strategy]
         return texts.map(lambda t: [(a, b, tokens(t[a:b])) for a, b in cut(t)] if t else [])
 
-    found = docs.select(key, text, F.posexplode(spans(text)).alias("chunk_index", "s"))
-    return found.select(key, "chunk_index", "s.start_char", "s.end_char", F.expr(f"substring(`{text}`, s.start_char + 1, s.end_char - s.start_char)").alias("content"), "s.token_count")
+    # Chunks take their own stretch with them, not the whole text each.
+    cut = docs.select(key, text, spans(text).alias("_spans"))
+    own = F.transform("_spans", lambda s: F.struct(s["start_char"].alias("start_char"), s["end_char"].alias("end_char"), F.substring(F.col(text), s["start_char"] + 1, s["end_char"] - s["start_char"]).alias("content"), s["token_count"].alias("token_count")))
+    found = cut.select(key, F.posexplode(own).alias("chunk_index", "s"))
+    return found.select(key, "chunk_index", "s.*")
 
 
 def span_violations(chunks: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:

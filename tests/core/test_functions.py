@@ -270,3 +270,13 @@ def test_manifest(spark, tmp_path):
     got = datasets.load_manifest(spark, str(tmp_path))
     assert {(r.item, r.violation) for r in got["violations"].collect()} == {("b", "sha256"), ("c", "path"), ("d", "missing"), ("q2", "quote"), ("q3", "unknown document")}
     assert got["documents"].count() == 4 and got["queries"].count() == 3 and got["evidence"].count() == 3
+
+
+def test_section_chunks_are_cut_once(spark):
+    """Texts whose sections are blank, missing or none are one chunk; the chunker runs once, over sections' own stretches."""
+    kind = "k int, text string, name string, s array<struct<title: string, page: int, start_char: int, end_char: int>>"
+    rows = [(1, "One two. \x1c\u2003 x", "N", [("A", 1, 0, 8), ("B", 1, 8, 12)]), (2, " \x1c\u2003 ab", "N", [("A", 1, 0, 3)]), (3, "whole", "N", None), (4, "whole", "N", []), (5, "  ", "N", None), (6, None, "N", None)]
+    got = chunking.section_chunks(spark.createDataFrame(rows, kind), "k", "text", "s", "name")
+    assert sorted((r.k, r.chunk_index, r.content, r.section) for r in got.collect()) == [(1, 0, "One two.", "A"), (2, 0, "\x1c\u2003 ab", "Full Content"), (3, 0, "whole", "Full Content"), (4, 0, "whole", "Full Content")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "LeftAnti" not in plan
