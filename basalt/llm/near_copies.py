@@ -4,6 +4,8 @@ At a Jaccard similarity of 0.8 of five-word shingles, two 64-bit fingerprints di
 popcounts no longer parts the data. So candidates come from prefixes: in any one order of all shingles, sets that much
 alike share one of the first n - ceil(SIMILARITY * n) + 1, without loss. Fingerprints of BITS bits, of the sets, decide: they link
 where at least AGREE of the bits are the same. Common shingles are last in the order, which only saves work.
+What does lie within three bits is found as in operator 2, by popcounts of segments on a grid, over all sets: those links
+need no shared prefix, and sets of one 64-bit fingerprint are linked too.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 
 from basalt.llm.common import join_hot, materialize, ship, sorted_keys
 from basalt.llm.components import components, merge
+from basalt.llm import simhash
 from basalt.llm.simhash import LISTED, dealt, first_of_each, majority, pair_runs, shingle_hashes
 from basalt.llm.words import mix
 
@@ -111,11 +114,21 @@ def _compare(batches):
         yield pa.record_batch([pa.array(names[linked]), pa.array(names[label[linked]])], ["a", "b"])
 
 
+def grid_links(prints: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Links (a, b) of the sets of prints (node, fp) whose 64-bit fingerprints differ in simhash.RADIUS bits or fewer, or are linked by such ones. Give it a written table."""
+    first = materialize(prints.groupBy("fp").agg(F.min("node").alias("first")), "first-of-prints")
+    same = join_hot(prints, first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = materialize(simhash.links(first.select("fp"), cell_rows), "grid-links")
+    for end in ("a", "b"):
+        near = materialize(join_hot(near, first.withColumnRenamed("fp", end), end).drop(end).withColumnRenamed("first", end), "grid-links")
+    return same.where("a != b").unionByName(near)
+
+
 def groups(docs: DataFrame, words: int = SHINGLE, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(doc_id, h, node, root): root is the smallest set reachable over links; node is a set's hash, h the text's.
 
     Linked are sets that share a shingle of their prefixes, differ in size by no more than SIMILARITY and have fingerprints within
-    REACH bits. Equal sets are one node; null and empty texts, and those of blanks, have the empty set and are one group. Repeated
+    REACH bits, and those of grid_links. Equal sets are one node; null and empty texts, and those of blanks, have the empty set and are one group. Repeated
     rows are in one group; a null doc_id is kept. A shingle with more than cell_rows sets is dealt into parts, and every set
     visits all of them. No rows, no result.
     """
@@ -130,9 +143,10 @@ def groups(docs: DataFrame, words: int = SHINGLE, cell_rows: int = CELL_ROWS) ->
             node = np.fromiter((digest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
             heads = pa.array([prefix(x, common).view(np.int64) for x in sets], pa.list_(pa.int64()))
             wide = pa.array([wide_fingerprint(x).tobytes() for x in sets], pa.binary())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), heads, wide], ["doc_id", "h", "node", "n", "prefix", "print"])
+            fp = np.fromiter((majority(x[:, None])[0] for x in sets), np.uint64, len(sets)).view(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), heads, wide, pa.array(fp)], ["doc_id", "h", "node", "n", "prefix", "print", "fp"])
 
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("h long, node long, n long, prefix array<long>, print binary")])
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("h long, node long, n long, prefix array<long>, print binary, fp long")])
     made = materialize(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(compute, schema), "shingle-sets")
     heads = made.select("node", "n", "prefix").dropDuplicates(["node"]).select(F.explode("prefix").alias("key"), "node", "n")
     # Keys of many sets are known from a share of the sets. They need no look for a second one, so none of them meets in one task.
@@ -147,7 +161,8 @@ def groups(docs: DataFrame, words: int = SHINGLE, cell_rows: int = CELL_ROWS) ->
     # The place is a hash of shingle and part; should two meet, their sets are compared too, which links no more than they should.
     spread = rows.select(F.xxhash64("key", "part").alias("key"), F.col("home").alias("own"), "node", "n").join(prints, "node")
     links = spread.select("key", "own", "node", "n", "print").repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "a long, b long")
-    found = components(links)
+    grid = grid_links(materialize(made.select("node", "fp").distinct(), "prints"), cell_rows)
+    found = components(links.unionByName(grid))
     nodes = materialize(made.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
     return join_hot(made.select("doc_id", "h", "node"), nodes, "node").select("doc_id", "h", "node", "root")
 

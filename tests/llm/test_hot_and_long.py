@@ -90,3 +90,19 @@ def test_labelled_texts_within_a_bound(spark):
     assert len(some) == 50 and all(len(r.text) == 10 for r in some)
     assert {tuple(r) for r in some} < {tuple(r) for r in every}
     assert {tuple(r) for r in labelled.labelled_sample(docs, labels, "toxic", 3, 1, 150, 10_000_000).collect()} == {tuple(r) for r in every}
+
+
+def test_near_copies_within_three_bits_are_linked(spark):
+    """Sets too far apart in size for the prefixes, whose 64-bit fingerprints lie within three bits, are in one group."""
+    rng = random.Random(6)
+    fp = lambda text: int(simhash.majority(near_copies.shingle_set(text)[:, None])[0])
+    texts = []
+    while len(texts) < 8:
+        words_ = [f"w{rng.randint(0, 10**6)}" for _ in range(13)]
+        whole, part = " ".join(words_), " ".join(words_[:11])  # 9 and 7 shingles
+        if (fp(whole) ^ fp(part)).bit_count() <= 3:
+            texts += [whole, part]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for cell_rows in (2, 100_000):
+        root = {r.doc_id: r.root for r in near_copies.groups(docs, cell_rows=cell_rows).collect()}
+        assert all(root[i] == root[i + 1] for i in range(0, 8, 2)) and len(set(root.values())) == 4
