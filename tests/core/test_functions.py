@@ -280,3 +280,21 @@ def test_section_chunks_are_cut_once(spark):
     assert sorted((r.k, r.chunk_index, r.content, r.section) for r in got.collect()) == [(1, 0, "One two.", "A"), (2, 0, "\x1c\u2003 ab", "Full Content"), (3, 0, "whole", "Full Content"), (4, 0, "whole", "Full Content")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "LeftAnti" not in plan
+
+
+def test_embedding_hashes_each_feature_once(spark, monkeypatch):
+    """Repeats of a batch cost no further hashes, and texts of one batch don't touch each other."""
+    import numpy as np
+    import pyarrow as pa
+
+    from basalt.functions import vectors
+
+    texts = [["alpha", "beta", "alpha"], ["be"], ["gamma", "alpha"]] * 40
+    hashed = []
+    places = vectors._places
+    monkeypatch.setattr(vectors, "_places", lambda names, size: places((hashed.append(x) or x for x in names), size))
+    together = vectors._embedded(pa.array(texts), 256)
+    assert len(hashed) == len(set(hashed)) and len(hashed) < 30
+    monkeypatch.setattr(vectors, "HELD_TEXTS", 7)
+    assert np.array_equal(together, vectors._embedded(pa.array(texts), 256))
+    assert np.array_equal(together[:3], np.concatenate([vectors._embedded(pa.array([t]), 256) for t in texts[:3]]))
