@@ -298,3 +298,16 @@ def test_embedding_hashes_each_feature_once(spark, monkeypatch):
     monkeypatch.setattr(vectors, "HELD_TEXTS", 7)
     assert np.array_equal(together, vectors._embedded(pa.array(texts), 256))
     assert np.array_equal(together[:3], np.concatenate([vectors._embedded(pa.array([t]), 256) for t in texts[:3]]))
+
+
+def test_texts_without_a_term_are_not_taken_apart(spark):
+    """What may_hold lets through is all that has the terms as words, among it no text that lacks one as a run of characters."""
+    from pyspark.sql import functions as F
+
+    from basalt.operators import fulltext
+
+    rows = spark.createDataFrame([(0, "Apache LICENSE"), (1, "apaches licensed"), (2, "apache"), (3, None), (4, "İ license apache"), (5, "no")], "k int, t string")
+    terms = [["apache"], ["license"]]
+    may = {r.k for r in rows.where(fulltext.may_hold(F.col("t"), terms)).collect()}
+    has = {r.k for r in rows.where(fulltext.holds_all_forms(fulltext.words(F.col("t")), terms)).collect()}
+    assert has == {0, 4} and has <= may == {0, 1, 4}
