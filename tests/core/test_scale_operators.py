@@ -178,3 +178,16 @@ def test_index_shuffles_texts_and_postings_once(spark, tmp_path, monkeypatch, st
     monkeypatch.setattr(type(rows), "sortWithinPartitions", lambda self, *c: plans.append(self._jdf.queryExecution().executedPlan().toString()) or sort(self, *c))
     text_index.build(rows, "id", "t", str(tmp_path / "i"), stemmed, block_rows=10, buckets=4)
     assert plans[-1].count("Exchange hashpartitioning(") == (3 if stemmed else 2)
+
+
+def test_reuse_shuffles_digests_as_bytes(spark):
+    """Different digests of any form stay different, null meets nothing, and hex ones take half their bytes."""
+    a, b = "ab" * 32, "AB" * 32
+    hashes = [a, b, "ab", None, "", a + "0", chr(1) + "x", bytes.fromhex("61" * 32).decode()]
+    rows = spark.createDataFrame([(i, i % 2, h) for i, h in enumerate(hashes * 2)], "member int, chunk int, content_hash string")
+    short = [r[0] for r in rows.limit(8).select(generations.short_digest(F.col("content_hash"))).collect()]
+    assert len(short[0]) == 33 and len(set(map(bytes, filter(None, short)))) == 7 and short[3] is None
+    approved = spark.createDataFrame([(0, a), (0, a), (1, a), (1, None), (0, "")], "chunk int, content_hash string")
+    out = generations.reuse(rows, approved)
+    assert out.columns == ["member", "chunk", "content_hash", "state"]
+    assert {(r.member, r.state) for r in out.collect()} == {(i, "reused" if i % 8 in (0, 4) else "pending") for i in range(16)}
