@@ -222,10 +222,10 @@ LINES = """l AS (SELECT l_orderkey, l_linenumber AS n, CAST(l_quantity AS INTEGE
   cases AS (SELECT claims.*, content, c FROM claims JOIN plain USING (l_orderkey))"""
 
 
-def _claims(t, quotes=False):
+def _claims(t, facts):
     n, q, p = F.col("n").cast("string"), F.col("q"), F.col("p").cast("string")
     lines = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"), F.col("l_partkey").alias("p"), "l_returnflag", (F.col("l_suppkey") % 17 == 0).alias("twice"))
-    # An order has seven lines at most. What is read of their content is made once for all its claims.
+    # An order has seven lines at most.
     orders = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct("n", "q", "p", "l_returnflag", "twice")).alias("lines"))
 
     def said(x):
@@ -234,7 +234,9 @@ def _claims(t, quotes=False):
 
     placed = orders.withColumn("lines", F.array_sort(F.transform("lines", lambda x: F.struct(x["n"].alias("n"), said(x).alias("said"), x["q"].alias("q"), x["p"].alias("p"), x["twice"].alias("twice")))))
     content = placed.withColumn("content", F.array_join(F.transform("lines", lambda x: x["said"]), " "))
-    cases = grounding.with_source_facts(content, "content", quotes).withColumn("line", F.explode("lines")).drop("lines").select("*", "line.n", "line.q", "line.p", "line.twice").drop("line")
+    # What is read of an order's content is made once for all its claims: here, or where they follow each other.
+    sources = content if not facts else grounding.with_source_facts(content, "content")
+    cases = sources.withColumn("line", F.explode("lines")).drop("lines").select("*", "line.n", "line.q", "line.p", "line.twice").drop("line")
     kind = ((F.col("l_orderkey") + F.col("n")) % 7).cast("int")
     claim = (
         F.when(kind == 0, F.concat(F.lit("Line "), n, F.lit(" ships "), q.cast("string"), F.lit(" boxes of part "), p))
@@ -255,7 +257,7 @@ def _claims(t, quotes=False):
       WHEN len(a) > 0 AND len(list_intersect(a, b)) / len(a) < 0.25 THEN 'low coverage' WHEN len([y FOR y IN t IF NOT list_contains(string_split(c, ' '), y)]) > 0 THEN 'polarity' ELSE 'passed' END AS verdict FROM k""")
 def gnd03_claim_validation(t):
     """Claims about all lines of all orders, with every verdict among them."""
-    return grounding.validate_claims(_claims(t)).select("l_orderkey", "n", "coverage", "verdict")
+    return grounding.validate_claims(_claims(t, facts=True)).select("l_orderkey", "n", "coverage", "verdict")
 
 
 @query(f"""WITH {LINES}, s0 AS (SELECT l_orderkey, unnest(string_split(regexp_replace(content, '([.!]) ', '\\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(content, '([.!]) ', '\\1' || chr(1), 'g'), chr(1)), 1) AS i FROM evidence),
@@ -269,4 +271,4 @@ def gnd03_claim_validation(t):
   SELECT l_orderkey, n, CAST(COALESCE(best.a, 0) AS INTEGER) AS start, CAST(COALESCE(best.b, length(content)) AS INTEGER) AS "end", CASE WHEN COALESCE(best.a, 0) > 0 OR COALESCE(best.b, length(content)) < length(content) THEN 'claim_aligned' ELSE 'full_chunk_fallback' END AS selection FROM k LEFT JOIN m USING (cid)""")
 def gnd04_fn09_aligned_quote(t):
     """The shortest run of sentences for each of those claims, with numbers, quoted text over a line's end, and negations."""
-    return grounding.aligned_quote(_claims(t, quotes=True), "claim", "content").select("l_orderkey", "n", "start", "end", "selection")
+    return grounding.aligned_quote(_claims(t, facts=False), "claim", "content").select("l_orderkey", "n", "start", "end", "selection")
