@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.tables import SENT_BYTES, sent_if_small, written
+from basalt.tables import LEAST_ROWS, SENT_BYTES, sent_if_small, written
+
+#: Tasks that a list's events are dealt over, and bytes of lists in a task: some way below the megabyte up to which Parquet keeps a column's equal values once.
+PARTS, FILE_BYTES = 16, 256_000
 
 
 def content_conflicts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -132,11 +135,14 @@ def recipient_snapshots(events: DataFrame, members: DataFrame, event: str, group
     met = (F.col(group) == F.col("_g")) & (F.col(time) >= F.col("_from")) & (F.col("_until").isNull() | (F.col(time) < F.col("_until")))
     placed = events.select(event, group, time).join(sent_if_small(spans), met).select(event, "_g", "_from")
     found = written(placed.groupBy(event).agg(F.count("*").alias("_n"), F.min(F.struct("_g", "_from")).alias("_at")), "snapshots-found")
-    # Lists are sent to all tasks by their real size; large ones meet events dealt over 16 parts of each.
+    # A list's events lie together, in PARTS tasks of few lists each: then a file of the result, as columns, has a list once and not once for each event.
     texts = lists.select("_g", "_from", "_said")
-    small = (lists.agg(F.sum(F.octet_length("_said") + 32)).first()[0] or 0) <= SENT_BYTES
-    once = found.where("_n = 1").select(event, F.col("_at._g").alias("_g"), F.col("_at._from").alias("_from"), F.pmod(F.xxhash64(event), F.lit(16)).cast("int").alias("_part"))
-    told = once.join(F.broadcast(texts), ["_g", "_from"]) if small else once.join(texts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["_g", "_from", "_part"])
+    size = lists.agg(F.sum(F.octet_length("_said") + 32)).first()[0] or 0
+    spread = max(1, -(-size * PARTS // FILE_BYTES), min(found.sparkSession.sparkContext.defaultParallelism, -(-found.count() // LEAST_ROWS)))
+    once = found.where("_n = 1").select(event, F.col("_at._g").alias("_g"), F.col("_at._from").alias("_from"), F.pmod(F.xxhash64(event), F.lit(PARTS)).cast("int").alias("_part"))
+    once = once.repartition(spread, "_g", "_from", "_part").sortWithinPartitions("_g", "_from")
+    # Lists are sent to all tasks by their real size; large ones meet events by parts.
+    told = once.join(F.broadcast(texts), ["_g", "_from"]) if size <= SENT_BYTES else once.join(texts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).repartition(spread, "_g", "_from", "_part"), ["_g", "_from", "_part"])
     again = placed.join(found.where("_n > 1").select(F.col(event).alias("_e")), F.col(event).eqNullSafe(F.col("_e"))).join(lists.select("_g", "_from", "_all"), ["_g", "_from"])
     both = again.groupBy(event).agg(F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("_all"))), lambda x: x.cast("string")), ",").alias("recipients"))
     return told.select(event, F.col("_said").alias("recipients")).unionByName(both)
