@@ -193,6 +193,27 @@ def test_index_shuffles_texts_and_postings_once(spark, tmp_path, monkeypatch, st
     assert plans[-1].count("Exchange hashpartitioning(") == (3 if stemmed else 2)
 
 
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_words_of_a_block_are_grouped_as_arrays(spark, tmp_path, monkeypatch, stemmed):
+    """Every posting's figures and hits, with keys of another type; no word becomes a row of its own, and no hit a struct before it is written."""
+    plans, sort = [], type(spark.range(1)).sortWithinPartitions
+    monkeypatch.setattr(type(spark.range(1)), "sortWithinPartitions", lambda self, *c: plans.append(self._jdf.queryExecution().executedPlan().toString()) or sort(self, *c))
+    held = [(f"k{i:04d}" if i % 9 else None, t) for i, t in texts()]
+    index = text_index.build(spark.createDataFrame(held, "id string, t string"), "id", "t", str(tmp_path / "i"), stemmed, block_rows=10, buckets=4)
+    want = {}
+    for key, text in held:
+        for place, word in enumerate(w for w in re.split(r"[\W_]+", (text or "").lower()) if w and key):
+            want.setdefault(stem(word) if stemmed else word, {}).setdefault(key, []).append(place)
+    got, made = {}, index.postings().collect()
+    for r in made:
+        assert [tuple(h) for h in r.hits] == sorted(map(tuple, r.hits)) and not {h.key for h in r.hits} & set(got.get(r.term, ()))
+        for h in r.hits:
+            got.setdefault(r.term, {}).setdefault(h.key, []).append(h.place)
+        assert (r.n, r.most) == (len({h.key for h in r.hits}), max(len(got[r.term][h.key]) for h in r.hits))
+    assert got == want and len({(r.term, r.block) for r in made}) == len(made)
+    assert "Generate" not in plans[-1] and "array<struct<key:" not in plans[-1]
+
+
 def test_reuse_shuffles_digests_as_bytes(spark):
     """Different digests of any form stay different, null meets nothing, and hex ones take half their bytes."""
     a, b = "ab" * 32, "AB" * 32
