@@ -214,6 +214,17 @@ def test_words_of_a_block_are_grouped_as_arrays(spark, tmp_path, monkeypatch, st
     assert "Generate" not in plans[-1] and "array<struct<key:" not in plans[-1]
 
 
+def test_long_texts_make_smaller_blocks(spark, tmp_path, monkeypatch):
+    """A block's texts are held as a whole, so their bytes bound it as well as their number."""
+    monkeypatch.setattr(text_index, "BLOCK_BYTES", 1_000, raising=False)
+    rows = spark.createDataFrame([(i, "word other " * 30) for i in range(30)], "id long, t string")
+    index = text_index.build(rows, "id", "t", str(tmp_path / "i"), False, buckets=2)
+    assert index.postings().select("block").distinct().count() > 3
+    assert [(r.id, r["rank"]) for r in text_index.search(index, "other word", 3, "id").orderBy("rank").collect()] == [(0, 1), (1, 2), (2, 3)]
+    empty = text_index.build(rows.where("id < 0"), "id", "t", str(tmp_path / "e"), True, buckets=2)
+    assert text_index.search(empty, "word", 3, "id").isEmpty()
+
+
 def test_reuse_shuffles_digests_as_bytes(spark):
     """Different digests of any form stay different, null meets nothing, and hex ones take half their bytes."""
     a, b = "ab" * 32, "AB" * 32
